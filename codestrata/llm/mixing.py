@@ -64,7 +64,7 @@ def source_targets(sizes: DataFrame, weights: tuple, share: float, cap: float) -
     )
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block_tokens: int = 32, shard_tokens: int = 1 << 22, seed: int = 17, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block_tokens: int = 32, shard_tokens: int = 1 << 20, seed: int = 17, carry: bool = False) -> DataFrame:
     """Per row of docs: its id, size, source_size, target and taken, with the plan of its shard (columns with two underscores).
 
     taken counts the words that the mix takes, repeats counted: whole passes over the shard, then the selected blocks that overlap

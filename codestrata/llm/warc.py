@@ -203,7 +203,8 @@ def _reader(root: str, chunk: int, data: bool):
 
 def read_warc(spark: SparkSession, manifest: DataFrame, root: str, *, chunk: int = CHUNK, data: bool = True) -> DataFrame:
     """The chunked record table of the archives that the manifest names. data=False leaves out the bytes (digests still cover them)."""
-    return manifest.repartition(max(1, manifest.count()), "path", "start").mapInArrow(_reader(root, chunk, data), CHUNKS)
+    tasks = max(spark.sparkContext.defaultParallelism * 8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return manifest.repartition(max(1, min(tasks, manifest.count())), "path", "start").mapInArrow(_reader(root, chunk, data), CHUNKS)
 
 
 def warc_round_trip(pages: DataFrame, **options) -> DataFrame:

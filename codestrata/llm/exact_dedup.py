@@ -40,6 +40,8 @@ def keyed_state(spark: SparkSession, ledger: str, schema, state: str, out: str,
     child = spark.newSession()
     for key, value in (
         ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"),
+        ("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true"),
+        ("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false"),  # many small stores: no disk set aside
         ("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true"),
         ("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256"),
         ("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")),

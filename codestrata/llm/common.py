@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,13 +141,38 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Bytes of text that are hashed at once: 8-byte values of a block fit the processor's caches.
+BLOCK = 1 << 18
+
+
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a polynomial over random byte values, by prefix sums in blocks."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """A 64-bit hash of each word's bytes: a polynomial over random byte values, by prefix sums in blocks of text."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
     with np.errstate(over="ignore"):
-        power, inverse = _powers(len(raw) + 1)
-        prefix = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * power[: len(raw)], out=prefix[1:])
-        value = (prefix[ends] - prefix[starts]) * inverse[starts]
-        return mix64(value + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        while at < len(starts):
+            lo = starts[at]
+            to = max(at + 1, int(np.searchsorted(ends, lo + BLOCK, side="right")))
+            if ends[at] - lo > BLOCK:  # one long word, piece by piece
+                power, _ = _powers(BLOCK)
+                for piece in range(lo, ends[at], BLOCK):
+                    part = _BYTE[raw[piece : min(piece + BLOCK, ends[at])]]
+                    out[at] += (part * power[: len(part)]).sum(dtype=np.uint64) * np.uint64(pow(_BASE, int(piece - lo), 1 << 64))
+                at += 1
+                continue
+            hi = ends[to - 1]
+            power, inverse = _powers(BLOCK + 1)
+            prefix = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum(_BYTE[raw[lo:hi]] * power[: hi - lo], out=prefix[1:])
+            out[at:to] = (prefix[ends[at:to] - lo] - prefix[starts[at:to] - lo]) * inverse[starts[at:to] - lo]
+            at = to
+        return mix64(out + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
+    """Slices of batch with about so many bytes of text each, and at least one row: working memory follows them, not the batch."""
+    sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1 if len(sizes) else []
+    for a, b in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, fresh_dir, located, mix64, small, stored, word_hashes, word_spans
+from .common import LOWER, buffers, fresh_dir, located, mix64, pieces, small, stored, word_hashes, word_spans
 from .components import components
 
 ROWS = 4
@@ -93,7 +93,7 @@ def banded(h: np.ndarray) -> tuple[np.ndarray, bytes]:
 
 def _signed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             raw, offsets = buffers(batch.column("text"))
             values, out = shingles(raw, offsets, width)
             n, digests, bands, signatures = [], [], [], []
@@ -111,7 +111,7 @@ def _signed(width: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             raw, offsets = buffers(batch.column("text"))
             values, out = shingles(raw, offsets, width)
             sets = [np.unique(values[a:b]).tobytes() for a, b in zip(out[:-1], out[1:], strict=True)]

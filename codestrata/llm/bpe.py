@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 #: Whole words up to this many characters are cached, so many at most.
 CACHED_CHARS, CACHED_WORDS = 48, 1 << 18
 
@@ -255,7 +257,7 @@ def _coder(path: str):
         encoder = Encoder.load(path)
         names = encoder.merges.names
         digits = [str(i) for i in range(len(names))]
-        for batch in batches:
+        for batch in (p for whole in batches for p in pieces(whole, "text")):
             counts, ids_sha, text_sha = [], [], []
             for text in batch.column(1):
                 ids = encoder.encode(text.as_py() or "")
@@ -281,13 +283,19 @@ def encode_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(_coder(path or default_path()), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def encoded(docs: DataFrame, *, text_col: str = "text", path: str | None = None, out: str = "tokens") -> DataFrame:
-    """docs with the ids of the text as an array column."""
-    path = path or default_path()
-
-    @F.pandas_udf("array<int>")
-    def ids(texts):
+def _listed(path: str, carried: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(path)
-        return texts.map(lambda t: encoder.encode(t or ""))
+        for batch in (p for whole in batches for p in pieces(whole, "__text")):
+            lists = [encoder.encode(t.as_py() or "") for t in batch.column("__text")]
+            n = pa.array([len(x) for x in lists], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), n, pa.array(lists, pa.list_(pa.int32()))], [*carried, "n_tokens", "ids"])
+
+    return run
+
 
-    return docs.withColumn(out, ids(F.col(text_col)))
+def encoded(docs: DataFrame, *, text_col: str = "text", path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns keep of docs, then n_tokens and ids (array<int>)."""
+    rows = docs.select(*keep, F.col(text_col).alias("__text"))
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_tokens bigint, ids array<int>"
+    return rows.mapInArrow(_listed(path or default_path(), [*keep]), schema)

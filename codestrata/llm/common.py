@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Of the separators between words, as a regular expression class body (Java, RE2 and Python).
@@ -53,21 +53,26 @@ def located(docs: DataFrame, name: str) -> DataFrame:
 
     Rows read straight from Parquet are located in their own files. Anything else is first written to the shared folder.
     """
-    from pyspark.errors import AnalysisException
+    docs = docs if plain(docs) else stored(docs, f"{name}-content")
+    return docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+
 
-    def add(df: DataFrame) -> DataFrame:
-        return df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+def plain(docs: DataFrame) -> bool:
+    """If rows of docs can be located in the files that it reads."""
+    from pyspark.errors import AnalysisException
 
     try:
-        return add(docs)
+        docs.select("_metadata.row_index")
+        return True
     except AnalysisException:
-        return add(stored(docs, f"{name}-content"))
+        return False
 
 
-def id_order(col: str | Column) -> tuple[Column, Column]:
-    """Sort keys of an id, null last."""
-    c = F.col(col) if isinstance(col, str) else col
-    return c.isNull(), c
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, read from Parquet files, without the rows that gone locates (__path, __row)."""
+    gone = stored(gone.select(F.col("__path").alias("__p"), F.col("__row").alias("__r")), "gone")
+    rows = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+    return rows.join(small(gone), (F.col("__path") == F.col("__p")) & (F.col("__row") == F.col("__r")), "left_anti").select(*docs.columns)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

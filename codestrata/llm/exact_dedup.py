@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh_dir, located, small, stored
+from .common import fresh_dir, located, plain, small, stored, without
 
 #: Members of a group that meet its retained text in one slice.
 SLICE = 2048
@@ -66,7 +66,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     digest maps the normalised text to its key; a weak one costs comparisons, never results.
     """
     spark = docs.sparkSession
-    found = located(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "dedup") if _plain(docs) else located(stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "dedup-content"), "dedup")
+    found = located(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "dedup")
     norm = normalised(F.col("text"))
     ledger_dir = fresh_dir(spark, "dedup-ledger")
     ledger = found.select(digest(norm).alias("digest"), F.sha2(norm, 256).alias("text_sha256"), F.coalesce(F.length("text"), F.lit(0)).alias("n_points"), "doc_id", "__path", "__row")
@@ -100,20 +100,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return rows.select("doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("g_keep")).alias("keep_id"), n.cast("long").alias("group_size"), kept.alias("kept"), "text_sha256", "__path", "__row")
 
 
-def _plain(docs: DataFrame) -> bool:
-    """If rows of docs can be located in the files that it reads."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        docs.select("_metadata.row_index")
-        return True
-    except AnalysisException:
-        return False
-
-
 def without_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, with its columns."""
-    docs = docs if _plain(docs) else stored(docs, "dedup-input")
-    gone = stored(exact_dedup(docs, **options).where(~F.col("kept")).select(F.col("__path").alias("__p"), F.col("__row").alias("__r")), "dedup-gone")
-    rows = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
-    return rows.join(small(gone), (F.col("__path") == F.col("__p")) & (F.col("__row") == F.col("__r")), "left_anti").select(*docs.columns)
+    docs = docs if plain(docs) else stored(docs, "dedup-input")
+    return without(docs, exact_dedup(docs, **options).where(~F.col("kept")))

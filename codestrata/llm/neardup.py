@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, fresh_dir, located, mix64, pieces, small, stored, word_hashes, word_spans
+from .common import LOWER, buffers, fresh_dir, located, mix64, pieces, plain, small, stored, without, word_hashes, word_spans
 from .components import components
 
 ROWS = 4
@@ -238,13 +238,9 @@ def _rest(entries: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without near copies: of each group one row stays, that with the least id (then the first by locator)."""
-    from .exact_dedup import _plain
-
-    docs = docs if _plain(docs) else stored(docs, "near-input")
+    docs = docs if plain(docs) else stored(docs, "near-input")
     marked = near_duplicates(docs, **options)
     spare = marked.where("kept").groupBy("component_id").agg(F.min(F.struct("__path", "__row")).alias("s"), F.count(F.lit(1)).alias("c")).where("c > 1 and component_id is not null")
     gone = marked.join(spare.select(F.col("component_id").alias("__c"), "s"), F.col("component_id") == F.col("__c"), "left")
     gone = gone.where((F.col("n_shingles") > 0) & (~F.col("kept") | (F.col("s").isNotNull() & ~((F.col("__path") == F.col("s.__path")) & (F.col("__row") == F.col("s.__row"))))))
-    gone = stored(gone.select(F.col("__path").alias("__p"), F.col("__row").alias("__r")), "near-gone")
-    rows = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
-    return rows.join(small(gone), (F.col("__path") == F.col("__p")) & (F.col("__row") == F.col("__r")), "left_anti").select(*docs.columns)
+    return without(docs, gone)

@@ -5,8 +5,9 @@ works on classes, so thousands of copies cost one. Each element ranks the signat
 least of (rank + fraction), and ranking stops once no later rank can win, after two or three ranks for texts of usual length.
 
 Pairs within a bucket of a band are never all formed while groups are unknown: members meet a few leaders first, links are verified and
-grouped, and this is repeated with other leaders. Only pairs of a bucket that are still in different groups after that, and that no
-round has met, are formed, in slices, so no link is lost; for whole groups of copies these are few.
+grouped. In buckets with several groups left, each member's shingles that no other member anywhere has are counted: these bound what it
+can share, so members that can't be linked go, and the members that share most lead the next rounds. Pairs still in different groups
+after that, that have not met and that the bounds allow, are formed in slices and verified, so no link is lost.
 
 Defined cases: a null text or one without words has an empty set, size 0, and is linked with nothing; a text with fewer words than a
 shingle has one shingle, the whole sequence; repeated rows form one class; null ids come last among the ids of a group; an empty table
@@ -35,6 +36,7 @@ SHARE = 0.55
 STAR_ROUNDS = 3
 LEADERS = 2
 SLICE = 512
+_SETS = "node bigint, items array<bigint>"
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _COEFFICIENTS = mix64(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
@@ -114,8 +116,8 @@ def _sets(width: int):
         for batch in (part for whole in batches for part in pieces(whole, "text")):
             raw, offsets = buffers(batch.column("text"))
             values, out = shingles(raw, offsets, width)
-            sets = [np.unique(values[a:b]).tobytes() for a, b in zip(out[:-1], out[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "items"])
+            sets = [np.unique(values[a:b]).view(np.int64) for a, b in zip(out[:-1], out[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "items"])
 
     return run
 
@@ -132,9 +134,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The size of each pair's intersection."""
     for batch in batches:
         out = np.empty(len(batch), np.int64)
-        for k, (a, b) in enumerate(zip(batch.column("a_items"), batch.column("b_items"), strict=True)):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
-            both = np.concatenate([x, y])
+        sides = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("a_items"), batch.column("b_items"))]
+        for k in range(len(batch)):
+            both = np.concatenate([values[at[k] : at[k + 1]] for values, at in sides])
             both.sort()
             out[k] = np.count_nonzero(both[1:] == both[:-1])
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "a_n", "b_n")] + [pa.array(out)], ["a", "b", "a_n", "b_n", "shared"])
@@ -153,42 +155,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "s.doc_id", "s.path", "s.row", "s.n", "s.bands", "s.signature"), "near-classes")
 
     entries = classes.select(F.explode("bands").alias("key"), "node", "n")
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    buckets = stored(entries.join(shared, "key"), "near-buckets")
-    roots = met = links = None
-    sets_dir, have = fresh_dir(docs.sparkSession, "near-sets"), None
-    for r in range(star_rounds + 1):
-        now = buckets if roots is None else _open(buckets, roots)
-        if r < star_rounds:
-            pairs = _stars(now, r, first=roots is None)
-        else:
-            pairs = _rest(now)
-        pairs = pairs if met is None else pairs.join(met, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "near-pairs")
-        if pairs.isEmpty():
-            if r < star_rounds:
-                continue
-            break
-        met = pairs if met is None else met.union(pairs)
-        side = classes.select("node", "n", "signature")
-        likely = pairs.join(side.withColumnsRenamed({"node": "a", "n": "a_n", "signature": "a_s"}), "a").join(side.withColumnsRenamed({"node": "b", "n": "b_n", "signature": "b_s"}), "b")
-        likely = likely.where((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & F.pandas_udf(_alike, "boolean")("a_s", "b_s"))
-        likely = stored(likely.select("a", "b", "a_n", "b_n"), "near-likely")
-        if likely.isEmpty():
-            continue
-        need = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-        need = need if have is None else need.join(have.select("node"), "node", "left_anti")
-        need = stored(need.join(classes.select("node", "path", "row"), "node"), "near-need")
-        if not need.isEmpty():
-            texts = found.join(small(need), (F.col("__path") == F.col("path")) & (F.col("__row") == F.col("row"))).select("node", "text")
-            texts.mapInArrow(_sets(width), "node bigint, items binary").write.mode("append").parquet(sets_dir)
-            have = docs.sparkSession.read.schema("node bigint, items binary").parquet(sets_dir)
-        full = likely.join(have.withColumnsRenamed({"node": "a", "items": "a_items"}), "a").join(have.withColumnsRenamed({"node": "b", "items": "b_items"}), "b")
-        checked = full.select("a", "b", "a_n", "b_n", "a_items", "b_items").mapInArrow(_shared, "a bigint, b bigint, a_n bigint, b_n bigint, shared bigint")
-        new = stored(checked.where(100 * F.col("shared") >= percent * (F.col("a_n") + F.col("b_n") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            roots = components(new if roots is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new))
+    several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    buckets = stored(entries.join(several, "key"), "near-buckets")
+    search = _Search(found, classes, width, percent)
+    search.meet(_stars(buckets, 0))
+    left = _open(buckets.where("members > 2"), search.roots)  # buckets of two have met
+    if not left.isEmpty():
+        left = search.linkable(left)
+        for turn in range(1, star_rounds):
+            search.meet(_stars(left, turn))
+            left = _open(left, search.roots)
+        search.meet(_rest(left, percent))
+    roots = search.roots
 
     groups = classes.select("digest", "node", "doc_id")
     if roots is not None:
@@ -203,37 +181,101 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "__path", "__row")
 
 
+class _Search:
+    """Pairs of classes that have met, and the groups of those linked so far."""
+
+    def __init__(self, found: DataFrame, classes: DataFrame, width: int, percent: int):
+        self.found, self.classes, self.width, self.percent = found, classes, width, percent
+        self.met: DataFrame | None = None
+        self.roots: DataFrame | None = None
+        self.sets_dir, self.sets = fresh_dir(found.sparkSession, "near-sets"), None
+
+    def fetch(self, nodes: DataFrame) -> None:
+        """Have the full sets of these nodes; texts are read again for those that are missing only."""
+        nodes = nodes if self.sets is None else nodes.join(self.sets.select("node"), "node", "left_anti")
+        need = stored(nodes.join(self.classes.select("node", "path", "row"), "node"), "near-need")
+        if not need.isEmpty():
+            texts = self.found.join(small(need), (F.col("__path") == F.col("path")) & (F.col("__row") == F.col("row"))).select("node", "text")
+            texts.mapInArrow(_sets(self.width), _SETS).write.mode("append").parquet(self.sets_dir)
+            self.sets = self.found.sparkSession.read.schema(_SETS).parquet(self.sets_dir)
+
+    def meet(self, pairs: DataFrame) -> None:
+        """Verify the pairs (a, b) that haven't met yet, on full sets, and join the groups of those that are linked."""
+        pairs = pairs if self.met is None else pairs.join(self.met, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "near-pairs")
+        if pairs.isEmpty():
+            return
+        self.met = pairs if self.met is None else stored(self.met.union(pairs), "near-met")
+        side = self.classes.select("node", "n", "signature")
+        likely = pairs.join(side.withColumnsRenamed({"node": "a", "n": "a_n", "signature": "a_s"}), "a").join(side.withColumnsRenamed({"node": "b", "n": "b_n", "signature": "b_s"}), "b")
+        likely = likely.where((100 * F.least("a_n", "b_n") >= self.percent * F.greatest("a_n", "b_n")) & F.pandas_udf(_alike, "boolean")("a_s", "b_s"))
+        likely = stored(likely.select("a", "b", "a_n", "b_n"), "near-likely")
+        if likely.isEmpty():
+            return
+        self.fetch(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
+        full = likely.join(self.sets.withColumnsRenamed({"node": "a", "items": "a_items"}), "a").join(self.sets.withColumnsRenamed({"node": "b", "items": "b_items"}), "b")
+        checked = full.select("a", "b", "a_n", "b_n", "a_items", "b_items").mapInArrow(_shared, "a bigint, b bigint, a_n bigint, b_n bigint, shared bigint")
+        new = stored(checked.where(100 * F.col("shared") >= self.percent * (F.col("a_n") + F.col("b_n") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
+        if not new.isEmpty():
+            self.roots = components(new if self.roots is None else self.roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new))
+
+    def linkable(self, entries: DataFrame) -> DataFrame:
+        """The entries whose node can still be linked to another entry's, with that node's most shared items.
+
+        A shingle that no other of these nodes has is in no intersection. A node of n shingles with so few others that they are under the
+        threshold of n is linked to none of them. Counts are summed before any shuffle; a shingle that all nodes share is a row per task.
+        """
+        nodes = stored(entries.select("node").distinct(), "near-nodes")
+        self.fetch(nodes)
+        items = self.sets.join(nodes, "node", "left_semi").select("node", F.explode("items").alias("item"))
+        own = items.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+        out = entries.join(own, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+        return stored(out.where(100 * F.col("most") >= self.percent * F.col("n")), "near-linkable")
+
+
 def _pair(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _open(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """The entries, with their root, of buckets with more than one group; buckets of two have met already."""
-    rooted = buckets.where("members > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+def _open(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The entries, with their root, of buckets with more than one group."""
+    rooted = entries.drop("root", "members")
+    rooted = rooted.withColumn("root", F.col("node")) if roots is None else rooted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("key", "members")
     return stored(rooted.join(several, "key"), "near-open")
 
 
-def _stars(entries: DataFrame, turn: int, first: bool) -> DataFrame:
-    """Pairs of each member with its bucket's leaders: the least by a seeded order, with four orders dealt over the buckets."""
-    picks = [F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(4)), F.lit(turn * LEADERS + k)).alias("h"), F.col("node").alias("node"), *([] if first else [F.col("root").alias("root")]))).alias(f"l{k}") for k in range(LEADERS)]
-    leaders = entries.groupBy("key").agg(*picks)
-    joined = entries.join(leaders, "key").withColumn("l", F.explode(F.array_distinct(F.array(*[F.col(f"l{k}") for k in range(LEADERS)]))))
-    joined = joined.where(F.col("node") != F.col("l.node"))
-    if not first:
+def _stars(entries: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each member with its bucket's leaders in other groups.
+
+    Leaders are the least by a seeded order, of which four are dealt over the buckets; once it is known what nodes share, one leader is
+    the node with the largest part of its set shared: in a group of edited copies that is the least edited, to which most are linked.
+    """
+    root = [F.col("root")] if "root" in entries.columns else []
+
+    def pick(order: list):
+        return F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col("node").alias("node"), *root))
+
+    seeded = [pick([F.xxhash64("node", F.pmod("key", F.lit(4)), F.lit(turn * LEADERS + k))]) for k in range(LEADERS)]
+    picks = [pick([-F.col("most") / F.col("n"), F.col("node")]), *seeded[1:]] if "most" in entries.columns else seeded
+    kind = "struct<node:bigint" + (",root:bigint>" if root else ">")
+    leaders = entries.groupBy("key").agg(*[p.alias(f"p{k}") for k, p in enumerate(picks)])
+    leaders = leaders.select("key", F.array_distinct(F.array(*[F.struct(F.col(f"p{k}.node").alias("node"), *([F.col(f"p{k}.root").alias("root")] if root else [])).cast(kind) for k in range(len(picks))])).alias("ls"))
+    joined = entries.join(leaders, "key").withColumn("l", F.explode("ls")).where(F.col("node") != F.col("l.node"))
+    if root:
         joined = joined.where(F.col("root") != F.col("l.root"))
     return joined.select(*_pair(F.col("node"), F.col("l.node"))).distinct()
 
 
-def _rest(entries: DataFrame) -> DataFrame:
-    """All pairs of a bucket's members that are in different groups, formed in slices of the bucket."""
-    if "root" not in entries.columns:
-        entries = entries.where("members > 2").withColumn("root", F.col("node"))
+def _rest(entries: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a bucket's members in different groups that what they share allows to be linked, formed in slices of the bucket."""
     slices = F.ceil(F.col("members") / SLICE).cast("int")
-    left = entries.select("key", F.pmod(F.xxhash64("node"), slices).cast("int").alias("slice"), F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"))
-    right = entries.select("key", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("n").alias("y_n"))
-    both = left.join(right, ["key", "slice"]).where((F.col("x") < F.col("y")) & (F.col("x_root") != F.col("y_root")) & (2 * F.least("x_n", "y_n") >= F.greatest("x_n", "y_n")))
-    return both.select(*_pair(F.col("x"), F.col("y"))).distinct()
+    left = entries.select("key", F.pmod(F.xxhash64("node"), slices).cast("int").alias("slice"), *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "n", "most")])
+    right = entries.select("key", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "n", "most")])
+    most = F.least("x_most", "y_most")
+    can = 100 * most >= percent * (F.col("x_n") + F.col("y_n") - most)
+    both = left.join(right, ["key", "slice"]).where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & can)
+    return both.select(*_pair(F.col("x_node"), F.col("y_node"))).distinct()
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

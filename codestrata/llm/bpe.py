@@ -29,6 +29,8 @@ from .common import pieces
 
 #: Whole words up to this many characters are cached, so many at most.
 CACHED_CHARS, CACHED_WORDS = 48, 1 << 18
+CACHED_PIECES = 1 << 19
+_NONE = 1 << 30
 
 
 def byte_alphabet() -> list[str]:
@@ -50,7 +52,9 @@ class Merges:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split").replace(r"\s", r"\p{White_Space}"))
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
-        self.rules = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in reversed([*enumerate(pairs)])}
+        #: Rank by pair of ids (in one number), and the id that each rank's merge makes.
+        self.rank = {(self.vocab[a] << 20) | self.vocab[b]: rank for rank, (a, b) in reversed([*enumerate(pairs)])}
+        self.made = [self.vocab[a + b] for a, b in pairs]
         letters = byte_alphabet()
         self.inner = [self.vocab.get(c, -1) for c in letters]
         self.final = [self.vocab.get(c + self.suffix, -1) for c in letters]
@@ -74,34 +78,43 @@ class Merges:
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply the merges by rank, leftmost first."""
-        if len(symbols) > 24:
+        if len(symbols) < 2:
+            return symbols
+        if len(symbols) > 64:
             return self._merge_long(symbols)
-        rules, out = self.rules, symbols
-        while len(out) > 1:
-            best = min(((rule[0], i) for i, pair in enumerate(zip(out, out[1:])) if (rule := rules.get(pair))), default=None)  # noqa: B905
-            if best is None:
-                break
-            i = best[1]
-            out = [*out[:i], rules[out[i], out[i + 1]][1], *out[i + 2 :]]
+        rank, out = self.rank.get, [*symbols]
+        ranks = [rank((a << 20) | b, _NONE) for a, b in zip(out, out[1:])]  # noqa: B905
+        while ranks and (best := min(ranks)) != _NONE:
+            i = ranks.index(best)
+            out[i] = self.made[best]
+            del out[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((out[i] << 20) | out[i + 1], _NONE)
+            if i:
+                ranks[i - 1] = rank((out[i - 1] << 20) | out[i], _NONE)
         return out
 
     def _merge_long(self, symbols: list[int]) -> list[int]:
-        rules, n = self.rules, len(symbols)
+        rank, n = self.rank.get, len(symbols)
         token, after, before = [*symbols], [*range(1, n + 1)], [*range(-1, n - 1)]
-        heap = [(rule[0], i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (rule := rules.get((symbols[i], symbols[i + 1])))]
+        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := rank((symbols[i] << 20) | symbols[i + 1], _NONE)) != _NONE]
         heapq.heapify(heap)
+
+        def offer(i: int, j: int) -> None:
+            if (r := rank((token[i] << 20) | token[j], _NONE)) != _NONE:
+                heapq.heappush(heap, (r, i, token[i], token[j]))
+
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i] if token[i] == a else n
             if j >= n or token[j] != b:
                 continue
-            token[i], token[j], after[i] = rules[a, b][1], -2, after[j]
+            token[i], token[j], after[i] = self.made[r], -2, after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if rule := rules.get((token[i], token[after[i]])):
-                    heapq.heappush(heap, (rule[0], i, token[i], token[after[i]]))
-            if before[i] >= 0 and (rule := rules.get((token[before[i]], token[i]))):
-                heapq.heappush(heap, (rule[0], before[i], token[before[i]], token[i]))
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
         return [t for t in token if t != -2]
 
 
@@ -154,6 +167,7 @@ class Encoder:
     def __init__(self, path: str):
         self.merges = Merges(path)
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.merges.special) + ")") if self.merges.special else None
 
     @staticmethod
@@ -173,16 +187,23 @@ class Encoder:
 
     def word(self, word: str) -> tuple[int, ...]:
         """The ids of one such stretch."""
-        out: list[int] = []
-        for piece in self.merges.pattern.findall(word):
+        pieces_ = (word,) if word.isalpha() else self.merges.pattern.findall(word)
+        if len(pieces_) == 1:
+            return self.piece(pieces_[0])
+        return tuple(chain.from_iterable(map(self.piece, pieces_)))
+
+    def piece(self, piece: str) -> tuple[int, ...]:
+        """The ids of what the pattern takes as one word."""
+        ids = self.pieces.get(piece)
+        if ids is None:
             data = piece.encode("utf-8", "replace")
             transducer = Transducer(self.merges)
-            if len(data) < transducer.window:
-                out.extend(transducer.whole(data))
-            else:
-                out.extend(transducer.feed(data))
-                out.extend(transducer.finish())
-        return tuple(out)
+            ids = tuple(transducer.whole(data) if len(data) < transducer.window else chain(transducer.feed(data), transducer.finish()))
+            if len(piece) <= CACHED_CHARS:
+                if len(self.pieces) >= CACHED_PIECES:
+                    self.pieces.clear()
+                self.pieces[piece] = ids
+        return ids
 
     def stream(self, text: str) -> Iterator[int]:
         """The ids of a text, one by one; only a window of a long word is held."""

@@ -24,21 +24,20 @@ def flow_edges(edges: DataFrame) -> DataFrame:
 def paths_from(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """All acyclic paths of up to depth edges from each start (entry_id, symbol_id): entry_id, symbol_id, depth, path (array).
 
-    One recursive query for all starts, keyed by entry; parallel edges give a row each. A path never meets a symbol twice (exact test).
+    One traversal for all starts, keyed by entry, a level at a time; parallel edges give a row each. A path never meets a symbol twice
+    (exact test). A level is checkpointed, so it runs once and plans don't grow with depth, and no recursion limit on rows applies; a
+    level without rows ends it. Edges are dealt by source once, for all levels.
     """
-    spark = starts.sparkSession
-    return spark.sql(
-        f"""
-        WITH RECURSIVE flow(entry_id, symbol_id, depth, path) MAX RECURSION LEVEL {depth + 2} AS (
-          SELECT entry_id, symbol_id, 0, array(symbol_id) FROM {{starts}}
-          UNION ALL
-          SELECT f.entry_id, e.dst, f.depth + 1, array_append(f.path, e.dst)
-          FROM flow f JOIN {{edges}} e ON e.src = f.symbol_id
-          WHERE f.depth < {depth} AND NOT array_contains(f.path, e.dst)
-        ) SELECT * FROM flow""",
-        starts=starts.select("entry_id", "symbol_id"),
-        edges=edges,
-    )
+    edges = durable(edges.select("src", "dst").repartition("src"))
+    front = durable(starts.select("entry_id", "symbol_id", F.lit(0).alias("depth"), F.array("symbol_id").alias("path")))
+    out = front
+    for d in range(1, depth + 1):
+        step = front.join(edges, front["symbol_id"] == edges["src"]).where(~F.array_contains("path", F.col("dst")))
+        front = durable(step.select("entry_id", F.col("dst").alias("symbol_id"), F.lit(d).alias("depth"), F.array_append("path", F.col("dst")).alias("path")))
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
+    return out
 
 
 def described(flow: DataFrame, symbols: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -84,7 +83,7 @@ def shortest_paths(starts: DataFrame, pairs: DataFrame, depth: int, targets: Dat
     Breadth first over pairs (src, dst), keeping one path a symbol and start: the least in text order of those of least depth. Levels are
     checkpointed, so no plan grows with depth; a level that reaches nothing new ends it. targets (entry_id, symbol_id) filters the result.
     """
-    pairs = pairs.select("src", "dst").where("src <> dst").distinct()
+    pairs = durable(pairs.select("src", "dst").where("src <> dst").distinct())
     least = Window.partitionBy("entry_id", "symbol_id").orderBy("text")
     seen = front = starts.select("entry_id", "symbol_id", F.lit(0).alias("depth"), F.array("symbol_id").alias("path"))
     for d in range(1, depth + 1):

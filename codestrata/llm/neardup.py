@@ -6,8 +6,9 @@ least of (rank + fraction), and ranking stops once no later rank can win, after
 
 Pairs within a bucket of a band are never all formed while groups are unknown: members meet a few leaders first, links are verified and
 grouped. In buckets with several groups left, each member's shingles that no other member anywhere has are counted: these bound what it
-can share, so members that can't be linked go, and the members that share most lead the next rounds. Pairs still in different groups
-after that, that have not met and that the bounds allow, are formed in slices and verified, so no link is lost.
+can share, so members that can't be linked go, and the members that share most lead the next rounds. After that, pairs in different
+groups can only be linked if they share changes against the member that leads them both; just these are formed and verified, so no link
+is lost.
 
 Defined cases: a null text or one without words has an empty set, size 0, and is linked with nothing; a text with fewer words than a
 shingle has one shingle, the whole sequence; repeated rows form one class; null ids come last among the ids of a group; an empty table
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, buffers, fresh_dir, located, mix64, pieces, plain, small, stored, without, word_hashes, word_spans
@@ -35,7 +36,6 @@ PLACES = ROWS * BANDS
 SHARE = 0.55
 STAR_ROUNDS = 3
 LEADERS = 2
-SLICE = 512
 _SETS = "node bigint, items array<bigint>"
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -142,6 +142,20 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "a_n", "b_n")] + [pa.array(out)], ["a", "b", "a_n", "b_n", "shared"])
 
 
+def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per member the items that it lacks of its centre's and those that it adds, told apart, and the number that it lacks."""
+    for batch in batches:
+        (own, at), (core, core_at) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("items"), batch.column("c_items")))
+        lists, lacks = [], []
+        for k in range(len(batch)):
+            x, c = own[at[k] : at[k + 1]], core[core_at[k] : core_at[k + 1]]
+            gone, new = np.setdiff1d(c, x, assume_unique=True), np.setdiff1d(x, c, assume_unique=True)
+            lacks.append(len(gone))
+            lists.append(np.concatenate([mix64(gone.view(np.uint64) ^ _STEP).view(np.int64), new]))
+        sizes = pa.array(np.diff(core_at), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("centre", "node", "root", "n")), sizes, pa.array(lacks, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["centre", "node", "root", "n", "c_n", "lacks", "items"])
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept, and the locator __path, __row.
 
@@ -165,7 +179,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for turn in range(1, star_rounds):
             search.meet(_stars(left, turn))
             left = _open(left, search.roots)
-        search.meet(_rest(left, percent))
+        centres = stored(left.groupBy("key").agg(F.min(F.struct((-F.col("most") / F.col("n")).alias("o"), "node"))["node"].alias("centre")), "near-centres")
+        search.meet(left.join(centres, "key").where("node <> centre").select(*_pair(F.col("node"), F.col("centre"))).distinct())
+        search.meet(search.rest(_open(left, search.roots).join(centres, "key")))
     roots = search.roots
 
     groups = classes.select("digest", "node", "doc_id")
@@ -233,6 +249,39 @@ class _Search:
         return stored(out.where(100 * F.col("most") >= self.percent * F.col("n")), "near-linkable")
 
 
+    def rest(self, entries: DataFrame) -> DataFrame:
+        """Pairs (a, b) in different groups that can be linked at all, among the members that share a centre.
+
+        All members have met their centre c. With A(x) what x lacks of c and B(x) what it has beyond c, two members share
+        |c| - |A(x)| - |A(y)| + (what A(x), A(y) share) + (what B(x), B(y) share) items. To be linked they must share a least number of
+        items, so of A and B together at least `need` of them; were need not positive, both would be linked to c. So pairs are sought
+        that share a changed item, by prefixes: of a member's d changed items in order of rising frequency, one of the first
+        d - need + 1 is shared. Changed items that no other member has pair with nothing.
+        """
+        members = entries.select("centre", "node", "root", "n").distinct()
+        members = stored(members, "near-members")
+        self.fetch(members.select("node").union(members.select("centre")).distinct())
+        sets = self.sets
+        both = members.join(sets, "node").join(sets.select(F.col("node").alias("centre"), F.col("items").alias("c_items")), "centre")
+        changed = stored(both.select("centre", "node", "root", "n", "items", "c_items").mapInArrow(_changed, "centre bigint, node bigint, root bigint, n bigint, c_n bigint, lacks bigint, items array<bigint>"), "near-changed")
+        of_centre = members.where("node = centre").select("centre", F.col("root").alias("c_root"))
+        away = F.col("root") != F.col("c_root")
+        low = changed.join(of_centre, "centre").groupBy("centre").agg(F.min("n").alias("n_all"), F.min("lacks").alias("lacks_all"), F.min(F.when(away, F.col("n"))).alias("n_away"), F.min(F.when(away, F.col("lacks"))).alias("lacks_away"), F.first("c_root").alias("c_root"))
+        p = F.lit(self.percent)
+        n_other = F.greatest(F.when(away, F.col("n_all")).otherwise(F.col("n_away")), F.ceil(p * F.col("n") / 100))
+        lacks_other = F.when(away, F.col("lacks_all")).otherwise(F.col("lacks_away"))
+        need = F.greatest(F.ceil(p * (F.col("n") + n_other) / (100 + p)) - F.col("c_n") + F.col("lacks") + lacks_other, F.lit(1))
+        marked = changed.join(low, "centre").where("n_away is not null").withColumn("first", F.size("items") - need + 1).where("first > 0")
+        marked = marked.select("centre", "node", "root", "n", "lacks", "c_n", "first", F.explode("items").alias("item"))
+        often = marked.groupBy("centre", "item").agg(F.count(F.lit(1)).alias("c"))
+        ranked = marked.join(often, ["centre", "item"]).withColumn("place", F.row_number().over(Window.partitionBy("centre", "node").orderBy("c", "item"))).where("place <= first and c > 1")
+        ranked = stored(ranked.select("centre", "item", "node", "root", "n", "lacks", "c_n"), "near-ranked")
+        left, right = (ranked.select("centre", "item", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "root", "n", "lacks", "c_n")]) for s in "xy")
+        pairs = left.join(right, ["centre", "item"]).where("x_node < y_node and x_root <> y_root")
+        pairs = pairs.where(100 * F.least("x_n", "y_n") >= p * F.greatest("x_n", "y_n"))
+        return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+
+
 def _pair(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -267,17 +316,6 @@ def _stars(entries: DataFrame, turn: int) -> DataFrame:
     return joined.select(*_pair(F.col("node"), F.col("l.node"))).distinct()
 
 
-def _rest(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket's members in different groups that what they share allows to be linked, formed in slices of the bucket."""
-    slices = F.ceil(F.col("members") / SLICE).cast("int")
-    left = entries.select("key", F.pmod(F.xxhash64("node"), slices).cast("int").alias("slice"), *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "n", "most")])
-    right = entries.select("key", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"), *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "n", "most")])
-    most = F.least("x_most", "y_most")
-    can = 100 * most >= percent * (F.col("x_n") + F.col("y_n") - most)
-    both = left.join(right, ["key", "slice"]).where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & can)
-    return both.select(*_pair(F.col("x_node"), F.col("y_node"))).distinct()
-
-
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without near copies: of each group one row stays, that with the least id (then the first by locator)."""
     docs = docs if plain(docs) else stored(docs, "near-input")

@@ -18,12 +18,16 @@ WORD = rf"[^{SPACE}]+"
 BROADCAST_ROWS = 300_000
 
 
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="codestrata-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="codestrata-"))
+        found = _OWN[0]
     return found.rstrip("/")
 
 

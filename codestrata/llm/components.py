@@ -31,6 +31,20 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.array([find(parent, int(x)) for x in nodes], np.int64))], ["u", "v"])
 
 
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges of a task: every node with its root."""
+    parent: dict[int, int] = {}
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(parent, a), find(parent, b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = [*parent]
+    for k in range(0, len(nodes), 1 << 17):
+        part = nodes[k : k + (1 << 17)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(parent, x) for x in part], pa.int64())], ["node", "root"])
+
+
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
     """Link each node's neighbours (for small, those not above it) to the least of them and it. Groups are reduced by min, never listed."""
     near = edges.select("u", "v") if small else edges.select("u", "v").union(edges.select("v", "u"))
@@ -45,13 +59,19 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: What union-find within partitions leaves may be finished by one task up to so many edges (some 200 MB); beyond, stars do it.
+ONE_TASK = 1_000_000
+
+
+def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root) for each node of edges (u, v: bigint); root is the least node of its component, itself included.
 
-    Every round is a table in the shared folder. It ends when a round changes nothing, after about log2 of the longest path; an error
-    is raised if rounds don't suffice. No edges: no rows.
+    Every round of stars is a table in the shared folder. They end when a round changes nothing, after about log2 of the longest path; an
+    error is raised if rounds don't suffice. No edges: no rows. The result is the same with one task and with stars.
     """
     now = stored(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_forest, "u bigint, v bigint"), "cc")
+    if now.limit(one_task + 1).count() <= one_task:
+        return stored(now.repartition(1).mapInArrow(_finish, "node bigint, root bigint"), "cc")
     mark = None
     for _ in range(rounds):
         now = stored(_stars(_stars(now, small=False), small=True), "cc")

@@ -6,9 +6,9 @@ least of (rank + fraction), and ranking stops once no later rank can win, after
 
 Pairs within a bucket of a band are never all formed while groups are unknown: members meet a few leaders first, links are verified and
 grouped. In buckets with several groups left, each member's shingles that no other member anywhere has are counted: these bound what it
-can share, so members that can't be linked go, and the members that share most lead the next rounds. After that, pairs in different
-groups can only be linked if they share changes against the member that leads them both; just these are formed and verified, so no link
-is lost.
+can share, so members that can't be linked go, and the rest meet their bucket's centre, the member that shares most. After that, pairs in
+different groups can only be linked if they share changes against the centre that both have met; just these are formed and verified, so
+no link is lost.
 
 Defined cases: a null text or one without words has an empty set, size 0, and is linked with nothing; a text with fewer words than a
 shingle has one shingle, the whole sequence; repeated rows form one class; null ids come last among the ids of a group; an empty table
@@ -34,7 +34,6 @@ BANDS = 28
 PLACES = ROWS * BANDS
 #: Least share of equal places for a pair to be verified. At a similarity of 0.8 a signature falls below 0.55 with probability under 1e-9.
 SHARE = 0.55
-STAR_ROUNDS = 3
 LEADERS = 2
 _SETS = "node bigint, items array<bigint>"
 
@@ -156,7 +155,7 @@ def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("centre", "node", "root", "n")), sizes, pa.array(lacks, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["centre", "node", "root", "n", "c_n", "lacks", "items"])
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept, and the locator __path, __row.
 
     Texts are linked if 100 * intersection >= percent * union; component_id is the least id reachable. kept is true where the row's id is
@@ -172,13 +171,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = stored(entries.join(several, "key"), "near-buckets")
     search = _Search(found, classes, width, percent)
-    search.meet(_stars(buckets, 0))
+    search.meet(_stars(buckets))
     left = _open(buckets.where("members > 2"), search.roots)  # buckets of two have met
     if not left.isEmpty():
         left = search.linkable(left)
-        for turn in range(1, star_rounds):
-            search.meet(_stars(left, turn))
-            left = _open(left, search.roots)
         centres = stored(left.groupBy("key").agg(F.min(F.struct((-F.col("most") / F.col("n")).alias("o"), "node"))["node"].alias("centre")), "near-centres")
         search.meet(left.join(centres, "key").where("node <> centre").select(*_pair(F.col("node"), F.col("centre"))).distinct())
         search.meet(search.rest(_open(left, search.roots).join(centres, "key")))
@@ -294,26 +290,12 @@ def _open(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
     return stored(rooted.join(several, "key"), "near-open")
 
 
-def _stars(entries: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each member with its bucket's leaders in other groups.
-
-    Leaders are the least by a seeded order, of which four are dealt over the buckets; once it is known what nodes share, one leader is
-    the node with the largest part of its set shared: in a group of edited copies that is the least edited, to which most are linked.
-    """
-    root = [F.col("root")] if "root" in entries.columns else []
-
-    def pick(order: list):
-        return F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col("node").alias("node"), *root))
-
-    seeded = [pick([F.xxhash64("node", F.pmod("key", F.lit(4)), F.lit(turn * LEADERS + k))]) for k in range(LEADERS)]
-    picks = [pick([-F.col("most") / F.col("n"), F.col("node")]), *seeded[1:]] if "most" in entries.columns else seeded
-    kind = "struct<node:bigint" + (",root:bigint>" if root else ">")
-    leaders = entries.groupBy("key").agg(*[p.alias(f"p{k}") for k, p in enumerate(picks)])
-    leaders = leaders.select("key", F.array_distinct(F.array(*[F.struct(F.col(f"p{k}.node").alias("node"), *([F.col(f"p{k}.root").alias("root")] if root else [])).cast(kind) for k in range(len(picks))])).alias("ls"))
-    joined = entries.join(leaders, "key").withColumn("l", F.explode("ls")).where(F.col("node") != F.col("l.node"))
-    if root:
-        joined = joined.where(F.col("root") != F.col("l.root"))
-    return joined.select(*_pair(F.col("node"), F.col("l.node"))).distinct()
+def _stars(entries: DataFrame) -> DataFrame:
+    """Pairs of each member with its bucket's leaders: the least by seeded orders, of which four are dealt over the buckets."""
+    picks = [F.min(F.struct(F.xxhash64("node", F.pmod("key", F.lit(4)), F.lit(k)).alias("o"), "node"))["node"].alias(f"p{k}") for k in range(LEADERS)]
+    leaders = entries.groupBy("key").agg(*picks).select("key", F.array_distinct(F.array(*[f"p{k}" for k in range(LEADERS)])).alias("ls"))
+    joined = entries.join(leaders, "key").withColumn("l", F.explode("ls")).where(F.col("node") != F.col("l"))
+    return joined.select(*_pair(F.col("node"), F.col("l"))).distinct()
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

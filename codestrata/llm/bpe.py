@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, small_batches
 
 #: Whole words up to this many characters are cached, so many at most.
 CACHED_CHARS, CACHED_WORDS = 48, 1 << 18
@@ -300,6 +300,7 @@ def default_path() -> str:
 
 def encode_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 (decimal ids, spaces between) and decoded_sha256. Rows stay where they are."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_coder(path or default_path()), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
@@ -317,6 +318,7 @@ def _listed(path: str, carried: list[str]):
 
 def encoded(docs: DataFrame, *, text_col: str = "text", path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep of docs, then n_tokens and ids (array<int>)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_tokens bigint, ids array<int>"
     return rows.mapInArrow(_listed(path or default_path(), [*keep]), schema)

@@ -36,6 +36,15 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of rows that go to Python at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session hand rows to Python in batches of a few megabytes: a batch is held several times on its way."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends there, any executor can read it."""
     spark = df.sparkSession

@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import fresh_dir, stored
+from .common import fresh_dir, small_batches, stored
 
 WIDTH = 192
 ARCHIVE_BYTES = 64 << 20
 SPLIT_BYTES = 16 << 20
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 TRIES = 4
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _MEMBERS = "doc_id bigint, n_bytes bigint, media binary"
@@ -139,24 +139,27 @@ class ByteRange(InputPartition):
 
 
 class MediaArchives(DataSource):
-    """format("media_archives").option("manifest", path): one row per member, with its id, unpadded length and stored bytes."""
+    """format("media_archives").option("manifest", path): one row per member, with its id, unpadded length and stored bytes.
+
+    With the option features, what is computed from the stored bytes instead of these.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "media_archives"
 
     def schema(self) -> str:
-        return _MEMBERS
+        return _FEATURES if self.options.get("features") == "true" else _MEMBERS
 
     def reader(self, schema) -> DataSourceReader:
-        return MediaReader(self.options["manifest"], int(self.options.get("splitBytes", SPLIT_BYTES)))
+        return MediaReader(self.options["manifest"], int(self.options.get("splitBytes", SPLIT_BYTES)), self.options.get("features") == "true")
 
 
 class MediaReader(DataSourceReader):
     """Plans ranges and reads them."""
 
-    def __init__(self, manifest: str, split: int):
-        self.manifest, self.split = manifest, split
+    def __init__(self, manifest: str, split: int, features: bool = False):
+        self.manifest, self.split, self.features = manifest, split, features
 
     def partitions(self) -> list[ByteRange]:
         files, base = fs.FileSystem.from_uri(self.manifest)
@@ -167,6 +170,10 @@ class MediaReader(DataSourceReader):
         return out or [ByteRange(self.manifest, "", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        return map(_featured, self.members(partition)) if self.features else self.members(partition)
+
+    def members(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+        """Batches of stored bytes."""
         if not partition.path:
             return
         files, _ = fs.FileSystem.from_uri(partition.uri)
@@ -211,27 +218,27 @@ def read_member(files, path: str, offset: int, size: int, crc: int, tries: int =
     raise AssertionError
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for member in batch.column("media"):
-            media = member.as_buffer().to_pybytes()
-            image = from_png(media)
-            payload = image.tobytes()
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(image)))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *made], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+def _featured(batch: pa.RecordBatch) -> pa.RecordBatch:
+    rows = []
+    for member in batch.column("media"):
+        media = member.as_buffer().to_pybytes()
+        image = from_png(media)
+        payload = image.tobytes()
+        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(image)))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *made], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
-def read_media(spark: SparkSession, manifest: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The members of the manifest's archives."""
+def read_media(spark: SparkSession, manifest: str, split_bytes: int = SPLIT_BYTES, features: bool = False) -> DataFrame:
+    """The members of the manifest's archives, or their features, computed where they are read."""
     spark.dataSource.register(MediaArchives)
-    return spark.read.format("media_archives").option("manifest", manifest).option("splitBytes", str(split_bytes)).load()
+    return spark.read.format("media_archives").option("manifest", manifest).option("splitBytes", str(split_bytes)).option("features", str(features).lower()).load()
 
 
 def media_features(docs: DataFrame, **options) -> DataFrame:
     """Store the payloads of docs, read them back and compute their features: one row per row of docs."""
     spark = docs.sparkSession
+    small_batches(spark)
     manifest = write_archives(docs, fresh_dir(spark, "media"), **options)
-    return read_media(spark, manifest).mapInArrow(_featured, _FEATURES)
+    return read_media(spark, manifest, features=True)

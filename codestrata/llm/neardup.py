@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, fresh_dir, located, mix64, pieces, plain, small, stored, without, word_hashes, word_spans
+from .common import LOWER, buffers, fresh_dir, located, mix64, pieces, plain, small, small_batches, stored, without, word_hashes, word_spans
 from .components import components
 
 ROWS = 4
@@ -161,6 +161,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Texts are linked if 100 * intersection >= percent * union; component_id is the least id reachable. kept is true where the row's id is
     that of its component, once for each row with that id.
     """
+    small_batches(docs.sparkSession)
     found = located(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "near")
     signed = stored(found.mapInArrow(_signed(width), "doc_id bigint, __path string, __row bigint, n bigint, digest binary, bands array<bigint>, signature binary"), "near-signed")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__path").alias("path"), F.col("__row").alias("row"), "n", "bands", "signature"))

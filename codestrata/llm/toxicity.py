@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 
 #: Parameters of learning: labelled rows read at most, lexicon entries at most, least toxic rows with an entry, least log-odds.
 SAMPLE, ENTRIES, LEAST_ROWS, LEAST_ODDS = 20_000, 4_000, 5, 3.5
@@ -158,6 +158,7 @@ def _scored(lexicon: Lexicon, beta: np.ndarray):
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold_no: int = 0, sample: int = SAMPLE) -> DataFrame:
     """Per row of docs: doc_id, held_out, score and predicted."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     lexicon, beta = learn(docs, labels, folds=folds, fold_no=fold_no, sample=sample)
     return docs.withColumn("held_out", held_out(F.col("doc_id"), folds, fold_no)).mapInArrow(_scored(lexicon, beta), "doc_id bigint, held_out boolean, score double, predicted int")

@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, stored
+from .common import fresh_dir, small_batches, stored
 
 CHUNK = 256 << 10
 LEAST_BYTES = 100
@@ -213,6 +213,7 @@ def warc_round_trip(pages: DataFrame, **options) -> DataFrame:
     A response's length and digest are those of the bytes read; a revisit's are those that its headers declare.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     root = fresh_dir(spark, "warc")
     manifest = write_warc(pages, plan_records(pages), root, **options)
     read = read_warc(spark, manifest, root, data=False).where("last")

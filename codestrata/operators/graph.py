@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
 from ..schemas import CLASS_KINDS, FLOW_KINDS, TYPE_KINDS
 
 MAX_FLOW, MAX_PATH = 25, 12
@@ -25,10 +26,10 @@ def paths_from(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """All acyclic paths of up to depth edges from each start (entry_id, symbol_id): entry_id, symbol_id, depth, path (array).
 
     One traversal for all starts, keyed by entry, a level at a time; parallel edges give a row each. A path never meets a symbol twice
-    (exact test). A level is checkpointed, so it runs once and plans don't grow with depth, and no recursion limit on rows applies; a
-    level without rows ends it. Edges are dealt by source once, for all levels.
+    (exact test). A level is a written table, so it runs once, plans don't grow with depth, no recursion limit on rows applies, and a
+    small level is broadcast by its size; a level without rows ends it.
     """
-    edges = durable(edges.select("src", "dst").repartition("src"))
+    edges = durable(edges.select("src", "dst"))
     front = durable(starts.select("entry_id", "symbol_id", F.lit(0).alias("depth"), F.array("symbol_id").alias("path")))
     out = front
     for d in range(1, depth + 1):
@@ -81,7 +82,7 @@ def shortest_paths(starts: DataFrame, pairs: DataFrame, depth: int, targets: Dat
     """From each start (entry_id, symbol_id) the shortest path to every type it reaches: entry_id, symbol_id, depth, path (array).
 
     Breadth first over pairs (src, dst), keeping one path a symbol and start: the least in text order of those of least depth. Levels are
-    checkpointed, so no plan grows with depth; a level that reaches nothing new ends it. targets (entry_id, symbol_id) filters the result.
+    written tables, so no plan grows with depth; a level that reaches nothing new ends it. targets (entry_id, symbol_id) filters the result.
     """
     pairs = durable(pairs.select("src", "dst").where("src <> dst").distinct())
     least = Window.partitionBy("entry_id", "symbol_id").orderBy("text")
@@ -97,16 +98,6 @@ def shortest_paths(starts: DataFrame, pairs: DataFrame, depth: int, targets: Dat
     return seen if targets is None else seen.join(targets, ["entry_id", "symbol_id"], "left_semi")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df checkpointed to the shared folder (spark.checkpoint.dir); a folder of its own where that is unset, as in tests."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codestrata-checkpoint-"))
-    return df.checkpoint()
-
-
 def find_dependency_path(symbols: DataFrame, edges: DataFrame, source: str, target: str, max_depth: int = 8, files: DataFrame | None = None) -> DataFrame:
     """The hops of the shortest class path: hop, from_class, to_class, kind, file, line. No rows if there is none or both are one class."""
     depth = max(1, min(max_depth, MAX_PATH))

@@ -419,3 +419,42 @@ def framework_roles(spark: SparkSession, d: str) -> DataFrame:
 def string_functions(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.select("event_id", text.failure_signature(F.lit("E"), F.lit("U"), F.col("user_id").cast("string")).alias("signature"), F.length("props").alias("n"), text.truncated(F.col("props"), 8, "…").alias("cut"), text.simple_name(F.concat(F.lit("a.b."), "event_type")).alias("simple"))
+
+
+_PATHS = "SELECT CASE doc_id % 4 WHEN 0 THEN 'target/' WHEN 1 THEN 'a/build/b/' WHEN 2 THEN 'targets/' ELSE '' END || source || CASE doc_id % 3 WHEN 0 THEN '/target' ELSE '/x' END || CASE doc_id % 5 WHEN 0 THEN '.log.1' WHEN 1 THEN '.JAVA' WHEN 2 THEN '.java' WHEN 3 THEN '.out' ELSE '' END AS path, n_chars AS size, doc_id FROM documents"
+
+
+@query(f"WITH p AS ({_PATHS}) SELECT doc_id, path, regexp_matches(path, '[.](JAVA|java)$') AS is_text, regexp_matches(path, '[.](log|out|txt)$|[.]log[.]') AS is_log FROM p WHERE size <= 4000 AND NOT regexp_matches(path, '(^|/)(target|build)/')")
+def source_walk(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources import files
+
+    name = F.substring_index("path", "/", -1)
+    kept = files.pruned(V.load(spark, d, _PATHS), ("target", "build"), 4000)
+    return kept.select("doc_id", "path", text.has_extension(name, ["java"]).alias("is_text"), search.is_log_file(name).alias("is_log"))
+
+
+_OWNERS = """SELECT 'U' || CAST(c_custkey AS STRING) AS id, CAST(NULL AS STRING) AS parent_id, 'CLASS' AS kind, 'app.U' || CAST(c_custkey AS STRING) AS fqn, 'U' AS simple_name, 'fu' AS file_id FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT 'V', NULL, 'CLASS', 'app.V', 'V', 'fv' FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'V#run', 'V', 'METHOD', 'app.V#run', 'run', 'fv' FROM region WHERE r_regionkey = 0
+UNION ALL SELECT 'U' || CAST(c_custkey AS STRING) || '#' || CAST(r_regionkey AS STRING), 'U' || CAST(c_custkey AS STRING), 'METHOD', 'x', 'm' || CAST(r_regionkey AS STRING), 'fu' FROM customer JOIN region ON r_regionkey <> 3 WHERE c_custkey % 2 = 0"""
+
+
+@query(
+    f"WITH {_CHUNKS}, {_FRAMES}, sy AS ({_OWNERS}), k AS (SELECT o.fqn AS c, m.simple_name AS m, min(m.id) AS id FROM sy m JOIN sy o ON o.id = m.parent_id WHERE m.kind = 'METHOD' GROUP BY 1, 2) SELECT fr.path, chunk, index, class_fqn, method, k.id AS symbol_id, k.id IS NOT NULL AS in_repo FROM fr LEFT JOIN k ON k.c = class_fqn AND k.m = CASE WHEN method LIKE 'lambda$%' THEN split_part(method, '$', 2) ELSE method END"
+)
+def locate_frames(spark: SparkSession, d: str) -> DataFrame:
+    frames = traces.parse_frames(traces.stack_chunks(V.load(spark, d, V.TRACE_LINES)), ["path", "chunk"])
+    return traces.locate_frames(frames, V.load(spark, d, _OWNERS)).select("path", "chunk", "index", "class_fqn", "method", "symbol_id", "in_repo")
+
+
+@query("SELECT CAST(n_nationkey AS STRING) AS id, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN 'COMPLETED' WHEN n_nationkey % 3 = 1 THEN 'FAILED' END, 'NOT_INDEXED') AS state FROM nation")
+def repo_status(spark: SparkSession, d: str) -> DataFrame:
+    repos = V.load(spark, d, "SELECT CAST(n_nationkey AS STRING) AS id FROM nation")
+    status = V.load(spark, d, "SELECT CAST(n_nationkey AS STRING) AS repo_id, CASE WHEN n_nationkey % 3 = 0 THEN 'COMPLETED' ELSE 'FAILED' END AS state FROM nation WHERE n_nationkey % 3 < 2")
+    return index.repo_status(repos, status).select("id", "state")
+
+
+@query(f"WITH {_BASE}, {_CLS} SELECT s.fqn AS from_class, t.fqn AS to_class, c.kind, c.line FROM (SELECT * FROM cls WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY line IS NULL, line, kind, file_id) = 1) c LEFT JOIN symbols s ON s.id = c.src LEFT JOIN symbols t ON t.id = c.dst")
+def hop_exemplars(spark: SparkSession, d: str) -> DataFrame:
+    cls, names = graph.class_edges(_symbols(spark, d), _edges(spark, d)), _symbols(spark, d)
+    steps = cls.where("src <> dst").select(F.col("src").alias("entry_id"), F.col("dst").alias("symbol_id"), F.array("src", "dst").alias("path")).distinct()
+    return graph.hops(steps, cls, names).select("from_class", "to_class", "kind", "line")

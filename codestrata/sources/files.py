@@ -96,9 +96,15 @@ def tree_on_any_store(spark: SparkSession, root: str, config: Config) -> DataFra
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), "^" + root.rstrip("/").replace("file://", ""), "")
     rel = F.ltrim(F.lit("/"), rel)
-    parts = F.split(rel, "/")
-    ignored = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*[F.lit(d) for d in config.ignored_dirs]))
-    return read.where(F.col("length") <= config.max_file_bytes).select(rel.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), "content").where(~ignored)
+    found = read.select(rel.alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), "content")
+    return pruned(found, config.ignored_dirs, config.max_file_bytes)
+
+
+def pruned(files: DataFrame, ignored: tuple[str, ...], most: int) -> DataFrame:
+    """The files (path relative to the root, size) under no ignored directory and not over most bytes. A file may bear an ignored name."""
+    parts = F.split("path", "/")
+    under = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*[F.lit(d) for d in ignored]))
+    return files.where((F.col("size") <= most) & ~under)
 
 
 def text_lines(files: DataFrame, extensions: tuple[str, ...]) -> DataFrame:

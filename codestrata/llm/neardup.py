@@ -269,13 +269,14 @@ class _Search:
         lacks_other = F.when(away, F.col("lacks_all")).otherwise(F.col("lacks_away"))
         need = F.greatest(F.ceil(p * (F.col("n") + n_other) / (100 + p)) - F.col("c_n") + F.col("lacks") + lacks_other, F.lit(1))
         marked = changed.join(low, "centre").where("n_away is not null").withColumn("first", F.size("items") - need + 1).where("first > 0")
-        marked = marked.select("centre", "node", "root", "n", "lacks", "c_n", "first", F.explode("items").alias("item"))
+        marked = marked.select("centre", "node", "root", "n", "lacks", "c_n", "first", F.size("items").alias("d"), F.explode("items").alias("item"))
         often = marked.groupBy("centre", "item").agg(F.count(F.lit(1)).alias("c"))
         ranked = marked.join(often, ["centre", "item"]).withColumn("place", F.row_number().over(Window.partitionBy("centre", "node").orderBy("c", "item"))).where("place <= first and c > 1")
-        ranked = stored(ranked.select("centre", "item", "node", "root", "n", "lacks", "c_n"), "near-ranked")
-        left, right = (ranked.select("centre", "item", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "root", "n", "lacks", "c_n")]) for s in "xy")
-        pairs = left.join(right, ["centre", "item"]).where("x_node < y_node and x_root <> y_root")
-        pairs = pairs.where(100 * F.least("x_n", "y_n") >= p * F.greatest("x_n", "y_n"))
+        ranked = stored(ranked.select("centre", "item", "node", "root", "n", "lacks", "c_n", (F.col("d") - F.col("place") + 1).alias("left")), "near-ranked")
+        left, right = (ranked.select("centre", "item", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "root", "n", "lacks", "c_n", "left")]) for s in "xy")
+        # At the first item that they share, what is left of either must hold all that they need to share.
+        need = F.ceil(p * (F.col("x_n") + F.col("y_n")) / (100 + p)) - F.col("x_c_n") + F.col("x_lacks") + F.col("y_lacks")
+        pairs = left.join(right, ["centre", "item"]).where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & (F.least("x_left", "y_left") >= need))
         return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 

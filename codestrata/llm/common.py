@@ -15,8 +15,8 @@ from ..durable import shared_dir
 #: Of the separators between words, as a regular expression class body (Java, RE2 and Python).
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
-#: Rows of a join side that may be broadcast. Keys here take under 200 bytes each in a hash table, so 60 MB at most.
-BROADCAST_ROWS = 300_000
+#: Rows of a join side that may be broadcast. Keys and locators here take some 500 bytes each in a hash table, so about 50 MB at most.
+BROADCAST_ROWS = 100_000
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,24 @@ BROADCAST_ROWS = 100_000
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, or in the scratch folder that is open."""
+    return f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables stored within go when it ends; what is to outlive it needs a path made before."""
+    path = fresh_dir(spark, name)
+    _SCRATCH.append(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 #: Bytes of rows that go to Python at once.
@@ -69,9 +87,13 @@ def plain(docs: DataFrame) -> bool:
         return False
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs, read from Parquet files, without the rows that gone locates (__path, __row)."""
-    gone = stored(gone.select(F.col("__path").alias("__p"), F.col("__row").alias("__r")), "gone")
+def without(docs: DataFrame, name: str, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without the rows that find(docs) locates (__path, __row). Of find's tables only these locators stay."""
+    spark = docs.sparkSession
+    docs = docs if plain(docs) else stored(docs, f"{name}-input")
+    path = fresh_dir(spark, f"{name}-gone")
+    with scratch(spark, name):
+        gone = stored(find(docs).select(F.col("__path").alias("__p"), F.col("__row").alias("__r")), "", path)
     rows = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
     return rows.join(small(gone), (F.col("__path") == F.col("__p")) & (F.col("__row") == F.col("__r")), "left_anti").select(*docs.columns)
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, located, plain, small, stored, without
+from .common import fresh_dir, located, small, stored, without
 
 #: Members of a group that meet its retained text in one slice.
 SLICE = 2048
@@ -102,5 +102,4 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def without_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, with its columns."""
-    docs = docs if plain(docs) else stored(docs, "dedup-input")
-    return without(docs, exact_dedup(docs, **options).where(~F.col("kept")))
+    return without(docs, "dedup", lambda d: exact_dedup(d, **options).where(~F.col("kept")))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, fresh_dir, located, mix64, pieces, plain, small, small_batches, stored, without, word_hashes, word_spans
+from .common import LOWER, buffers, fresh_dir, located, mix64, pieces, small, small_batches, stored, without, word_hashes, word_spans
 from .components import components
 
 ROWS = 4
@@ -302,9 +302,11 @@ def _stars(entries: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without near copies: of each group one row stays, that with the least id (then the first by locator)."""
-    docs = docs if plain(docs) else stored(docs, "near-input")
-    marked = near_duplicates(docs, **options)
-    spare = marked.where("kept").groupBy("component_id").agg(F.min(F.struct("__path", "__row")).alias("s"), F.count(F.lit(1)).alias("c")).where("c > 1 and component_id is not null")
-    gone = marked.join(spare.select(F.col("component_id").alias("__c"), "s"), F.col("component_id") == F.col("__c"), "left")
-    gone = gone.where((F.col("n_shingles") > 0) & (~F.col("kept") | (F.col("s").isNotNull() & ~((F.col("__path") == F.col("s.__path")) & (F.col("__row") == F.col("s.__row"))))))
-    return without(docs, gone)
+
+    def spare(d: DataFrame) -> DataFrame:
+        marked = stored(near_duplicates(d, **options), "near-marked")
+        twice = marked.where("kept").groupBy("component_id").agg(F.min(F.struct("__path", "__row")).alias("s"), F.count(F.lit(1)).alias("c")).where("c > 1 and component_id is not null")
+        out = marked.join(twice.select(F.col("component_id").alias("__c"), "s"), F.col("component_id") == F.col("__c"), "left")
+        return out.where((F.col("n_shingles") > 0) & (~F.col("kept") | (F.col("s").isNotNull() & ~((F.col("__path") == F.col("s.__path")) & (F.col("__row") == F.col("s.__row"))))))
+
+    return without(docs, "near", spare)

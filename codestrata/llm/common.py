@@ -51,10 +51,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, any executor can read it."""
+def stored(df: DataFrame, name: str, path: str | None = None, narrow: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, any executor can read it.
+
+    narrow is for tables that come from a shuffle and are far smaller than the input: a few tasks a core write them, not one a partition.
+    """
     spark = df.sparkSession
     path = path or fresh_dir(spark, name)
+    df = df.coalesce(8 * spark.sparkContext.defaultParallelism) if narrow else df
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -69,12 +69,12 @@ def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) ->
     Every round of stars is a table in the shared folder. They end when a round changes nothing, after about log2 of the longest path; an
     error is raised if rounds don't suffice. No edges: no rows. The result is the same with one task and with stars.
     """
-    now = stored(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_forest, "u bigint, v bigint"), "cc")
+    now = stored(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_forest, "u bigint, v bigint"), "cc", narrow=True)
     if now.limit(one_task + 1).count() <= one_task:
         return stored(now.repartition(1).mapInArrow(_finish, "node bigint, root bigint"), "cc")
     mark = None
     for _ in range(rounds):
-        now = stored(_stars(_stars(now, small=False), small=True), "cc")
+        now = stored(_stars(_stars(now, small=False), small=True), "cc", narrow=True)
         was, mark = mark, now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == was:
             # Every edge now points at its root.

@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     left = _open(buckets.where("members > 2"), search.roots)  # buckets of two have met
     if not left.isEmpty():
         left = search.linkable(left)
-        centres = stored(left.groupBy("key").agg(F.min(F.struct((-F.col("most") / F.col("n")).alias("o"), "node"))["node"].alias("centre")), "near-centres")
+        centres = stored(left.groupBy("key").agg(F.min(F.struct((-F.col("most") / F.col("n")).alias("o"), "node"))["node"].alias("centre")), "near-centres", narrow=True)
         search.meet(left.join(centres, "key").where("node <> centre").select(*_pair(F.col("node"), F.col("centre"))).distinct())
         search.meet(search.rest(_open(left, search.roots).join(centres, "key")))
     roots = search.roots
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         groups = groups.join(named, "root")
     else:
         groups = groups.withColumn("component", F.col("doc_id"))
-    groups = stored(groups.select(F.col("digest").alias("c_digest"), "component"), "near-groups")
+    groups = stored(groups.select(F.col("digest").alias("c_digest"), "component"), "near-groups", narrow=True)
     out = signed.select("doc_id", "n", "digest", "__path", "__row").join(groups, F.col("digest") == F.col("c_digest"), "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "__path", "__row")
@@ -206,7 +206,7 @@ class _Search:
     def fetch(self, nodes: DataFrame) -> None:
         """Have the full sets of these nodes; texts are read again for those that are missing only."""
         nodes = nodes if self.sets is None else nodes.join(self.sets.select("node"), "node", "left_anti")
-        need = stored(nodes.join(self.classes.select("node", "path", "row"), "node"), "near-need")
+        need = stored(nodes.join(self.classes.select("node", "path", "row"), "node"), "near-need", narrow=True)
         if not need.isEmpty():
             texts = self.found.join(small(need), (F.col("__path") == F.col("path")) & (F.col("__row") == F.col("row"))).select("node", "text")
             texts.mapInArrow(_sets(self.width), _SETS).write.mode("append").parquet(self.sets_dir)
@@ -215,20 +215,20 @@ class _Search:
     def meet(self, pairs: DataFrame) -> None:
         """Verify the pairs (a, b) that haven't met yet, on full sets, and join the groups of those that are linked."""
         pairs = pairs if self.met is None else pairs.join(self.met, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "near-pairs")
+        pairs = stored(pairs, "near-pairs", narrow=True)
         if pairs.isEmpty():
             return
-        self.met = pairs if self.met is None else stored(self.met.union(pairs), "near-met")
+        self.met = pairs if self.met is None else stored(self.met.union(pairs), "near-met", narrow=True)
         side = self.classes.select("node", "n", "signature")
         likely = pairs.join(side.withColumnsRenamed({"node": "a", "n": "a_n", "signature": "a_s"}), "a").join(side.withColumnsRenamed({"node": "b", "n": "b_n", "signature": "b_s"}), "b")
         likely = likely.where((100 * F.least("a_n", "b_n") >= self.percent * F.greatest("a_n", "b_n")) & F.pandas_udf(_alike, "boolean")("a_s", "b_s"))
-        likely = stored(likely.select("a", "b", "a_n", "b_n"), "near-likely")
+        likely = stored(likely.select("a", "b", "a_n", "b_n"), "near-likely", narrow=True)
         if likely.isEmpty():
             return
         self.fetch(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
         full = likely.join(self.sets.withColumnsRenamed({"node": "a", "items": "a_items"}), "a").join(self.sets.withColumnsRenamed({"node": "b", "items": "b_items"}), "b")
         checked = full.select("a", "b", "a_n", "b_n", "a_items", "b_items").mapInArrow(_shared, "a bigint, b bigint, a_n bigint, b_n bigint, shared bigint")
-        new = stored(checked.where(100 * F.col("shared") >= self.percent * (F.col("a_n") + F.col("b_n") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links")
+        new = stored(checked.where(100 * F.col("shared") >= self.percent * (F.col("a_n") + F.col("b_n") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v")), "near-links", narrow=True)
         if not new.isEmpty():
             self.roots = components(new if self.roots is None else self.roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new))
 
@@ -238,12 +238,12 @@ class _Search:
         A shingle that no other of these nodes has is in no intersection. A node of n shingles with so few others that they are under the
         threshold of n is linked to none of them. Counts are summed before any shuffle; a shingle that all nodes share is a row per task.
         """
-        nodes = stored(entries.select("node").distinct(), "near-nodes")
+        nodes = stored(entries.select("node").distinct(), "near-nodes", narrow=True)
         self.fetch(nodes)
         items = self.sets.join(nodes, "node", "left_semi").select("node", F.explode("items").alias("item"))
         own = items.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
         out = entries.join(own, "node", "left").withColumn("most", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-        return stored(out.where(100 * F.col("most") >= self.percent * F.col("n")), "near-linkable")
+        return stored(out.where(100 * F.col("most") >= self.percent * F.col("n")), "near-linkable", narrow=True)
 
 
     def rest(self, entries: DataFrame) -> DataFrame:
@@ -256,11 +256,11 @@ class _Search:
         d - need + 1 is shared. Changed items that no other member has pair with nothing.
         """
         members = entries.select("centre", "node", "root", "n").distinct()
-        members = stored(members, "near-members")
+        members = stored(members, "near-members", narrow=True)
         self.fetch(members.select("node").union(members.select("centre")).distinct())
         sets = self.sets
         both = members.join(sets, "node").join(sets.select(F.col("node").alias("centre"), F.col("items").alias("c_items")), "centre")
-        changed = stored(both.select("centre", "node", "root", "n", "items", "c_items").mapInArrow(_changed, "centre bigint, node bigint, root bigint, n bigint, c_n bigint, lacks bigint, items array<bigint>"), "near-changed")
+        changed = stored(both.select("centre", "node", "root", "n", "items", "c_items").mapInArrow(_changed, "centre bigint, node bigint, root bigint, n bigint, c_n bigint, lacks bigint, items array<bigint>"), "near-changed", narrow=True)
         of_centre = members.where("node = centre").select("centre", F.col("root").alias("c_root"))
         away = F.col("root") != F.col("c_root")
         low = changed.join(of_centre, "centre").groupBy("centre").agg(F.min("n").alias("n_all"), F.min("lacks").alias("lacks_all"), F.min(F.when(away, F.col("n"))).alias("n_away"), F.min(F.when(away, F.col("lacks"))).alias("lacks_away"), F.first("c_root").alias("c_root"))
@@ -272,7 +272,7 @@ class _Search:
         marked = marked.select("centre", "node", "root", "n", "lacks", "c_n", "first", F.size("items").alias("d"), F.explode("items").alias("item"))
         often = marked.groupBy("centre", "item").agg(F.count(F.lit(1)).alias("c"))
         ranked = marked.join(often, ["centre", "item"]).withColumn("place", F.row_number().over(Window.partitionBy("centre", "node").orderBy("c", "item"))).where("place <= first and c > 1")
-        ranked = stored(ranked.select("centre", "item", "node", "root", "n", "lacks", "c_n", (F.col("d") - F.col("place") + 1).alias("left")), "near-ranked")
+        ranked = stored(ranked.select("centre", "item", "node", "root", "n", "lacks", "c_n", (F.col("d") - F.col("place") + 1).alias("left")), "near-ranked", narrow=True)
         left, right = (ranked.select("centre", "item", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "root", "n", "lacks", "c_n", "left")]) for s in "xy")
         # At the first item that they share, what is left of either must hold all that they need to share.
         need = F.ceil(p * (F.col("x_n") + F.col("y_n")) / (100 + p)) - F.col("x_c_n") + F.col("x_lacks") + F.col("y_lacks")
@@ -289,7 +289,7 @@ def _open(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
     rooted = entries.drop("root", "members")
     rooted = rooted.withColumn("root", F.col("node")) if roots is None else rooted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").select("key", "members")
-    return stored(rooted.join(several, "key"), "near-open")
+    return stored(rooted.join(several, "key"), "near-open", narrow=True)
 
 
 def _stars(entries: DataFrame) -> DataFrame:
@@ -304,7 +304,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs without near copies: of each group one row stays, that with the least id (then the first by locator)."""
 
     def spare(d: DataFrame) -> DataFrame:
-        marked = stored(near_duplicates(d, **options), "near-marked")
+        marked = stored(near_duplicates(d, **options), "near-marked", narrow=True)
         twice = marked.where("kept").groupBy("component_id").agg(F.min(F.struct("__path", "__row")).alias("s"), F.count(F.lit(1)).alias("c")).where("c > 1 and component_id is not null")
         out = marked.join(twice.select(F.col("component_id").alias("__c"), "s"), F.col("component_id") == F.col("__c"), "left")
         return out.where((F.col("n_shingles") > 0) & (~F.col("kept") | (F.col("s").isNotNull() & ~((F.col("__path") == F.col("s.__path")) & (F.col("__row") == F.col("s.__row"))))))

@@ -176,6 +176,20 @@ def with_language(docs: DataFrame, **options) -> DataFrame:
     return without(docs, "lang", lambda d: identify(located(d, "lang"), keep=("__path", "__row"), **options).where(~F.col("kept")))
 
 
+def page_text(html: str = "html") -> Column:
+    """What of a page is text: without scripts, styles, comments, tags and entities."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#a-z0-9]+;", " ")
+
+
+def identify_pages(pages: DataFrame, docs: DataFrame, *, folds: int = 5, fold_no: int = 0, sample: int = SAMPLE) -> DataFrame:
+    """Per row of pages (page_id, url, html): page_id, lang_id, posterior, kept, by all evidence; texts' likelihoods are learnt from docs."""
+    model = learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), "lang", folds=folds, fold_no=fold_no, sample=sample)
+    # __page_text: a name that no column of pages has.
+    rows = pages.select("page_id", "url", "html", page_text().alias("__page_text"))
+    found = identify(rows, id_col="page_id", text_col="__page_text", model=model, folds=folds, fold_no=fold_no, **page_evidence())
+    return found.select(F.col("doc_id").alias("page_id"), "lang_id", "posterior", "kept")
+
+
 def page_evidence(url: str = "url", html: str = "html") -> dict[str, Column]:
     """host, parent, declared and suffix of web pages: from the address, and the lang attribute of the html element."""
     host = F.nullif(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)", 1)), F.lit(""))

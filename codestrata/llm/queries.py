@@ -58,6 +58,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"), host=F.col("source"))
 
 
+def op8_language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify_pages
+
+    return identify_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_toxicity
 

@@ -152,6 +152,26 @@ def reachable_classes(spark: SparkSession, d: str) -> DataFrame:
     return graph.reachable_classes(starts, _symbols(spark, d), _edges(spark, d), 4)
 
 
+# The same from every customer. Their number grows with the table.
+_EVERY = _ALL_PATHS.replace(" WHERE c_custkey < 20", "")
+
+
+def _customers(spark: SparkSession, d: str) -> DataFrame:
+    symbol = F.concat(F.lit("C"), F.col("c_custkey").cast("string"))
+    return spark.read.parquet(f"{d}/customer.parquet").select(symbol.alias("entry_id"), symbol.alias("symbol_id"))
+
+
+@query(_EVERY + "SELECT entry_id, symbol_id, depth, array_to_string(path, '>') AS path FROM walk QUALIFY row_number() OVER (PARTITION BY entry_id, symbol_id ORDER BY depth, array_to_string(path, '>')) = 1")
+def shortest_paths_all(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _edges(spark, d).where("kind IN ('STATIC_CALL', 'CALLS') AND dst_symbol_id IS NOT NULL").select(F.col("src_symbol_id").alias("src"), F.col("dst_symbol_id").alias("dst"))
+    return graph.shortest_paths(_customers(spark, d), pairs, 4).select("entry_id", "symbol_id", "depth", F.array_join("path", ">").alias("path"))
+
+
+@query(_EVERY.replace("('STATIC_CALL', 'CALLS')", _FLOW_KINDS) + "SELECT DISTINCT entry_id, t.fqn AS class_fqn FROM walk w JOIN symbols m ON m.id = w.symbol_id JOIN symbols t ON t.id = m.parent_id")
+def reachable_classes_all(spark: SparkSession, d: str) -> DataFrame:
+    return graph.reachable_classes(_customers(spark, d), _symbols(spark, d), _edges(spark, d), 4)
+
+
 def _list(kinds: str, name: str) -> str:
     return f"coalesce(string_agg(coalesce(line, 0) || ':' || coalesce(dst_fqn, '') || '#' || coalesce(dst_member, ''), ';' ORDER BY coalesce(line, 0), dst_fqn, dst_member, kind) FILTER (kind IN {kinds}), '') AS {name}"
 

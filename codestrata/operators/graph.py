@@ -78,16 +78,20 @@ def class_edges(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.where(F.col("kind").isin(*CLASS_KINDS) & F.col("dst_symbol_id").isNotNull()).join(a, "src_symbol_id", "left").join(b, "dst_symbol_id", "left").select(F.coalesce("a", "src_symbol_id").alias("src"), F.coalesce("b", "dst_symbol_id").alias("dst"), "kind", "file_id", "line")
 
 
-def shortest_paths(starts: DataFrame, pairs: DataFrame, depth: int, targets: DataFrame | None = None) -> DataFrame:
+def shortest_paths(starts: DataFrame, pairs: DataFrame, depth: int, targets: DataFrame | None = None, until: DataFrame | None = None) -> DataFrame:
     """From each start (entry_id, symbol_id) the shortest path to every type it reaches: entry_id, symbol_id, depth, path (array).
 
     Breadth first over pairs (src, dst), keeping one path a symbol and start: the least in text order of those of least depth. Levels are
     written tables, so no plan grows with depth; a level that reaches nothing new ends it. targets (entry_id, symbol_id) filters the result.
+    A start that has met a symbol of until (symbol_id) goes no deeper.
     """
     pairs = durable(pairs.select("src", "dst").where("src <> dst").distinct())
     least = Window.partitionBy("entry_id", "symbol_id").orderBy("text")
     seen = front = starts.select("entry_id", "symbol_id", F.lit(0).alias("depth"), F.array("symbol_id").alias("path"))
     for d in range(1, depth + 1):
+        if until is not None:
+            met = front.join(until, "symbol_id", "left_semi").select("entry_id").distinct()
+            front = front.join(met, "entry_id", "left_anti").select("entry_id", "symbol_id", "depth", "path")
         step = front.join(pairs, front["symbol_id"] == pairs["src"]).select("entry_id", F.col("dst").alias("symbol_id"), F.lit(d).alias("depth"), F.array_append("path", F.col("dst")).alias("path"))
         step = step.withColumn("text", F.array_join("path", ">")).withColumn("n", F.row_number().over(least)).where("n = 1").drop("n", "text")
         front = step.join(seen.select("entry_id", "symbol_id"), ["entry_id", "symbol_id"], "left_anti").select("entry_id", "symbol_id", "depth", "path")
@@ -158,8 +162,10 @@ def controller_flows(symbols: DataFrame, edges: DataFrame, max_depth: int = 5, f
 def database_access_paths(symbols: DataFrame, edges: DataFrame, max_depth: int = 6) -> DataFrame:
     """Per service entry point that reaches a sink, the first sink by depth, id and path: entry_id, sink_id, depth, path."""
     starts = service_entry_points(symbols).select(F.col("id").alias("entry_id"), F.col("id").alias("symbol_id"))
-    flow = paths_from(starts, flow_edges(edges), max(1, min(max_depth, MAX_FLOW)))
-    hit = flow.join(sink_methods(symbols), "symbol_id", "left_semi").withColumn("text", F.array_join("path", ">"))
+    # The first path to a sink is a shortest one, the least in text order: no other paths are needed.
+    sinks = durable(sink_methods(symbols))
+    flow = shortest_paths(starts, flow_edges(edges), max(1, min(max_depth, MAX_FLOW)), until=sinks)
+    hit = flow.join(sinks, "symbol_id", "left_semi").withColumn("text", F.array_join("path", ">"))
     first = hit.groupBy("entry_id").agg(F.min(F.struct("depth", "symbol_id", "text")).alias("s"))
     return first.select("entry_id", F.col("s.symbol_id").alias("sink_id"), F.col("s.depth").alias("depth"), F.col("s.text").alias("path"))
 

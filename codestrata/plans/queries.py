@@ -114,6 +114,17 @@ def database_access_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.database_access_paths(_symbols(spark, d), _edges(spark, d), 3)
 
 
+# The same at the operators' own depths.
+@query(_SQL["controller_flows"].replace("f.depth < 3", "f.depth < 5"))
+def controller_flows_deep(spark: SparkSession, d: str) -> DataFrame:
+    return graph.controller_flows(_symbols(spark, d), _edges(spark, d)).select("entry_id", "symbol_id", "class_fqn", "method", "depth", "path")
+
+
+@query(_SQL["database_access_paths"].replace("f.depth < 3", "f.depth < 6"))
+def database_access_paths_deep(spark: SparkSession, d: str) -> DataFrame:
+    return graph.database_access_paths(_symbols(spark, d), _edges(spark, d))
+
+
 _CLS = f"cls AS (SELECT coalesce(a.parent_id, e.src_symbol_id) AS src, coalesce(b.parent_id, e.dst_symbol_id) AS dst, e.kind, e.file_id, e.line FROM edges e LEFT JOIN symbols a ON a.id = e.src_symbol_id LEFT JOIN symbols b ON b.id = e.dst_symbol_id WHERE e.dst_symbol_id IS NOT NULL AND e.kind IN {_CLASS_KINDS})"
 
 

@@ -4,7 +4,7 @@ Merges apply by rank. Cutting a word at some place changes merges only in a stre
 later merge, take part. The longest such chain in the merge list is its sufficient lookahead. So the encoder reads a word's bytes into a
 window, and once a token's end lies further from the window's end than the lookahead, all tokens up to it are final: they are emitted and
 their bytes dropped. Memory is a few lookaheads, however long the word. Short words go through the same merging and are kept in a bounded
-cache.
+cache. A text is taken a stretch at a time, and each block of ids goes to the digests and through the decoder before the next is made.
 
 Defined cases: a null or empty text has no tokens; texts of white space have none; strings of the two special tokens are their ids, as the
 file says; bytes without a token are left out; repeated rows give equal rows; an empty table gives no rows; extra columns are left out.
@@ -17,20 +17,24 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches
+from .common import pieces, small_batches, struct_of
 
-#: Whole words up to this many characters are cached, so many at most.
-CACHED_CHARS, CACHED_WORDS = 48, 1 << 18
-CACHED_PIECES = 1 << 19
+#: Whole words up to this many characters are cached, so many at most: some 20 MB a cache.
+CACHED_CHARS, CACHED_WORDS = 48, 1 << 16
+#: Characters of a text that are taken at once, up to the next white space.
+STRETCH = 1 << 16
 _NONE = 1 << 30
+_SPACE = regex.compile(r"\p{White_Space}")
 
 
 def byte_alphabet() -> list[str]:
@@ -63,6 +67,19 @@ class Merges:
             self.names[number] = name
         self.width = [max(1, len(n.removesuffix(self.suffix))) for n in self.names]
         self.lookahead = self._lookahead(pairs)
+        self._bytes: dict[bool, list[bytes]] = {}
+
+    def bytes_of(self, surface: bool) -> list[bytes]:
+        """Per id the bytes that it decodes to: its own name after a space, or the text that it stands for."""
+        if surface not in self._bytes:
+            byte = {c: bytes([b]) for b, c in enumerate(byte_alphabet())}
+
+            def plain(name: str) -> bytes:
+                core = name.removesuffix(self.suffix)
+                return name.encode() if name in self.special else b"".join(byte[c] for c in core) + b" " * (len(core) < len(name))
+
+            self._bytes[surface] = [f" {n}".encode() if surface else plain(n) for n in self.names]
+        return self._bytes[surface]
 
     def _lookahead(self, pairs: list[tuple[str, str]]) -> int:
         """The most symbols left of a cut whose tokens the cut can change.
@@ -200,14 +217,14 @@ class Encoder:
             transducer = Transducer(self.merges)
             ids = tuple(transducer.whole(data) if len(data) < transducer.window else chain(transducer.feed(data), transducer.finish()))
             if len(piece) <= CACHED_CHARS:
-                if len(self.pieces) >= CACHED_PIECES:
+                if len(self.pieces) >= CACHED_WORDS:
                     self.pieces.clear()
                 self.pieces[piece] = ids
         return ids
 
     def stream(self, text: str) -> Iterator[int]:
         """The ids of a text, one by one; only a window of a long word is held."""
-        for part in self.cut.split(text) if self.cut else [text]:
+        for part in self._parts(text):
             if part in self.merges.special:
                 yield self.merges.special[part]
                 continue
@@ -218,11 +235,31 @@ class Encoder:
                         yield from transducer.feed(word[at : min(at + 4096, piece.end())].encode("utf-8", "replace"))
                     yield from transducer.finish()
 
+    def blocks(self, text: str, stretch: int = STRETCH) -> Iterator[list[int]]:
+        """The ids of a text in order, a block for each stretch of it; a word beyond the stretch goes through the window alone."""
+        for part in self._parts(text):
+            if part in self.merges.special:
+                yield [self.merges.special[part]]
+                continue
+            at = 0
+            while at < len(part):
+                space = _SPACE.search(part, at + stretch) if len(part) - at > stretch else None
+                to = space.start() if space else len(part)
+                if to - at <= 2 * stretch:
+                    yield self._plain(part[at:to])
+                else:
+                    ids = self.stream(part[at:to])
+                    while block := [*islice(ids, stretch)]:
+                        yield block
+                at = to
+
+    def _parts(self, text: str) -> Iterable[str]:
+        """The text cut at special tokens."""
+        return self.cut.split(text) if self.cut and self.cut.search(text) else (text,)
+
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""
-        if "<|" in text and self.cut and self.cut.search(text):
-            return [*chain.from_iterable((self.merges.special[p],) if p in self.merges.special else self._plain(p) for p in self.cut.split(text))]
-        return self._plain(text)
+        return [*chain.from_iterable(self.blocks(text))]
 
     def _plain(self, text: str) -> list[int]:
         cache, words = self.cache, self.words(text)
@@ -243,49 +280,50 @@ class Encoder:
 
 
 class Decoder:
-    """Ids to text, one by one.
+    """Ids to text, block by block.
 
     surface=True gives what the library's decode gives where a file names no decoder: the tokens' own strings, spaces between.
-    Else bytes go through an incremental UTF-8 state machine, a word's end becomes a space, and bytes that are no UTF-8 become U+FFFD.
+    Else a word's end becomes a space. Either way bytes go through an incremental UTF-8 state machine, which holds what a block leaves
+    open; bytes that are no UTF-8 become U+FFFD.
     """
 
     def __init__(self, merges: Merges, surface: bool = False):
-        self.merges, self.surface = merges, surface
-        self.bytes = {c: bytes([b]) for b, c in enumerate(byte_alphabet())}
-        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
-        self.first = True
+        self.table, self.surface = merges.bytes_of(surface), surface
+        self.machine, self.first = codecs.getincrementaldecoder("utf-8")("replace"), True
 
     def feed(self, number: int) -> str:
         """The text that this id completes."""
-        name = self.merges.names[number]
-        if self.surface:
-            name = name if self.first else " " + name
-            self.first = False
-            return name
-        if name in self.merges.special:
-            return self.machine.decode(b"", True) + name
-        core = name.removesuffix(self.merges.suffix)
-        out = self.machine.decode(b"".join(self.bytes[c] for c in core))
-        return out + self.machine.decode(b"", True) + " " if len(core) < len(name) else out
+        return self.feed_block((number,))
+
+    def feed_block(self, ids: Iterable[int]) -> str:
+        """The text that these ids complete."""
+        data = b"".join(map(self.table.__getitem__, ids))
+        if self.surface and self.first and data:
+            data, self.first = data[1:], False  # the first token has no space before it
+        return self.machine.decode(data)
 
     def finish(self) -> str:
         """What is left."""
-        return "" if self.surface else self.machine.decode(b"", True)
+        return self.machine.decode(b"", True)
 
 
 def _coder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(path)
-        names = encoder.merges.names
-        digits = [str(i) for i in range(len(names))]
+        digits = [b" %d" % i for i in range(len(encoder.merges.names))]
         for batch in (p for whole in batches for p in pieces(whole, "text")):
             counts, ids_sha, text_sha = [], [], []
             for text in batch.column(1):
-                ids = encoder.encode(text.as_py() or "")
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-                # A surface Decoder over all ids, in one go.
-                text_sha.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                n, ids_digest, text_digest, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(encoder.merges, surface=True)
+                for block in encoder.blocks(text.as_py() or ""):
+                    data = b"".join(map(digits.__getitem__, block))
+                    ids_digest.update(data if n else data[1:])
+                    text_digest.update(decoder.feed_block(block).encode())
+                    n += len(block)
+                text_digest.update(decoder.finish().encode())
+                counts.append(n)
+                ids_sha.append(ids_digest.hexdigest())
+                text_sha.append(text_digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -305,20 +343,25 @@ def encode_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(_coder(path or default_path()), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def _listed(path: str, carried: list[str]):
+def _listed(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.load(path)
-        for batch in (p for whole in batches for p in pieces(whole, "__text")):
-            lists = [encoder.encode(t.as_py() or "") for t in batch.column("__text")]
-            n = pa.array([len(x) for x in lists], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), n, pa.array(lists, pa.list_(pa.int32()))], [*carried, "n_tokens", "ids"])
+        for batch in (p for whole in batches for p in pieces(whole, "text")):
+            ids, ends = array("i"), [0]
+            for text in batch.column("text"):
+                for block in encoder.blocks(text.as_py() or ""):
+                    ids.extend(block)
+                ends.append(len(ids))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(np.diff(ends), pa.int64()), lists], ["kept", "n_tokens", "ids"])
 
     return run
 
 
 def encoded(docs: DataFrame, *, text_col: str = "text", path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep of docs, then n_tokens and ids (array<int>)."""
+    """The columns keep of docs, then n_tokens and ids (array<int>); keep can't hold columns of these two names."""
     small_batches(docs.sparkSession)
-    rows = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_tokens bigint, ids array<int>"
-    return rows.mapInArrow(_listed(path or default_path(), [*keep]), schema)
+    if clash := {c.lower() for c in keep} & {"n_tokens", "ids"}:
+        raise ValueError(f"columns that are made here can't be kept: {sorted(clash)}")
+    rows = docs.select(struct_of(docs, keep).alias("kept"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_listed(path or default_path()), f"kept {rows.schema['kept'].dataType.simpleString()}, n_tokens bigint, ids array<int>").select("kept.*", "n_tokens", "ids")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..durable import shared_dir
@@ -22,26 +27,37 @@ BROADCAST_ROWS = 100_000
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, or in the scratch folder that is open."""
-    return f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, or in the scratch folder that this thread has open."""
+    return f"{_open_dirs()[-1] if _open_dirs() else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_SCRATCH: list[str] = []
+_SCRATCH = threading.local()
+
+
+def _open_dirs() -> list[str]:
+    if not hasattr(_SCRATCH, "paths"):
+        _SCRATCH.paths = []
+    return _SCRATCH.paths
 
 
 @contextmanager
 def scratch(spark: SparkSession, name: str) -> Iterator[None]:
     """Tables stored within go when it ends; what is to outlive it needs a path made before."""
     path = fresh_dir(spark, name)
-    _SCRATCH.append(path)
+    _open_dirs().append(path)
     try:
         yield
     finally:
-        _SCRATCH.pop()
+        _open_dirs().pop()
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def struct_of(docs: DataFrame, names) -> Column:
+    """These columns of docs in a struct, whatever they are called."""
+    return F.struct(*[F.col(f"`{c}`") for c in names])
+
+
 #: Bytes of rows that go to Python at once.
 BATCH_BYTES = 8 << 20
 
@@ -71,35 +87,89 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def located(docs: DataFrame, name: str) -> DataFrame:
-    """docs with __path and __row, a durable locator of each row's content.
+#: A row's locator: the file that holds it and its place there.
+LOCATOR = ("__path", "__row")
 
-    Rows read straight from Parquet are located in their own files. Anything else is first written to the shared folder.
-    """
-    docs = docs if plain(docs) else stored(docs, f"{name}-content")
-    return docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+
+def locators(docs: DataFrame) -> list[Column]:
+    """The locator of each row of docs as __path and __row; rows of docs must stand in files (see in_files)."""
+    place = docs.metadataColumn("_metadata")
+    return [place["file_path"].alias("__path"), place["row_index"].alias("__row")]
 
 
-def plain(docs: DataFrame) -> bool:
-    """If rows of docs can be located in the files that it reads."""
+def in_files(docs: DataFrame, name: str) -> DataFrame:
+    """docs, or a copy in the shared folder if its rows can't be located in the files that it reads."""
     from pyspark.errors import AnalysisException
 
     try:
-        docs.select("_metadata.row_index")
-        return True
+        docs.select(*locators(docs)).schema  # noqa: B018
+        return docs
     except AnalysisException:
-        return False
+        return stored(docs, f"{name}-content")
+
+
+def located(docs: DataFrame, name: str, *columns: Column) -> DataFrame:
+    """The columns of docs, __path and __row: a durable locator of each row's content."""
+    docs = in_files(docs, name)
+    return docs.select(*columns, *locators(docs))
 
 
 def without(docs: DataFrame, name: str, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """docs without the rows that find(docs) locates (__path, __row). Of find's tables only these locators stay."""
+    """docs without the rows that find(docs) locates (__path, __row). Of find's tables only these locators stay; no row of docs moves."""
     spark = docs.sparkSession
-    docs = docs if plain(docs) else stored(docs, f"{name}-input")
+    docs = in_files(docs, name)
     path = fresh_dir(spark, f"{name}-gone")
     with scratch(spark, name):
-        gone = stored(find(docs).select(F.col("__path").alias("__p"), F.col("__row").alias("__r")), "", path)
-    rows = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
-    return rows.join(small(gone), (F.col("__path") == F.col("__p")) & (F.col("__row") == F.col("__r")), "left_anti").select(*docs.columns)
+        gone = look_up(stored(find(docs).select("__path", "__row", F.lit(1).cast("long").alias("value")), "gone"), path)
+    return docs.where(gone(*locators(docs)).isNull())
+
+
+#: Rows of a file that share a slice of a look-up table, and the least and most slices; a slice has some thousand values up to 10**8.
+SLICE_ROWS, LEAST_SLICES, MOST_SLICES = 1 << 14, 32, 1 << 16
+
+
+def look_up(values: DataFrame, path: str) -> Callable[[Column, Column], Column]:
+    """A function from __path and __row to the value there, or null.
+
+    values is a stored table: __path, __row (a row at most for each), value: bigint. It is written to path in slices by file and place. A task reads only the slices of the rows that it meets, a few at a time, so
+    rows with long texts are matched where they are: nothing is broadcast and no text is shuffled, however many values there are.
+    """
+    slices = min(max(LEAST_SLICES, 4 * -(-values.count() // SLICE_ROWS)), MOST_SLICES)
+
+    def slice_of(file: Column, row: Column) -> Column:
+        return F.pmod(F.xxhash64(file, F.floor(row / SLICE_ROWS)), F.lit(slices)).cast("int")
+
+    sliced = values.withColumn("slice", slice_of(F.col("__path"), F.col("__row"))).repartition("slice").sortWithinPartitions("slice", "__path", "__row")
+    sliced.write.partitionBy("slice").mode("overwrite").parquet(path)
+
+    @F.pandas_udf("bigint")
+    def value_at(files: pd.Series, rows: pd.Series, slices: pd.Series) -> pd.Series:
+        out = pd.Series(pd.array([pd.NA] * len(rows), dtype="Int64"))
+        for (number, file), part in rows.groupby([slices, files]):
+            at, values = _slice(path, int(number)).get(file, (_NO_ROWS, _NO_ROWS))
+            k = np.searchsorted(at, part.to_numpy())
+            hit = np.flatnonzero((k < len(at)) & (at[np.minimum(k, max(len(at) - 1, 0))] == part.to_numpy())) if len(at) else _NO_ROWS
+            out.iloc[part.index[hit]] = values[k[hit]]
+        return out
+
+    return lambda file, row: value_at(file, row, slice_of(file, row))
+
+
+_NO_ROWS = np.zeros(0, np.int64)
+
+
+@lru_cache(maxsize=4)
+def _slice(path: str, number: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per file its sorted rows and their values, of one slice of a look-up table."""
+    files, base = fs.FileSystem.from_uri(path)
+    found = files.get_file_info(fs.FileSelector(f"{base}/slice={number}", allow_not_found=True))
+    tables = [pq.ParquetFile(files.open_input_file(f.path)).read(use_threads=False) for f in found if f.path.endswith(".parquet")]
+    out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    if tables:
+        for file, part in pa.concat_tables(tables).to_pandas().groupby("__path"):
+            part = part.sort_values("__row")
+            out[file] = part["__row"].to_numpy(), part["value"].to_numpy()
+    return out
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

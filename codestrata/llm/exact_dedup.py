@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, located, small, stored, without
+from .common import fresh_dir, located, look_up, stored, without
 
 #: Members of a group that meet its retained text in one slice.
 SLICE = 2048
@@ -66,7 +66,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     digest maps the normalised text to its key; a weak one costs comparisons, never results.
     """
     spark = docs.sparkSession
-    found = located(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "dedup")
+    found = located(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "dedup", "doc_id", "text")
     norm = normalised(F.col("text"))
     ledger_dir = fresh_dir(spark, "dedup-ledger")
     ledger = found.select(digest(norm).alias("digest"), F.sha2(norm, 256).alias("text_sha256"), F.coalesce(F.length("text"), F.lit(0)).alias("n_points"), "doc_id", "__path", "__row")
@@ -75,9 +75,9 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     groups = stored(groups.where("n > 1"), "dedup-groups")
 
     hits = stored(ledger.join(groups, "digest").select("digest", "__path", "__row", "best", "n"), "dedup-hits")
-    side = small(hits.select(F.col("__path").alias("p"), F.col("__row").alias("r"), "digest", "best", "n"))
-    texts = found.join(side, (F.col("__path") == F.col("p")) & (F.col("__row") == F.col("r"))).select("digest", "doc_id", "__path", "__row", "best", "n", norm.alias("norm"), F.coalesce(F.length("text"), F.lit(0)).alias("n_points"))
-    texts = stored(texts, "dedup-texts")
+    hit = look_up(hits.select("__path", "__row", F.lit(1).cast("long").alias("value")), fresh_dir(spark, "dedup-hit"))
+    texts = found.where(hit(F.col("__path"), F.col("__row")).isNotNull()).select("doc_id", "__path", "__row", norm.alias("norm"), F.coalesce(F.length("text"), F.lit(0)).alias("n_points"))
+    texts = stored(texts.join(hits, ["__path", "__row"]), "dedup-texts")
     stays = (F.col("__path") == F.col("best.path")) & (F.col("__row") == F.col("best.row"))
     slices = F.ceil(F.col("n") / SLICE).cast("int")
     left = texts.where(~stays).withColumn("slice", F.pmod(F.xxhash64("__path", "__row"), slices).cast("int"))

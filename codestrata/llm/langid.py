@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, located, pieces, small, small_batches, stored, without
+from .common import buffers, locators, pieces, small, small_batches, stored, struct_of, without
 from .toxicity import held_out
 
 SAMPLE, BUCKETS = 4_000, 1 << 16
@@ -122,18 +122,20 @@ def _prior(sums: Column, n: Column, parent: Column) -> Column:
     return F.zip_with(sums, parent, lambda s, p: (F.coalesce(s, F.lit(0.0)) + F.lit(KAPPA) * p) / (F.coalesce(n, F.lit(0)) + F.lit(KAPPA)))
 
 
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", host: Column | None = None, parent: Column | None = None, declared: Column | None = None, suffix: Column | None = None, model: Model | None = None, keep: tuple[str, ...] = (), folds: int = 5, fold_no: int = 0, sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
-    """Per row of docs: doc_id, held_out, lang_id, posterior, kept, then the columns named in keep.
+def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", host: Column | None = None, parent: Column | None = None, declared: Column | None = None, suffix: Column | None = None, model: Model | None = None, keep: tuple[str, ...] | None = (), folds: int = 5, fold_no: int = 0, sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
+    """Per row of docs: doc_id, held_out, lang_id, posterior, kept, then the columns named in keep (None: each row's locator).
 
     host, parent, declared and suffix are expressions over docs; what is left out is no evidence.
     """
     small_batches(docs.sparkSession)
     none = F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.col(label_col) if model is None else none).alias("__label"), *[(c if c is not None else none).alias(n) for c, n in ((host, "__host"), (parent, "__parent"), (declared, "__declared"), (suffix, "__suffix"))], *keep)
+    kept = F.struct(*locators(docs)) if keep is None else struct_of(docs, keep)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.col(label_col) if model is None else none).alias("__label"), *[(c if c is not None else none).alias(n) for c, n in ((host, "__host"), (parent, "__parent"), (declared, "__declared"), (suffix, "__suffix"))], (kept if keep != () else none).alias("__keep"))
+    keep = () if keep == () else ("__keep.*",)
     model = model or learn(rows.select("doc_id", "text", "__label"), "__label", folds=folds, fold_no=fold_no, sample=sample)
     k = len(model.languages)
     fields = {f.name: f for f in rows.schema.fields}
-    carried = ["doc_id", "__host", "__parent", "__declared", "__suffix", *keep]
+    carried = ["doc_id", "__host", "__parent", "__declared", "__suffix", "__keep"]
     schema = ", ".join(f"`{c}` {fields[c].dataType.simpleString()}" for c in carried) + ", logs array<double>, n bigint"
     scored = rows.mapInArrow(_likely(model, carried), schema)
     if not k:
@@ -173,7 +175,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def with_language(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose text has a language, with its columns."""
-    return without(docs, "lang", lambda d: identify(located(d, "lang"), keep=("__path", "__row"), **options).where(~F.col("kept")))
+    return without(docs, "lang", lambda d: identify(d, keep=None, **options).where(~F.col("kept")))
 
 
 def page_text(html: str = "html") -> Column:

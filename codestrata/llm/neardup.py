@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, fresh_dir, located, mix64, pieces, small, small_batches, stored, without, word_hashes, word_spans
+from .common import LOWER, buffers, fresh_dir, located, look_up, mix64, pieces, small_batches, stored, without, word_hashes, word_spans
 from .components import components
 
 ROWS = 4
@@ -35,6 +35,8 @@ PLACES = ROWS * BANDS
 #: Least share of equal places for a pair to be verified. At a similarity of 0.8 a signature falls below 0.55 with probability under 1e-9.
 SHARE = 0.55
 LEADERS = 2
+#: Elements of a set that are ranked at once: each takes a byte a place.
+ELEMENTS = 1 << 15
 _SETS = "node bigint, items array<bigint>"
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -68,7 +70,14 @@ def super_minhash(elements: np.ndarray, places: int) -> np.ndarray:
     every later value is above j + 1, so ranking ends once all places hold less.
     """
     h = np.full(places, np.inf)
-    n = len(elements)
+    for a in range(0, len(elements), ELEMENTS):
+        _rank(elements[a : a + ELEMENTS], h)
+    return h
+
+
+def _rank(elements: np.ndarray, h: np.ndarray) -> None:
+    """Lower h's places by what these elements rank."""
+    n, places = len(elements), len(h)
     rows = np.arange(n)
     order = np.tile(np.arange(places, dtype=np.uint8), (n, 1))
     with np.errstate(over="ignore"):
@@ -81,7 +90,6 @@ def super_minhash(elements: np.ndarray, places: int) -> np.ndarray:
             np.minimum.at(h, place, j + fraction)
             if h.max() < j + 1:
                 break
-    return h
 
 
 def banded(h: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -162,7 +170,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     that of its component, once for each row with that id.
     """
     small_batches(docs.sparkSession)
-    found = located(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "near")
+    found = located(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "near", "doc_id", "text")
     signed = stored(found.mapInArrow(_signed(width), "doc_id bigint, __path string, __row bigint, n bigint, digest binary, bands array<bigint>, signature binary"), "near-signed")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__path").alias("path"), F.col("__row").alias("row"), "n", "bands", "signature"))
     classes = signed.where("n > 0").groupBy("digest").agg(least.alias("s"))
@@ -208,8 +216,10 @@ class _Search:
         nodes = nodes if self.sets is None else nodes.join(self.sets.select("node"), "node", "left_anti")
         need = stored(nodes.join(self.classes.select("node", "path", "row"), "node"), "near-need", narrow=True)
         if not need.isEmpty():
-            texts = self.found.join(small(need), (F.col("__path") == F.col("path")) & (F.col("__row") == F.col("row"))).select("node", "text")
-            texts.mapInArrow(_sets(self.width), _SETS).write.mode("append").parquet(self.sets_dir)
+            node_at = look_up(need.select(F.col("path").alias("__path"), F.col("row").alias("__row"), F.col("node").alias("value")), fresh_dir(need.sparkSession, "near-nodes-at"))
+            texts = self.found.select(node_at(F.col("__path"), F.col("__row")).alias("node"), "text").where("node is not null")
+            # Two Python steps of one task would need two workers at once.
+            stored(texts, "near-texts").mapInArrow(_sets(self.width), _SETS).write.mode("append").parquet(self.sets_dir)
             self.sets = self.found.sparkSession.read.schema(_SETS).parquet(self.sets_dir)
 
     def meet(self, pairs: DataFrame) -> None:

@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, small_batches, stored
+from .common import fresh_dir, in_files, located, look_up, small_batches, stored
 
 CHUNK = 256 << 10
 LEAST_BYTES = 100
@@ -30,22 +30,17 @@ LEAST_BYTES = 100
 SPLIT_BYTES = 16 << 20
 ARCHIVE_BYTES = 256 << 20
 
-CHUNKS = "record_id string, chunk_no bigint, last boolean, data binary, digest string, warc_type string, refers_to bigint, page_id bigint, length bigint, declared string, url string"
+CHUNKS = "record_id string, chunk_no bigint, last boolean, data binary, digest string, n_bytes bigint, warc_type string, refers_to bigint, page_id bigint, length bigint, declared string, url string"
 _ENTRY = "path string, start bigint, end bigint, records bigint"
 
 
 def plan_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST_BYTES) -> DataFrame:
-    """Per page its payload's length and digest, type and refers_to. Only ids and digests are shuffled; copies combine before that."""
+    """Where the pages are that revisit another, and its id: __path, __row, value. Only digests move; copies combine before that."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = stored(pages.select(F.col(id_col).cast("long").alias("page_id"), F.length(payload).cast("long").alias("length"), F.sha2(payload, 256).alias("sha256")), "warc-digests")
+    rows = stored(located(pages, "warc", F.col(id_col).cast("long").alias("page_id"), F.length(payload).cast("long").alias("length"), F.sha2(payload, 256).alias("sha256")), "warc-digests")
     first = rows.where(F.col("length") >= least).groupBy("sha256", "length").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
     again = rows.join(first, ["sha256", "length"]).where(~F.col("page_id").eqNullSafe(F.col("first")))
-    return stored(again.select(F.col("page_id").alias("__id"), F.col("sha256").alias("__sha"), "first").distinct(), "warc-revisits")
-
-
-def _chunked(payload: Column, size: int) -> Column:
-    n = F.greatest(F.ceil(F.length(payload) / size), F.lit(1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.cast("long").alias("chunk_no"), (i == n - 1).alias("last"), F.substring(payload, i * size + 1, F.lit(size)).alias("data")))
+    return stored(again.select("__path", "__row", F.col("first").alias("value")), "warc-revisits")
 
 
 def _head(record: str, row: dict) -> bytes:
@@ -108,13 +103,19 @@ def _writer(root: str, archive_bytes: int):
 
 
 def write_warc(pages: DataFrame, revisits: DataFrame, root: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk: int = CHUNK, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write one record for each page; the manifest: path, start and end of runs of records, and their number."""
+    """Write one record for each page; the manifest: path, start and end of runs of records, and their number. No payload is shuffled.
+
+    Pages must stand in the files that revisits (of plan_records) names.
+    """
+    first = look_up(revisits, fresh_dir(pages.sparkSession, "warc-first"))
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.length(payload).cast("long").alias("length"), F.sha2(payload, 256).alias("sha256"))
-    joined = rows.join(revisits, rows["page_id"].eqNullSafe(F.col("__id")) & (F.col("sha256") == F.col("__sha")), "left")
-    # Revisits carry no payload. The chunks of a record follow each other: nothing is shuffled after this.
-    body = F.when(F.col("first").isNull(), F.col("payload")).otherwise(F.lit(b""))
-    chunks = joined.select("page_id", "url", "length", "sha256", "first", F.explode(_chunked(body, chunk)).alias("c")).select("page_id", "url", "length", "sha256", "first", "c.*")
+    rows = located(pages, "warc", F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
+    rows = rows.select("*", first(F.col("__path"), F.col("__row")).alias("first"), F.length("payload").cast("long").alias("length"), F.sha2("payload", 256).alias("sha256"))
+    # Revisits carry no payload. A record's chunks are cut one by one and follow each other.
+    last = F.when(F.col("first").isNull(), F.greatest(F.ceil(F.col("length") / chunk), F.lit(1)) - 1).otherwise(0).cast("long")
+    chunks = rows.withColumn("until", last).select("*", F.explode(F.sequence(F.lit(0).cast("long"), "until")).alias("chunk_no"))
+    data = F.when(F.col("first").isNull(), F.substring("payload", F.col("chunk_no").cast("int") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
+    chunks = chunks.select("page_id", "url", "length", "sha256", "first", "chunk_no", (F.col("chunk_no") == F.col("until")).alias("last"), data.alias("data"))
     return stored(chunks.mapInArrow(_writer(root, archive_bytes), _ENTRY), "warc-manifest")
 
 
@@ -176,7 +177,7 @@ class _Range:
 def _reader(root: str, chunk: int, data: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = fs.FileSystem.from_uri(root)
-        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = [part.strip().split(" ")[0] for part in CHUNKS.split(",")]
         rows, held = [], 0
 
@@ -185,13 +186,16 @@ def _reader(root: str, chunk: int, data: bool):
 
         for entry in batches:
             for path, start, end in zip(*(entry.column(i).to_pylist() for i in range(3)), strict=True):
-                digest, number = hashlib.sha256(), 0
+                digest, number, count = hashlib.sha256(), 0, 0
                 for head, piece, last in _records(_Range(files, path, start, end), chunk):
                     digest.update(piece)
-                    refers, page = head.get("X-Refers-To-Page"), head["X-Page-ID"]
-                    rows.append((head["WARC-Record-ID"], number, last, piece if data else None, digest.hexdigest(), head["WARC-Type"], int(refers) if refers else None, int(page) if page else None, int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha256:"), head["WARC-Target-URI"]))
+                    count += len(piece)
+                    refers, page, declared = head.get("X-Refers-To-Page"), head["X-Page-ID"], head["WARC-Payload-Digest"].removeprefix("sha256:")
+                    if last and head["WARC-Type"] == "response" and digest.hexdigest() != declared:
+                        raise ValueError(f"{head['WARC-Record-ID']}: the payload is not what its digest says")
+                    rows.append((head["WARC-Record-ID"], number, last, piece if data else None, digest.hexdigest(), count, head["WARC-Type"], int(refers) if refers else None, int(page) if page else None, int(head["X-Payload-Length"]), declared, head["WARC-Target-URI"]))
                     held += len(piece) if data else 400
-                    digest, number = (hashlib.sha256(), 0) if last else (digest, number + 1)
+                    digest, number, count = (hashlib.sha256(), 0, 0) if last else (digest, number + 1, count)
                     if held >= 8 << 20:
                         yield batch()
                         rows, held = [], 0
@@ -202,7 +206,10 @@ def _reader(root: str, chunk: int, data: bool):
 
 
 def read_warc(spark: SparkSession, manifest: DataFrame, root: str, *, chunk: int = CHUNK, data: bool = True) -> DataFrame:
-    """The chunked record table of the archives that the manifest names. data=False leaves out the bytes (digests still cover them)."""
+    """The chunked record table of the archives that the manifest names: digest and n_bytes are of the payload up to and with the chunk.
+
+    data=False leaves out the bytes (digests still cover them). A response whose bytes differ from its declared digest raises an error.
+    """
     tasks = max(spark.sparkContext.defaultParallelism * 8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return manifest.repartition(max(1, min(tasks, manifest.count())), "path", "start").mapInArrow(_reader(root, chunk, data), CHUNKS)
 
@@ -212,10 +219,10 @@ def warc_round_trip(pages: DataFrame, **options) -> DataFrame:
 
     A response's length and digest are those of the bytes read; a revisit's are those that its headers declare.
     """
-    spark = pages.sparkSession
+    spark, pages = pages.sparkSession, in_files(pages, "warc")
     small_batches(spark)
     root = fresh_dir(spark, "warc")
     manifest = write_warc(pages, plan_records(pages), root, **options)
     read = read_warc(spark, manifest, root, data=False).where("last")
     response = F.col("warc_type") == "response"
-    return read.select("page_id", F.col("length").alias("payload_bytes"), F.when(response, F.col("digest")).otherwise(F.col("declared")).alias("payload_digest"), F.col("warc_type").alias("record_type"), "refers_to", "url")
+    return read.select("page_id", F.when(response, F.col("n_bytes")).otherwise(F.col("length")).alias("payload_bytes"), F.when(response, F.col("digest")).otherwise(F.col("declared")).alias("payload_digest"), F.col("warc_type").alias("record_type"), "refers_to", "url")

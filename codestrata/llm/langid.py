@@ -4,12 +4,13 @@ Text likelihoods come from hashed byte trigrams; the declared markup language an
 language; the prior of a host is smoothed towards its parent domain's and that towards the whole corpus's, from grouped sums of what the
 texts alone say. All evidence is added in log space, with what is missing left out.
 
-Likelihoods are learnt from at most SAMPLE labelled rows of the training fold, chosen by a hash of their id; host priors cover all rows and
-use no label. Labels are never evidence.
+Likelihoods are learnt from at most SAMPLE labelled rows a language of the training fold, chosen by a hash of their id; every label has a
+model. Host priors cover all rows and use no label. Labels are never evidence.
 
 Defined cases: a null or empty text, or one without letters, has no language: lang is "und" and kept false; without labelled rows all are
-"und"; a null host is a host of its own; repeated rows count as often as they occur and get equal results; an empty table gives no rows;
-extra columns are left out.
+"und"; of languages with equal posteriors the first by code point is named; a null host is a host of its own; repeated rows count as often
+as they occur and get equal results; a very long text is read whole, in batches of its own; an empty table gives no rows; extra columns
+are left out.
 """
 
 from __future__ import annotations
@@ -18,14 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buffers, locators, pieces, small, small_batches, stored, struct_of, without
 from .toxicity import held_out
 
-SAMPLE, BUCKETS = 4_000, 1 << 16
-LANGUAGES = 64
+SAMPLE, BUCKETS = 1_000, 1 << 16
 #: Trigrams of a text count as so many independent ones at most, each for so much.
 EVIDENCE, SHARE = 400, 0.25
 DECLARED, SUFFIX = 0.9, 0.75
@@ -86,12 +86,14 @@ class Model:
 
 def learn(docs: DataFrame, label: str, *, folds: int, fold_no: int, sample: int) -> Model:
     """docs: doc_id, text and the label column."""
-    train = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold_no))
-    ids = stored(train.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "lang-sample")
-    rows = train.join(F.broadcast(ids.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id"), "left_semi").select("text", F.col(label).alias("label"))
+    train = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold_no)).withColumn("label", F.col(label))
+    # Each task passes on at most so many rows a label.
+    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = train.select("doc_id", "label").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample)
+    ids = small(stored(ids.select(F.col("doc_id").alias("__id"), F.col("label").alias("__of")).distinct(), "lang-sample"))
+    rows = train.join(ids, (F.col("doc_id") == F.col("__id")) & (F.col("label") == F.col("__of")), "left_semi").select("text", "label")
     found = rows.mapInArrow(_counted, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
-    top = found.groupby("lang")["n"].sum().sort_values(ascending=False).index[:LANGUAGES]
-    languages = sorted(top)
+    languages = sorted(found["lang"].unique())
     counts = np.full((len(languages), BUCKETS), 0.1)
     for k, lang in enumerate(languages):
         own = found[found["lang"] == lang]

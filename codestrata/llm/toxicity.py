@@ -1,14 +1,15 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick after folding.
 
 Folding lower-cases, maps look-alike letters of other scripts to Latin and digits and signs that stand for letters to these. The lexicon
-holds beginnings of folded words, weighted by their log-odds in labelled training texts; phrases in the list of exceptions cover what
-they contain. A text's score is logistic in the sum of its weights and in that sum by length.
+holds beginnings of folded words and whole words of two or three letters, weighted by their log-odds in labelled training texts, of which
+equal ones count once; phrases in the list of exceptions cover what they contain. A text's score is logistic in the sum of its weights and in that sum by length.
 
 Learning reads at most SAMPLE labelled training rows, chosen by a hash of their id; rows of the held-out fold are never among them. Labels,
 ids, languages and sources are no inputs of a score.
 
 Defined cases: a null, empty or clean text gets the base score; repeated rows get equal scores; without labelled training rows all scores
-are the prior 0; an id that is null is not held out and has no label; an empty table gives no rows; extra columns are left out.
+are the prior 0; an id that is null is not held out and has no label; a very long text is matched whole, in one pass; an empty table gives
+no rows; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored
 
-#: Parameters of learning: labelled rows read at most, lexicon entries at most, least toxic rows with an entry, least log-odds.
-SAMPLE, ENTRIES, LEAST_ROWS, LEAST_ODDS = 20_000, 4_000, 5, 3.5
-LENGTHS = range(4, 11)
+#: Parameters of learning: labelled rows read at most, least toxic texts with an entry, least log-odds.
+SAMPLE, LEAST_ROWS, LEAST_ODDS = 20_000, 5, 3.5
+#: Letters of beginnings, and of words that are entries only as a whole (marked by a space at their end).
+LENGTHS, WHOLE = range(4, 11), range(2, 4)
 
 #: Letters that look like Latin ones, and what digits and signs stand for.
 HOMOGLYPHS = {
@@ -61,7 +63,7 @@ def _count_beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             for phrase in EXCEPTIONS:  # what they cover teaches nothing
                 folded = folded.replace(phrase, " ")
             words = set(_NAME.findall(folded))
-            (toxic if label else clean).update({w[:n] for w in words for n in LENGTHS if len(w) >= n})
+            (toxic if label else clean).update({w[:n] for w in words for n in LENGTHS if len(w) >= n} | {f"{w} " for w in words if len(w) in WHOLE})
     keys = [*{*toxic, *clean}]
     for a in range(0, len(keys), 50_000):
         part = keys[a : a + 50_000]
@@ -82,18 +84,25 @@ class Lexicon:
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
             for word, weight in self.weights.items():
-                self.automaton.add_word(word, (len(word), weight))
+                self.automaton.add_word(word.rstrip(), (len(word.rstrip()), weight, word.endswith(" ")))
             for phrase in self.exceptions:
-                self.automaton.add_word(phrase, (len(phrase), None))
+                self.automaton.add_word(phrase, (len(phrase), None, False))
             self.automaton.make_automaton()
         folded = fold(text)
         hits, safe = [], []
         if self.weights or self.exceptions:
-            for end, (n, weight) in self.automaton.iter(folded):
+            for end, (n, weight, whole) in self.automaton.iter(folded):
                 start = end - n + 1
-                if start == 0 or not folded[start - 1].isalpha():
+                if (start == 0 or not folded[start - 1].isalpha()) and not (whole and folded[end + 1 : end + 2].isalpha()):
                     (safe if weight is None else hits).append((start, end, weight))
-        total = sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in safe))
+        total, reach = 0.0, -1
+        # Both by start: what a hit's exceptions reach to is the furthest end of those that start no later.
+        safe.sort()
+        k = 0
+        for start, end, weight in sorted(hits):
+            while k < len(safe) and safe[k][0] <= start:
+                reach, k = max(reach, safe[k][1]), k + 1
+            total += weight if end > reach else 0.0
         return total, len(folded.split())
 
 
@@ -120,16 +129,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, folds: int = 5, fold_no: int =
     train = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold_no)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = stored(train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "toxic-sample")
     # At most sample rows of two numbers: a proven bound for the broadcast.
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id")).select("text", (F.col("toxic") == 1).alias("label")), "toxic-rows")
+    rows = stored(docs.select("doc_id", "text").join(F.broadcast(chosen.withColumnRenamed("doc_id", "__id")), F.col("doc_id") == F.col("__id")).groupBy("text").agg((F.max("toxic") == 1).alias("label")), "toxic-rows")
     n = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = n.get(True, 0), n.get(False, 0)
     if not n_toxic or not n_clean:
         return Lexicon({}), np.array([math.log((n_toxic + 1e-3) / (n_clean + 1)) if n_toxic + n_clean else -30.0, 0.0, 0.0])
     counts = rows.mapInArrow(_count_beginnings, "entry string, toxic bigint, clean bigint").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    best = counts.withColumn("odds", odds).where((F.col("toxic") >= LEAST_ROWS) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.length("entry"), F.desc("odds"), "entry").limit(ENTRIES)
+    best = counts.withColumn("odds", odds).where((F.col("toxic") >= LEAST_ROWS) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.length("entry"), "entry")
     weights: dict[str, float] = {}
-    for r in best.collect():  # shortest first: what begins with an entry needs none of its own
+    for r in best.collect():  # of at most sample texts; shortest first: what begins with an entry needs none of its own
         if not any(r.entry[:k] in weights for k in LENGTHS):
             weights[r.entry] = float(r.odds)
     lexicon = Lexicon(weights)

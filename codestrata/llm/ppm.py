@@ -11,7 +11,7 @@ counted and costed, and gets only their costs back; words of the baseline go the
 so it is found by a join a level over distinct suffixes, and no process holds more than a block's codes.
 
 Defined cases: a null or empty text is a single end; null ids train; repeated rows count as often as they occur; without training texts
-counts are 0 and all bytes alike; an empty table gives no rows; extra columns are left out.
+counts are 0 and all bytes alike; a very long text is a block of its own; an empty table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ from .common import IS_SPACE, LOWER, buffers, fresh_dir, pieces, small_batches,
 ORDER = 5
 #: A block of texts ends at so many bytes or distinct codes; results don't depend on either.
 BLOCK_BYTES, NODES = 20 << 20, 1 << 22
-#: Bits of a place within a block: words from 1 on, codes from CODES on.
-SLOT_BITS, CODES = 24, 1 << 23
+#: Bits of a place within a block (words from 1 on, codes from CODES on) and of a block's number within a task.
+SLOT_BITS, CODES, BLOCK_BITS = 32, 1 << 31, 12
 
 
 def streams(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +182,7 @@ def _gather(order: int, nodes: int, root: str):
     """Per block of texts its words and codes, with their counts in training texts; documents and byte streams go to a file in root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId() << 20, 0
+        part, number = TaskContext.get().partitionId() << BLOCK_BITS, 0
         pack = zstandard.ZstdCompressor(level=1)
         held: list[tuple] = []
         grams: list[tuple[np.ndarray, np.ndarray]] = []
@@ -206,7 +206,9 @@ def _gather(order: int, nodes: int, root: str):
             free = ~rows.column("held").to_numpy()
             n = np.bincount(back[np.repeat(free, counts)], minlength=len(words))
             codes_, trained = merged()[0]
-            out.write(pickle.dumps((rows.append_column("n_words", pa.array(counts)), _packed(back.astype(np.uint32))[:3], [h[3] for h in held], len(codes_), _packed(np.diff(codes_, prepend=0))), protocol=5))
+            if number >> BLOCK_BITS or max(len(words), len(codes_)) >= CODES:
+                raise RuntimeError("a task's or a block's texts are too many for the numbers of places; use more, smaller tasks")
+            out.write(pickle.dumps((rows.append_column("n_words", pa.array(counts)), _packed(back.astype(np.uint32)), [h[3] for h in held], len(codes_), _packed(np.diff(codes_, prepend=0))), protocol=5))
             out.close()
             head = pickle.dumps((name, at_byte))
             yield _row(part + number, None, head, int(n.sum()), int(free.sum()), words[order_].view(np.int64), n, None, None)

@@ -141,7 +141,6 @@ class ByteRange(InputPartition):
 class MediaArchives(DataSource):
     """format("media_archives").option("manifest", path): one row per member, with its id, unpadded length and stored bytes.
 
-    With the option features, what is computed from the stored bytes instead of these.
     """
 
     @classmethod
@@ -149,17 +148,17 @@ class MediaArchives(DataSource):
         return "media_archives"
 
     def schema(self) -> str:
-        return _FEATURES if self.options.get("features") == "true" else _MEMBERS
+        return _MEMBERS
 
     def reader(self, schema) -> DataSourceReader:
-        return MediaReader(self.options["manifest"], int(self.options.get("splitBytes", SPLIT_BYTES)), self.options.get("features") == "true")
+        return MediaReader(self.options["manifest"], int(self.options.get("splitBytes", SPLIT_BYTES)))
 
 
 class MediaReader(DataSourceReader):
     """Plans ranges and reads them."""
 
-    def __init__(self, manifest: str, split: int, features: bool = False):
-        self.manifest, self.split, self.features = manifest, split, features
+    def __init__(self, manifest: str, split: int):
+        self.manifest, self.split = manifest, split
 
     def partitions(self) -> list[ByteRange]:
         files, base = fs.FileSystem.from_uri(self.manifest)
@@ -170,9 +169,6 @@ class MediaReader(DataSourceReader):
         return out or [ByteRange(self.manifest, "", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        return map(_featured, self.members(partition)) if self.features else self.members(partition)
-
-    def members(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         """Batches of stored bytes."""
         if not partition.path:
             return
@@ -218,7 +214,11 @@ def read_member(files, path: str, offset: int, size: int, crc: int, tries: int =
     raise AssertionError
 
 
-def _featured(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return map(_features_of, batches)
+
+
+def _features_of(batch: pa.RecordBatch) -> pa.RecordBatch:
     rows = []
     for member in batch.column("media"):
         media = member.as_buffer().to_pybytes()
@@ -230,10 +230,10 @@ def _featured(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *made], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
 
-def read_media(spark: SparkSession, manifest: str, split_bytes: int = SPLIT_BYTES, features: bool = False) -> DataFrame:
-    """The members of the manifest's archives, or their features, computed where they are read."""
+def read_media(spark: SparkSession, manifest: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """The members of the manifest's archives: doc_id, n_bytes and the stored bytes."""
     spark.dataSource.register(MediaArchives)
-    return spark.read.format("media_archives").option("manifest", manifest).option("splitBytes", str(split_bytes)).option("features", str(features).lower()).load()
+    return spark.read.format("media_archives").option("manifest", manifest).option("splitBytes", str(split_bytes)).load()
 
 
 def media_features(docs: DataFrame, **options) -> DataFrame:
@@ -241,4 +241,4 @@ def media_features(docs: DataFrame, **options) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     manifest = write_archives(docs, fresh_dir(spark, "media"), **options)
-    return read_media(spark, manifest, features=True)
+    return read_media(spark, manifest).mapInArrow(_featured, _FEATURES)

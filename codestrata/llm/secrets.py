@@ -42,31 +42,41 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1, base=False),
 )
 RULE_VERSION = "r1"
+#: Matches whose places are summed together.
+RUN = 256
 
 
 def spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """All spans of text as an array of (start, rank, kind, end), sorted.
 
-    Each match is found again by its string from the end of the one before: as the expressions look at nothing around a match, the
-    first place where the string stands is where the leftmost match begins.
+    A match starts where the pieces of text and the matches before it end, so lengths are summed along both. Sums go by slices of RUN
+    matches, of which each gives one array, so that long lists aren't copied for every match.
     """
     kind = "array<struct<start:int,rank:int,kind:string,end:int>>"
+    none = F.array().cast(kind)
     parts = []
 
     def adder(rank: int, rule: Rule):
-        def add(acc: Column, m: Column) -> Column:
-            at = F.call_function("locate", m, text, acc["at"])
-            end = at + F.length(m)
-            good = F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least
-            found = F.array(F.struct((at - 1).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (end - 1).alias("end")))
+        def add(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["skip"]
+            end = start + F.length(x["m"])
+            good = F.length(F.regexp_extract(x["m"], rule.pattern, rule.group)) >= rule.least
+            found = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")))
             return F.struct(end.alias("at"), F.when(good, F.concat(acc["all"], found)).otherwise(acc["all"]).alias("all"))
 
-        return add
+        def add_run(acc: Column, run: Column) -> Column:
+            inner = F.aggregate(run, F.struct(acc["at"].alias("at"), none.alias("all")), add)
+            return F.struct(inner["at"].alias("at"), F.concat(acc["all"], F.array(inner["all"])).alias("all"))
+
+        return add_run
 
     for rank, rule in enumerate(rules):
         matches = F.regexp_extract_all(text, F.lit(rule.pattern), 0)
-        zero = F.struct(F.lit(1).alias("at"), F.array().cast(kind).alias("all"))
-        parts.append(F.aggregate(matches, zero, adder(rank, rule), lambda acc: acc["all"]))
+        between = F.transform(F.split(text, rule.pattern, -1), F.length)
+        pairs = F.zip_with(F.slice(between, 1, F.greatest(F.size(between) - 1, F.lit(0))), matches, lambda n, m: F.struct(n.alias("skip"), m.alias("m")))
+        runs = F.when(F.size(matches) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / RUN).cast("int")), lambda k: F.slice(pairs, k * RUN + 1, F.lit(RUN)))).otherwise(F.array().cast("array<array<struct<skip:int,m:string>>>"))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("all"))
+        parts.append(F.flatten(F.aggregate(runs, zero, adder(rank, rule), lambda acc: acc["all"])))
     return F.array_sort(F.concat(*parts))
 
 

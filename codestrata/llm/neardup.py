@@ -12,7 +12,7 @@ no link is lost.
 
 Defined cases: a null text or one without words has an empty set, size 0, and is linked with nothing; a text with fewer words than a
 shingle has one shingle, the whole sequence; repeated rows form one class; null ids come last among the ids of a group; an empty table
-gives no rows; extra columns are left out.
+gives no rows; a very long text's elements are ranked in blocks; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, fresh_dir, located, look_up, mix64, pieces, small_batches, stored, without, word_hashes, word_spans
+from .common import LOWER, buffers, fresh_dir, located, look_up, mix64, pieces, small, small_batches, stored, without, word_hashes, word_spans
 from .components import components
 
 ROWS = 4
@@ -37,6 +37,8 @@ SHARE = 0.55
 LEADERS = 2
 #: Elements of a set that are ranked at once: each takes a byte a place.
 ELEMENTS = 1 << 15
+#: Members of a centre that meet it in one slice.
+MEMBERS = 256
 _SETS = "node bigint, items array<bigint>"
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -160,7 +162,7 @@ def _changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lacks.append(len(gone))
             lists.append(np.concatenate([mix64(gone.view(np.uint64) ^ _STEP).view(np.int64), new]))
         sizes = pa.array(np.diff(core_at), pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("centre", "node", "root", "n")), sizes, pa.array(lacks, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["centre", "node", "root", "n", "c_n", "lacks", "items"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("centre", "slice", "node", "root", "n")), sizes, pa.array(lacks, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["centre", "slice", "node", "root", "n", "c_n", "lacks", "items"])
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -267,18 +269,28 @@ class _Search:
         """
         members = entries.select("centre", "node", "root", "n").distinct()
         members = stored(members, "near-members", narrow=True)
+        # Members of a large centre meet what belongs to it in slices, each with a copy of that.
+        large = stored(members.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("slices")).where("slices > 1"), "near-large", narrow=True)
+        sliced = F.pmod(F.xxhash64("node"), F.coalesce("slices", F.lit(1))).cast("int").alias("slice")
+        members = stored(members.join(small(large), "centre", "left").select("centre", "node", "root", "n", sliced), "near-sliced", narrow=True)
+
+        def copied(of_centre: DataFrame) -> DataFrame:
+            each = of_centre.join(small(large), "centre", "left")
+            return each.withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
+
         self.fetch(members.select("node").union(members.select("centre")).distinct())
         sets = self.sets
-        both = members.join(sets, "node").join(sets.select(F.col("node").alias("centre"), F.col("items").alias("c_items")), "centre")
-        changed = stored(both.select("centre", "node", "root", "n", "items", "c_items").mapInArrow(_changed, "centre bigint, node bigint, root bigint, n bigint, c_n bigint, lacks bigint, items array<bigint>"), "near-changed", narrow=True)
-        of_centre = members.where("node = centre").select("centre", F.col("root").alias("c_root"))
+        cores = copied(members.select("centre").distinct()).join(sets.select(F.col("node").alias("centre"), F.col("items").alias("c_items")), "centre")
+        both = members.join(sets, "node").join(cores, ["centre", "slice"])
+        changed = stored(both.select("centre", "slice", "node", "root", "n", "items", "c_items").mapInArrow(_changed, "centre bigint, slice int, node bigint, root bigint, n bigint, c_n bigint, lacks bigint, items array<bigint>"), "near-changed", narrow=True)
+        of_centre = copied(members.where("node = centre").select("centre", F.col("root").alias("c_root")))
         away = F.col("root") != F.col("c_root")
-        low = changed.join(of_centre, "centre").groupBy("centre").agg(F.min("n").alias("n_all"), F.min("lacks").alias("lacks_all"), F.min(F.when(away, F.col("n"))).alias("n_away"), F.min(F.when(away, F.col("lacks"))).alias("lacks_away"), F.first("c_root").alias("c_root"))
+        low = changed.join(of_centre, ["centre", "slice"]).groupBy("centre").agg(F.min("n").alias("n_all"), F.min("lacks").alias("lacks_all"), F.min(F.when(away, F.col("n"))).alias("n_away"), F.min(F.when(away, F.col("lacks"))).alias("lacks_away"), F.first("c_root").alias("c_root"))
         p = F.lit(self.percent)
         n_other = F.greatest(F.when(away, F.col("n_all")).otherwise(F.col("n_away")), F.ceil(p * F.col("n") / 100))
         lacks_other = F.when(away, F.col("lacks_all")).otherwise(F.col("lacks_away"))
         need = F.greatest(F.ceil(p * (F.col("n") + n_other) / (100 + p)) - F.col("c_n") + F.col("lacks") + lacks_other, F.lit(1))
-        marked = changed.join(low, "centre").where("n_away is not null").withColumn("first", F.size("items") - need + 1).where("first > 0")
+        marked = changed.join(copied(stored(low, "near-low", narrow=True)), ["centre", "slice"]).where("n_away is not null").withColumn("first", F.size("items") - need + 1).where("first > 0")
         marked = marked.select("centre", "node", "root", "n", "lacks", "c_n", "first", F.size("items").alias("d"), F.explode("items").alias("item"))
         often = marked.groupBy("centre", "item").agg(F.count(F.lit(1)).alias("c"))
         ranked = marked.join(often, ["centre", "item"]).withColumn("place", F.row_number().over(Window.partitionBy("centre", "node").orderBy("c", "item"))).where("place <= first and c > 1")

@@ -7,12 +7,14 @@ once are fetched by locator and compared in full with the text that stays; large
 that differ are grouped by their full form instead.
 
 Defined cases: a null text is empty, and all empty texts are equal; of equal texts the one with most code points stays, then the smallest
-id, null ids last, then the first locator, so exactly one row of repeated rows stays; an empty table gives no rows; extra columns are
-left out.
+id, null ids last, then the first locator, so exactly one row of repeated rows stays; an empty table gives no rows; a very long text is
+compared whole, in the JVM; extra columns are left out.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,18 +62,26 @@ def keyed_state(spark: SparkSession, ledger: str, schema, state: str, out: str,
     return kept.groupBy("digest").agg(F.max_by(F.struct("best", "n"), "batch").alias("s")).select("digest", "s.best", "s.n")
 
 
-def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest=lambda norm: F.sha2(norm, 256), max_bytes_per_trigger: int = 64 << 30) -> DataFrame:
+def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", digest=lambda norm: F.sha2(norm, 256), max_bytes_per_trigger: int = 64 << 30, state: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text) and the locator __path, __row.
 
-    digest maps the normalised text to its key; a weak one costs comparisons, never results.
+    digest maps the normalised text to its key; a weak one costs comparisons, never results. state is a folder that is kept between calls:
+    it holds the texts, ledger and keyed state of all calls; only the new rows are digested and go through the state, and the result has
+    a row for each row of all calls. None starts anew and leaves texts where they are.
     """
     spark = docs.sparkSession
-    found = located(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "dedup", "doc_id", "text")
+    root = state or fresh_dir(spark, "dedup")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if state:
+        docs = stored(docs, "", f"{root}/content/{uuid.uuid4().hex}")
+    new = located(docs, "dedup", "doc_id", "text")
+    found = located(spark.read.schema(docs.schema).option("recursiveFileLookup", True).parquet(f"{root}/content"), "dedup", "doc_id", "text") if state else new
     norm = normalised(F.col("text"))
-    ledger_dir = fresh_dir(spark, "dedup-ledger")
-    ledger = found.select(digest(norm).alias("digest"), F.sha2(norm, 256).alias("text_sha256"), F.coalesce(F.length("text"), F.lit(0)).alias("n_points"), "doc_id", "__path", "__row")
-    ledger = stored(ledger, "", ledger_dir)
-    groups = keyed_state(spark, ledger_dir, ledger.schema, fresh_dir(spark, "dedup-state"), fresh_dir(spark, "dedup-latest"), max_bytes_per_trigger)
+    ledger_dir = f"{root}/ledger"
+    ledger = new.select(digest(norm).alias("digest"), F.sha2(norm, 256).alias("text_sha256"), F.coalesce(F.length("text"), F.lit(0)).alias("n_points"), "doc_id", "__path", "__row")
+    ledger.write.mode("append").parquet(ledger_dir)
+    ledger = spark.read.schema(ledger.schema).parquet(ledger_dir)
+    groups = keyed_state(spark, ledger_dir, ledger.schema, f"{root}/state", f"{root}/latest", max_bytes_per_trigger)
     groups = stored(groups.where("n > 1"), "dedup-groups")
 
     hits = stored(ledger.join(groups, "digest").select("digest", "__path", "__row", "best", "n"), "dedup-hits")

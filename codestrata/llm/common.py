@@ -9,7 +9,6 @@ from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.parquet as pq
@@ -58,13 +57,14 @@ def struct_of(docs: DataFrame, names) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in names])
 
 
-#: Bytes of rows that go to Python at once.
-BATCH_BYTES = 8 << 20
+#: Bytes of rows that go to Python at once, and rows that a Parquet reader decodes at once.
+BATCH_BYTES, READ_ROWS = 2 << 20, 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have the session hand rows to Python in batches of a few megabytes: a batch is held several times on its way."""
+    """Have the session read and pass on rows with texts in small batches: a batch is held several times on its way."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 def stored(df: DataFrame, name: str, path: str | None = None, narrow: bool = False) -> DataFrame:
@@ -142,15 +142,20 @@ def look_up(values: DataFrame, path: str) -> Callable[[Column, Column], Column]:
     sliced = values.withColumn("slice", slice_of(F.col("__path"), F.col("__row"))).repartition("slice").sortWithinPartitions("slice", "__path", "__row")
     sliced.write.partitionBy("slice").mode("overwrite").parquet(path)
 
-    @F.pandas_udf("bigint")
-    def value_at(files: pd.Series, rows: pd.Series, slices: pd.Series) -> pd.Series:
-        out = pd.Series(pd.array([pd.NA] * len(rows), dtype="Int64"))
-        for (number, file), part in rows.groupby([slices, files]):
-            at, values = _slice(path, int(number)).get(file, (_NO_ROWS, _NO_ROWS))
-            k = np.searchsorted(at, part.to_numpy())
-            hit = np.flatnonzero((k < len(at)) & (at[np.minimum(k, max(len(at) - 1, 0))] == part.to_numpy())) if len(at) else _NO_ROWS
-            out.iloc[part.index[hit]] = values[k[hit]]
-        return out
+    @F.arrow_udf("bigint")
+    def value_at(files: pa.Array, rows: pa.Array, slices: pa.Array) -> pa.Array:
+        files = files.dictionary_encode()
+        names, rows = files.dictionary.to_pylist(), rows.to_numpy(zero_copy_only=False)
+        both = slices.to_numpy(zero_copy_only=False).astype(np.int64) * max(len(names), 1) + files.indices.to_numpy(zero_copy_only=False)
+        out, known = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+        for key in np.unique(both):
+            at, values = _slice(path, int(key // len(names))).get(names[key % len(names)], (_NO_ROWS, _NO_ROWS))
+            if len(at):
+                own = np.flatnonzero(both == key)
+                k = np.minimum(np.searchsorted(at, rows[own]), len(at) - 1)
+                hit = at[k] == rows[own]
+                out[own[hit]], known[own[hit]] = values[k[hit]], True
+        return pa.array(out, mask=~known)
 
     return lambda file, row: value_at(file, row, slice_of(file, row))
 
@@ -166,9 +171,13 @@ def _slice(path: str, number: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     tables = [pq.ParquetFile(files.open_input_file(f.path)).read(use_threads=False) for f in found if f.path.endswith(".parquet")]
     out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     if tables:
-        for file, part in pa.concat_tables(tables).to_pandas().groupby("__path"):
-            part = part.sort_values("__row")
-            out[file] = part["__row"].to_numpy(), part["value"].to_numpy()
+        table = pa.concat_tables(tables)
+        names = table["__path"].combine_chunks().dictionary_encode()
+        name, rows, values = (c.to_numpy() for c in (names.indices, table["__row"], table["value"]))
+        for k, file in enumerate(names.dictionary.to_pylist()):
+            own = np.flatnonzero(name == k)
+            own = own[np.argsort(rows[own])]
+            out[file] = rows[own], values[own]
     return out
 
 
@@ -243,8 +252,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-#: Bytes of text that are hashed at once: 8-byte values of a block fit the processor's caches.
-BLOCK = 1 << 18
+#: Bytes of text that are hashed at once: 8-byte values of a block fit the processor's caches. The powers for a block are 2**18.
+BLOCK = (1 << 18) - 1
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

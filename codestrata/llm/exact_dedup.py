@@ -18,10 +18,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, located, look_up, stored, without
+from .common import fresh_dir, located, look_up, small_batches, stored, without
 
 #: Members of a group that meet its retained text in one slice.
 SLICE = 2048
+#: Rows of a ledger that a partition of the keyed state holds, about, if the session has partitions enough; megabytes for the stores of an executor.
+STATE_ROWS, STATE_MB = 1 << 17, 64
 
 
 def normalised(text: Column) -> Column:
@@ -34,10 +36,11 @@ def _best() -> Column:
     return F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__path").alias("path"), F.col("__row").alias("row"))
 
 
-def keyed_state(spark: SparkSession, ledger: str, schema, state: str, out: str, max_bytes: int) -> DataFrame:
+def keyed_state(spark: SparkSession, ledger: str, schema, state: str, out: str, max_bytes: int, partitions: int | None = None) -> DataFrame:
     """Run the ledger files that state hasn't seen through the keyed state; per digest its latest row: best and n.
 
-    A micro-batch that is run again after a failure overwrites what it wrote. state and out can be kept for later calls.
+    A micro-batch that is run again after a failure overwrites what it wrote. state and out can be kept for later calls. partitions of a new
+    state are the session's unless given.
     """
     child = spark.newSession()
     for key, value in (
@@ -45,8 +48,8 @@ def keyed_state(spark: SparkSession, ledger: str, schema, state: str, out: str,
         ("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true"),
         ("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false"),  # many small stores: no disk set aside
         ("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true"),
-        ("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256"),
-        ("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")),
+        ("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", str(STATE_MB)),
+        ("spark.sql.shuffle.partitions", str(partitions or spark.conf.get("spark.sql.shuffle.partitions"))),
         ("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone")),
     ):
         child.conf.set(key, value)
@@ -70,6 +73,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     a row for each row of all calls. None starts anew and leaves texts where they are.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     root = state or fresh_dir(spark, "dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if state:
@@ -81,7 +85,9 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ledger = new.select(digest(norm).alias("digest"), F.sha2(norm, 256).alias("text_sha256"), F.coalesce(F.length("text"), F.lit(0)).alias("n_points"), "doc_id", "__path", "__row")
     ledger.write.mode("append").parquet(ledger_dir)
     ledger = spark.read.schema(ledger.schema).parquet(ledger_dir)
-    groups = keyed_state(spark, ledger_dir, ledger.schema, f"{root}/state", f"{root}/latest", max_bytes_per_trigger)
+    # A state that is kept grows, so it has all of the session's partitions; each is a store of its own.
+    few = None if state else min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-ledger.count() // STATE_ROWS)))
+    groups = keyed_state(spark, ledger_dir, ledger.schema, f"{root}/state", f"{root}/latest", max_bytes_per_trigger, few)
     groups = stored(groups.where("n > 1"), "dedup-groups")
 
     hits = stored(ledger.join(groups, "digest").select("digest", "__path", "__row", "best", "n"), "dedup-hits")

@@ -21,7 +21,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,12 +130,10 @@ def _sets(width: int):
     return run
 
 
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
     """If enough places of two signatures are equal."""
-    if not len(a):
-        return pd.Series([], dtype=bool)
-    x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).mean(axis=1) >= SHARE)
+    x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint16).reshape(len(s), -1 if len(s) else PLACES) for s in (a, b))
+    return pa.array((x == y).mean(axis=1) >= SHARE, pa.bool_())
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +230,7 @@ class _Search:
         self.met = pairs if self.met is None else stored(self.met.union(pairs), "near-met", narrow=True)
         side = self.classes.select("node", "n", "signature")
         likely = pairs.join(side.withColumnsRenamed({"node": "a", "n": "a_n", "signature": "a_s"}), "a").join(side.withColumnsRenamed({"node": "b", "n": "b_n", "signature": "b_s"}), "b")
-        likely = likely.where((100 * F.least("a_n", "b_n") >= self.percent * F.greatest("a_n", "b_n")) & F.pandas_udf(_alike, "boolean")("a_s", "b_s"))
+        likely = likely.where((100 * F.least("a_n", "b_n") >= self.percent * F.greatest("a_n", "b_n")) & F.arrow_udf(_alike, "boolean")("a_s", "b_s"))
         likely = stored(likely.select("a", "b", "a_n", "b_n"), "near-likely", narrow=True)
         if likely.isEmpty():
             return

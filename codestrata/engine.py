@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import threading
@@ -49,7 +50,8 @@ class Engine:
         self.spark, self.config, self.now = spark, config or Config.load(), now
         self.store = Store(spark, self.config.index_dir)
         self.repo_id = hashlib.sha1(self.config.workspace.encode()).hexdigest()[:16]
-        self._building = threading.Lock()
+        self._building, self._parsing = threading.Lock(), threading.Lock()
+        self._memo: tuple[DataFrame | None, DataFrame | None] = (None, None)
 
     def call(self, name: str, /, **given):
         """Run a tool; unknown tools and missing required arguments are errors."""
@@ -83,8 +85,22 @@ class Engine:
     # Code without an index: the files are parsed for the query.
 
     def _parsed(self) -> DataFrame:
-        found = self._tree(None, ".java").select(F.lit(self.repo_id).alias("repo_id"), F.col("path").alias("file_id"), F.col("content").cast("string").alias("content"))
-        return java.parse_java(found)
+        """All Java files' rows. Files whose time and size are those of the last call aren't parsed again."""
+        tree = self._tree(None, ".java")
+        stamp = ["path", "mtime", "size"]
+        stamps = graph.durable(tree.select(*stamp))
+        with self._parsing:
+            old, known = self._memo
+            fresh = stamps if known is None else stamps.join(known, stamp, "left_anti")
+            gone = known is not None and not known.join(stamps, stamp, "left_anti").isEmpty()
+            if known is None or gone or not fresh.isEmpty():
+                rows = tree.join(fresh, stamp, "left_semi").select(F.lit(self.repo_id).alias("repo_id"), F.col("path").alias("file_id"), F.col("content").cast("string").alias("content"))
+                parsed = java.parse_java(rows)
+                if known is not None:
+                    same = stamps.join(known, stamp, "left_semi").select(F.col("path").alias("file_id"))
+                    parsed = parsed.unionByName(old.join(same, "file_id", "left_semi"))
+                self._memo = graph.durable(parsed), stamps
+            return self._memo[0]
 
     @tool("findClass", "Types by name.", name=("string", ...), exact=("boolean", False))
     def find_class(self, name, exact=False) -> DataFrame:
@@ -92,7 +108,7 @@ class Engine:
 
     @tool("findMethod", "Methods with a body by name.", method=("string", ...), **{"class": ("string", None)}, exact=("boolean", False))
     def find_method(self, method, cls=None, exact=False) -> DataFrame:
-        symbols = graph.durable(java.part(self._parsed(), "symbol"))
+        symbols = java.part(self._parsed(), "symbol")
         owner = symbols.where(F.col("kind") == "INTERFACE").select(F.col("id").alias("parent_id"))
         bodiless = symbols.where("kind = 'METHOD'").where(F.coalesce(F.col("modifiers"), F.lit("")).rlike("abstract|native")).select("id")
         plain = symbols.where("kind = 'METHOD'").where(~F.coalesce(F.col("modifiers"), F.lit("")).rlike("default|static|private")).join(owner, "parent_id", "left_semi").select("id")
@@ -100,12 +116,16 @@ class Engine:
 
     @tool("findCallers", "Calls of a method.", **{"class": ("string", ...)}, method=("string", ...))
     def find_callers(self, cls, method) -> DataFrame:
-        parsed = graph.durable(self._parsed())
-        return lookups.find_callers(java.part(parsed, "edge"), java.part(parsed, "symbol"), cls, method)
+        parsed = self._parsed()
+        found = lookups.find_callers(java.part(parsed, "edge"), java.part(parsed, "symbol"), cls, method)
+        # The call's text: its line.
+        lines = search.lines_of(self._tree(None, ".java").join(found.select(F.col("file_id").alias("path")), "path", "left_semi").select("path", F.col("content").cast("string").alias("content")))
+        at = lines.select(F.col("path").alias("file_id"), "line", text.truncated(F.trim("text"), search.SNIPPET).alias("call"))
+        return found.join(at, ["file_id", "line"], "left").select(*found.columns, "call").orderBy("caller_class", "caller", "line")
 
     @tool("findImplementations", "Direct subtypes of a type.", type=("string", ...))
     def find_implementations(self, name) -> DataFrame:
-        parsed = graph.durable(self._parsed())
+        parsed = self._parsed()
         return lookups.find_implementations(java.part(parsed, "edge"), java.part(parsed, "symbol"), name)
 
     # History.
@@ -216,30 +236,35 @@ class Engine:
         return traces.locate_frames(traces.parse_frames(lines, keys), self.table("symbols"), self.table("files"))
 
     def _findings(self, frames: DataFrame, keys: list[str], depth: int = 5, reach: int = 4, methods: bool = True) -> DataFrame:
-        """Findings of located frames, of all traces at once: keys, kind, title, score, breakdown, ordinal."""
+        """Findings of located frames, of all traces at once: keys, kind, title, score, breakdown, ordinal, data (JSON)."""
         d, name = F.lit(None).cast("double"), F.concat(F.coalesce("class_fqn", F.lit("?")), F.lit("#"), F.coalesce("method", F.lit("?")))
         frames = graph.durable(frames)
-        out = frames.select(*keys, F.when(F.col("in_repo"), "RELEVANT_METHOD").otherwise("EXTERNAL_FRAME").alias("kind"), name.alias("title"), scoring.score_frame(F.col("index"), F.col("in_repo")).alias("score"), F.create_map(F.lit("frameDistance"), scoring.frame_distance(F.col("index"))).alias("breakdown"), F.col("index").cast("long").alias("ordinal")) if methods else None
+        out = frames.select(*keys, F.when(F.col("in_repo"), "RELEVANT_METHOD").otherwise("EXTERNAL_FRAME").alias("kind"), name.alias("title"), scoring.score_frame(F.col("index"), F.col("in_repo")).alias("score"), F.create_map(F.lit("frameDistance"), scoring.frame_distance(F.col("index"))).alias("breakdown"), F.col("index").cast("long").alias("ordinal"), F.to_json(F.struct(F.col("class_fqn").alias("class"), "method", F.col("file_path").alias("file"), F.col("line_number").alias("line"))).alias("data")) if methods else None
         own = frames.where("in_repo")
         near = scoring.frame_distance(F.col("index"))
         zero = F.lit(0.0)
-        paths = own.select(*keys, F.lit("EXECUTION_PATH").alias("kind"), F.concat(name, F.lit(" (downstream)")).alias("title"), scoring.combine(near, zero, zero, F.lit(100.0), zero).alias("score"), F.create_map(F.lit("frameDistance"), near, F.lit("dependencyProximity"), F.lit(100.0)).alias("breakdown"), (F.col("index") + 10_000).cast("long").alias("ordinal"))
+        # What a frame's method calls, each method once, at its least depth.
+        starts = graph.durable(own.select(F.col("symbol_id").alias("entry_id"), "symbol_id").distinct())
+        flow = graph.described(graph.shortest_paths(starts, graph.flow_edges(self.table("edges")), depth), self.table("symbols"), self.table("files"))
+        nodes = F.sort_array(F.collect_list(F.struct("depth", F.col("class_fqn").alias("class"), "method", "role", "file", "line")))
+        flow = flow.groupBy(F.col("entry_id").alias("symbol_id")).agg(F.to_json(F.struct(F.count(F.lit(1)).alias("nodeCount"), nodes.alias("nodes"))).alias("data"))
+        paths = own.join(flow, "symbol_id", "left").select(*keys, F.lit("EXECUTION_PATH").alias("kind"), F.concat(name, F.lit(" (downstream)")).alias("title"), scoring.combine(near, zero, zero, F.lit(100.0), zero).alias("score"), F.create_map(F.lit("frameDistance"), near, F.lit("dependencyProximity"), F.lit(100.0)).alias("breakdown"), (F.col("index") + 10_000).cast("long").alias("ordinal"), "data")
         out = paths if out is None else out.unionByName(paths)
         if git_source.is_repository(self.config.workspace):
-            starts = own.select(F.col("symbol_id").alias("entry_id"), "symbol_id").distinct()
             reached = graph.reachable_classes(starts, self.table("symbols"), self.table("edges"), reach)
-            home = self.table("symbols").select(F.col("fqn").alias("class_fqn"), "file_id").join(self.table("files").select(F.col("id").alias("file_id"), "path"), "file_id")
+            home = lookups.class_files(reached.select("class_fqn").distinct(), self.table("symbols"), self.table("files")).where("path is not null")
             far = own.select(*keys, F.col("symbol_id").alias("entry_id")).join(reached, "entry_id").join(home, "class_fqn").select(*keys, "path")
             at = own.where("file_path is not null").groupBy(*keys, F.col("file_path").alias("path")).agg(F.min("index").alias("i"))
             relevant = far.unionByName(at.select(*keys, "path")).distinct().join(at, [*keys, "path"], "left").withColumn("frame", F.coalesce(scoring.frame_distance(F.col("i")), F.lit(failures.REACHED_ONLY)))
-            commits = git_source.git_log(self.spark, self.config.workspace, None, git_source.MOST, per_file=True)
+            commits = graph.durable(git_source.git_log(self.spark, self.config.workspace, per_file=True))
             stats = failures.change_stats(commits, F.lit(self.now()))
-            changes = relevant.join(stats, "path", "left").withColumn("score", scoring.score_file_change(F.col("frame"), F.col("days_since_last"), F.col("commits_90d")))
+            changes = relevant.join(stats, "path", "left").join(failures.brief_commits(commits), "path", "left").withColumn("score", scoring.score_file_change(F.col("frame"), F.col("days_since_last"), F.col("commits_90d")))
             parts = F.create_map(F.lit("commitRecency"), scoring.commit_recency(F.col("days_since_last")), F.lit("commitFrequency"), scoring.commit_frequency(F.col("commits_90d")), F.lit("frameDistance"), F.col("frame"), F.lit("dependencyProximity"), F.col("frame"))
+            changes = changes.withColumn("data", F.to_json(F.struct("path", F.col("commits_90d").alias("commitsLast90Days"), F.col("days_since_last").alias("daysSinceLast"), "commits")))
             place = F.dense_rank().over(Window.partitionBy(*keys).orderBy("path")).cast("long")
-            out = out.unionByName(changes.select(*keys, F.lit("RECENT_CHANGE").alias("kind"), F.col("path").alias("title"), "score", parts.alias("breakdown"), (place + 20_000).alias("ordinal")))
+            out = out.unionByName(changes.select(*keys, F.lit("RECENT_CHANGE").alias("kind"), F.col("path").alias("title"), "score", parts.alias("breakdown"), (place + 20_000).alias("ordinal"), "data"))
             late = failures.regression_candidates(changes)
-            out = out.unionByName(late.select(*keys, F.lit("REGRESSION_CANDIDATE").alias("kind"), F.concat("path", F.lit(" (changed "), F.col("days_since_last").cast("string"), F.lit("d ago)")).alias("title"), "score", F.map_concat(parts, F.create_map(F.lit("regressionBoost"), F.lit(failures.REGRESSION_BOOST))).alias("breakdown"), (place + 30_000).alias("ordinal")))
+            out = out.unionByName(late.select(*keys, F.lit("REGRESSION_CANDIDATE").alias("kind"), F.concat("path", F.lit(" (changed "), F.col("days_since_last").cast("string"), F.lit("d ago)")).alias("title"), "score", F.map_concat(parts, F.create_map(F.lit("regressionBoost"), F.lit(failures.REGRESSION_BOOST))).alias("breakdown"), (place + 30_000).alias("ordinal"), "data"))
         return out.withColumn("score", F.coalesce("score", d))
 
     def _signatures(self, frames: DataFrame, chain: DataFrame, keys: list[str]) -> DataFrame:
@@ -252,15 +277,18 @@ class Engine:
         lines = graph.durable(lines)
         frames, chain = graph.durable(self._frames(lines, keys)), graph.durable(traces.parse_chain(lines, keys))
         signed = graph.durable(self._signatures(frames, chain, keys))
-        prior = failures.prior_occurrences(self.store.history()).withColumnRenamed("score", "h")
-        seen = signed.join(prior, "signature").select(*keys, F.lit("HISTORICAL_FAILURE").alias("kind"), F.concat(F.lit("Identical failure seen "), F.col("prior").cast("string"), F.lit(" time(s) before")).alias("title"), F.col("h").alias("score"), F.create_map(F.lit("historicalFailure"), F.col("h")).alias("breakdown"), F.lit(40_000).cast("long").alias("ordinal"))
+        prior = failures.prior_occurrences(self.store.history()).select("signature", F.col("prior").alias("before"))
+        # Traces of one report are failures one after another: an earlier one with the signature counts as well.
+        earlier = F.row_number().over(Window.partitionBy("signature").orderBy(*keys)) - 1
+        again = signed.withColumn("earlier", earlier).join(prior, "signature", "left").withColumn("prior", F.col("earlier") + F.coalesce("before", F.lit(0))).where("prior > 0")
+        seen = again.withColumn("h", scoring.historical_failure(F.col("prior"))).select(*keys, F.lit("HISTORICAL_FAILURE").alias("kind"), F.concat(F.lit("Identical failure seen "), F.col("prior").cast("string"), F.lit(" time(s) before")).alias("title"), F.col("h").alias("score"), F.create_map(F.lit("historicalFailure"), F.col("h")).alias("breakdown"), F.lit(40_000).cast("long").alias("ordinal"), F.to_json(F.struct("signature", F.col("prior").alias("priorOccurrences"))).alias("data"))
         found = graph.durable(self._findings(frames, keys).unionByName(seen))
         causes = graph.durable(failures.root_causes(chain, keys))
         ranked = found.orderBy(F.desc("score"), "ordinal", "title").collect()
         why = causes.orderBy(*keys, "rank").collect()
         out = {
-            "findings": [{"kind": r.kind, "title": r.title, "score": r.score, "scoreBreakdown": r.breakdown} for r in ranked],
-            "rootCauses": [{"category": c.category, "confidence": c.confidence, "exception": c.exception_fqn, "reason": c.reason, "summary": failures.ADVICE[c.category][0], "suggestedSteps": failures.ADVICE[c.category][1]} for c in why],
+            "findings": [finding(r) for r in ranked],
+            "rootCauses": [{"category": c.category, "confidence": c.confidence, "exception": c.exception_fqn, "reason": c.reason, "summary": failures.advice(c.exception_fqn)[0], "suggestedSteps": failures.advice(c.exception_fqn)[1]} for c in why],
             "frames": [r.asDict() for r in frames.orderBy(*keys, "index").collect()], "chain": [r.asDict() for r in chain.orderBy(*keys, "link_no").collect()],
             "stats": {"frames": frames.count(), "inRepoFrames": frames.where("in_repo").count(), "findings": len(ranked)},
         }
@@ -296,7 +324,7 @@ class Engine:
         if row:
             found.append({"kind": "HISTORICAL_FAILURE", "title": f"Seen {row.prior} time(s) before", "score": row.score})
         found.sort(key=lambda x: -x["score"])
-        cause = {"category": category, "confidence": failures.ONLY, "exception": name, "summary": failures.ADVICE[category][0], "suggestedSteps": failures.ADVICE[category][1]}
+        cause = {"category": category, "confidence": failures.ONLY, "exception": name, "summary": failures.advice(name)[0], "suggestedSteps": failures.advice(name)[1]}
         return {"inputKind": "EXCEPTION", "input": name, "findings": found, "rootCauses": [cause], "stats": {"logOccurrences": len(hits), "priorOccurrences": row.prior if row else 0}, "overallConfidence": confidence([f["score"] for f in found], failures.ONLY)}
 
     @tool("investigateFailure", "Flow and changes around a method.", className=("string", ...), methodName=("string", ...), maxDepth=("integer", 5))
@@ -308,7 +336,7 @@ class Engine:
         frame = self.spark.createDataFrame([(1, 0, cls, method, start.symbol_id, True)], "trace int, index int, class_fqn string, method string, symbol_id string, in_repo boolean")
         home = self.table("symbols").select(F.col("id").alias("symbol_id"), "file_id").join(self.table("files").select(F.col("id").alias("file_id"), F.col("path").alias("file_path")), "file_id")
         found = self._findings(frame.join(home, "symbol_id", "left"), ["trace"], depth, depth, methods=False).orderBy(F.desc("score"), "ordinal", "title").collect()
-        rows = [{"kind": r.kind, "title": r.title, "score": r.score, "scoreBreakdown": r.breakdown} for r in found]
+        rows = [finding(r) for r in found]
         return out | {"findings": rows, "rootCauses": [], "stats": {"findings": len(rows)}, "overallConfidence": confidence([r["score"] for r in rows], 0.0)}
 
     @tool("generateInvestigationReport", "A stack trace's report, or the newest failures.", stackTrace=("string", None))
@@ -320,6 +348,11 @@ class Engine:
         return {"inputKind": "HISTORY", "input": "recent failure history", "findings": found, "rootCauses": [], "stats": {"entries": len(rows)}}
 
 
+def finding(r) -> dict:
+    """A row of findings as clients see it."""
+    return {"kind": r.kind, "title": r.title, "score": r.score, "data": json.loads(r.data or "{}"), "scoreBreakdown": r.breakdown}
+
+
 def confidence(scores: list[float], cause: float) -> float:
     """As failures.overall_confidence, for one report's ranked scores."""
     best = scores[:5]

@@ -63,6 +63,17 @@ def iso_utc(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def epoch_seconds(iso: Column) -> Column:
+    """An ISO-8601 time with an offset or Z as epoch seconds; 0 if it is none."""
+    whole = F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2}(:\d{2})?)$"), F.unix_seconds(F.try_to_timestamp(iso)))
+    return F.coalesce(whole, F.lit(0)).cast("long")
+
+
+def exception_name(message: Column) -> Column:
+    """The exception that a message such as "java.lang.Error: text" names; null if it is none."""
+    return extracted(F.regexp_replace(message, r"^\s+|\s+$", ""), EXCEPTION)
+
+
 def short_hash(c: Column) -> Column:
     return F.substring(c, 1, 8)
 

@@ -31,13 +31,25 @@ ADVICE = {
     "PERMISSION_DENIED": ("Access to a file was refused.", ["Check owner and mode of the path."]),
     DEFAULT_CATEGORY: ("The application raised this itself.", ["Find where it is thrown.", "Check changes there."]),
 }
+#: The same for single exceptions of a category.
+ADVICE_OF = {
+    "NoSuchMethodError": ("A method that the code was compiled against is missing at run time.", ["Compare the library's version with the one that was compiled against.", "Look for two versions of one library."]),
+    "NoClassDefFoundError": ("A class that was there at compile time is missing or failed to initialise.", ["Look for a failure of its static initialiser further down the chain.", "Check that its library is deployed."]),
+    "ClassNotFoundException": ("A class that is loaded by name was not found.", ["Check how the name is spelled.", "Check which class loader looks for it."]),
+}
 ROOT, PRIMARY, ONLY = 0.85, 0.55, 0.80
 REGRESSION_DAYS, REGRESSION_BOOST, REACHED_ONLY = 30, 10.0, 40.0
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    """The rule table: name, category, summary, steps."""
-    return spark.createDataFrame([(n, c, *ADVICE[c]) for n, c in [*CATEGORIES.items(), ("", DEFAULT_CATEGORY)]], "name string, category string, summary string, steps array<string>")
+    """The rule table: name, category, summary, steps. The empty name is the rule of all others."""
+    return spark.createDataFrame([(n, c, *advice(n)) for n, c in [*CATEGORIES.items(), ("", DEFAULT_CATEGORY)]], "name string, category string, summary string, steps array<string>")
+
+
+def advice(exception: str) -> tuple[str, list[str]]:
+    """What an exception, by full or simple name, means and what to look at first."""
+    name = exception.rsplit(".", 1)[-1]
+    return ADVICE_OF.get(name) or ADVICE[CATEGORIES.get(name, DEFAULT_CATEGORY)]
 
 
 def category_of(exception: Column) -> Column:
@@ -64,6 +76,21 @@ def change_stats(commits: DataFrame, now: Column, *, path: str = "path", seconds
     return commits.groupBy(path).agg(F.greatest(F.floor((now - last) / day), F.lit(0)).cast("long").alias("days_since_last"), F.count_if(F.col(seconds) >= now - window_days * day).alias("commits_90d"))
 
 
+def merged_commits(commits: DataFrame) -> DataFrame:
+    """The commits (hash, commit_seconds, ...) of several files, each hash once, newest first, ties by hash."""
+    columns = [c for c in commits.columns if c not in ("hash", "path")]
+    once = commits.groupBy("hash").agg(F.max(F.struct("commit_seconds", *[c for c in columns if c != "commit_seconds"])).alias("__c"))
+    return once.select("hash", *[F.col(f"__c.{c}").alias(c) for c in columns]).orderBy(F.desc("commit_seconds"), "hash")
+
+
+def brief_commits(commits: DataFrame, most: int = 5) -> DataFrame:
+    """Per path its newest commits, as an array of sha, author, date and the message's first line."""
+    row = F.struct((-F.col("commit_seconds")).alias("o"), "hash", F.col("short_hash").alias("sha"), "author", "date", F.regexp_extract("message", r"^[^\r\n]*", 0).alias("message"))
+    newest = Window.partitionBy("path").orderBy(F.desc("commit_seconds"), "hash")
+    few = commits.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= most).groupBy("path").agg(F.sort_array(F.collect_list(row)).alias("c"))
+    return few.select("path", F.transform("c", lambda c: F.struct(c["sha"].alias("sha"), c["author"].alias("author"), c["date"].alias("date"), c["message"].alias("message"))).alias("commits"))
+
+
 def change_findings(stats: DataFrame, proximity: DataFrame, *, path: str = "path") -> DataFrame:
     """Per path its RECENT_CHANGE score. proximity: path, frame (0 to 100); a path that no frame names has 40."""
     out = stats.join(proximity, path, "left").withColumn("frame", F.coalesce("frame", F.lit(REACHED_ONLY)))

@@ -18,7 +18,7 @@ SINK_ROLES = ("REPOSITORY", "JPA_REPOSITORY", "ENTITY")
 
 
 def flow_edges(edges: DataFrame) -> DataFrame:
-    """Distinct resolved behavioural edges: src, dst."""
+    """Resolved behavioural edges, a row each: src, dst."""
     return edges.where(F.col("kind").isin(*FLOW_KINDS) & F.col("dst_symbol_id").isNotNull()).select(F.col("src_symbol_id").alias("src"), F.col("dst_symbol_id").alias("dst"))
 
 
@@ -122,6 +122,22 @@ def hops(paths: DataFrame, cls: DataFrame, symbols: DataFrame, files: DataFrame
     return out if files is None else out.join(files.select(F.col("id").alias("file_id"), F.col("path").alias("file")), "file_id", "left").drop("file_id")
 
 
+def between_frames(frames: DataFrame, symbols: DataFrame, edges: DataFrame, keys: list[str], max_depth: int = 8) -> DataFrame:
+    """The class path from each frame in the repository to the next inner one: keys, index (of the caller), then as hops.
+
+    frames: keys, index, class_fqn, in_repo. All pairs are searched at once, a start per distinct caller; equal classes have no hop.
+    """
+    own = frames.where("in_repo").select(*keys, "index", "class_fqn")
+    inner = own.withColumn("inner", F.lag("class_fqn").over(Window.partitionBy(*keys).orderBy("index"))).where("inner <> class_fqn")
+    ids = symbols.where(F.col("kind").isin(*TYPE_KINDS)).groupBy("fqn").agg(F.min("id").alias("id"))
+    pairs = inner.join(ids.withColumnsRenamed({"fqn": "class_fqn", "id": "entry_id"}), "class_fqn").join(ids.withColumnsRenamed({"fqn": "inner", "id": "symbol_id"}), "inner")
+    pairs = durable(pairs.select(*keys, "index", "entry_id", "symbol_id"))
+    cls, goals = class_edges(symbols, edges), pairs.select("entry_id", "symbol_id").distinct()
+    starts = goals.select("entry_id", F.col("entry_id").alias("symbol_id")).distinct()
+    found = hops(shortest_paths(starts, cls, max(1, min(max_depth, MAX_PATH)), goals), cls, symbols)
+    return pairs.join(found, ["entry_id", "symbol_id"]).select(*keys, "index", "hop", "from_class", "to_class", "kind", "file_id", "line")
+
+
 def _owned(symbols: DataFrame, how: str) -> DataFrame:
     t = symbols.select(F.col("id").alias("t_id"), F.col("fqn").alias("class_fqn"), F.col("framework_role").alias("owner_role"), F.col("simple_name").alias("class_name"))
     return symbols.where("kind = 'METHOD'").join(t, F.col("parent_id") == F.col("t_id"), how)

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import simple_name
 from ..schemas import TYPE_KINDS
+from .graph import paths_from
 from .search import name_matches
 
+#: No source nests deeper: a Java type's name is at most 65535 bytes long.
+NESTED = 1 << 16
+
 
 def find_class(symbols: DataFrame, name: str, exact: bool = False) -> DataFrame:
     """Types by name: fqn (package and simple name), kind, file_id, line."""
@@ -17,21 +21,18 @@ def find_class(symbols: DataFrame, name: str, exact: bool = False) -> DataFrame:
     return found.select(fqn.alias("fqn"), F.lower("kind").alias("kind"), "file_id", F.col("start_line").alias("line")).distinct().orderBy("fqn", "file_id", "line")
 
 
-def ancestors(symbols: DataFrame, levels: int = 6) -> DataFrame:
-    """(id, ancestor_id, distance) for the types around each symbol: a self-join per nesting level, which ends early."""
-    up = symbols.select("id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance")).where("ancestor_id is not null")
-    out, parents = up, symbols.select(F.col("id").alias("ancestor_id"), F.col("parent_id").alias("next"))
-    for d in range(2, levels + 1):
-        up = up.join(parents, "ancestor_id").where("next is not null").select("id", F.col("next").alias("ancestor_id"), F.lit(d).alias("distance"))
-        out = out.unionByName(up)
-    return out
+def ancestors(found: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(id, ancestor_id, distance) for all that is around each symbol found (id), however deeply nested: a written table a level, up to an empty one."""
+    up = symbols.where("parent_id is not null").select(F.col("id").alias("src"), F.col("parent_id").alias("dst"))
+    around = paths_from(found.select(F.col("id").alias("entry_id"), F.col("id").alias("symbol_id")), up, NESTED)
+    return around.where("depth > 0").select(F.col("entry_id").alias("id"), F.col("symbol_id").alias("ancestor_id"), F.col("depth").alias("distance"))
 
 
-def find_method(symbols: DataFrame, method: str, cls: str | None = None, exact: bool = False, levels: int = 3) -> DataFrame:
+def find_method(symbols: DataFrame, method: str, cls: str | None = None, exact: bool = False) -> DataFrame:
     """Methods by name, once for each enclosing type that passes the class filter: class_fqn, method, signature, file_id, line."""
     found = symbols.where((F.col("kind") == "METHOD") & name_matches(F.col("simple_name"), method, exact))
     types = symbols.where(F.col("kind").isin(*TYPE_KINDS)).select(F.col("id").alias("ancestor_id"), F.col("fqn").alias("class_fqn"), F.col("simple_name").alias("class_name"))
-    out = found.join(ancestors(symbols, levels), "id").join(types, "ancestor_id")
+    out = found.join(ancestors(found, symbols), "id").join(types, "ancestor_id")
     if cls:
         out = out.where(F.lower("class_name").contains(cls.lower()) | F.lower("class_fqn").contains(cls.lower()))
     return out.select("class_fqn", F.col("simple_name").alias("method"), "signature", "file_id", F.col("start_line").alias("line")).orderBy("class_fqn", "method", "line")
@@ -45,6 +46,14 @@ def find_callers(edges: DataFrame, symbols: DataFrame, cls: str, method: str) ->
     return calls.join(src, "src_symbol_id").join(owner, "parent_id", "left").select("caller_class", "caller", calls["file_id"], calls["line"], "resolution").orderBy("caller_class", "caller", "line")
 
 
+def class_files(classes: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """classes (class_fqn) with the path of the type of that full name, else of the least id with that simple name; null without one."""
+    types = symbols.where(F.col("kind").isin(*TYPE_KINDS)).join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    by = [types.groupBy(F.col(c).alias("class_fqn")).agg(F.min_by("path", "id").alias(n)) for c, n in (("fqn", "__full"), ("simple_name", "__simple"))]
+    out = classes.join(by[0], "class_fqn", "left").join(by[1], "class_fqn", "left")
+    return out.select(*classes.columns, F.coalesce("__full", "__simple").alias("path"))
+
+
 def find_implementations(edges: DataFrame, symbols: DataFrame, type_name: str) -> DataFrame:
     """Direct subtypes of a type, by full or simple name: fqn, relation, file_id, line."""
     found = edges.where(F.col("kind").isin("EXTENDS", "IMPLEMENTS") & ((F.col("dst_fqn") == type_name) | (simple_name(F.col("dst_fqn")) == type_name)))

@@ -489,3 +489,35 @@ def hop_exemplars(spark: SparkSession, d: str) -> DataFrame:
     cls, names = graph.class_edges(_symbols(spark, d), _edges(spark, d)), _symbols(spark, d)
     steps = cls.where("src <> dst").select(F.col("src").alias("entry_id"), F.col("dst").alias("symbol_id"), F.array("src", "dst").alias("path")).distinct()
     return graph.hops(steps, cls, names).select("from_class", "to_class", "kind", "line")
+
+
+@query(f"WITH c AS ({V.commits_sql('duckdb')}), m AS (SELECT path AS p, split_part(hash, '_', 1) AS hash, commit_seconds FROM c) SELECT hash, max(commit_seconds) AS commit_seconds FROM m GROUP BY hash")
+def merged_commits(spark: SparkSession, d: str) -> DataFrame:
+    c = V.load(spark, d, V.commits_sql("spark")).select("path", F.split_part("hash", F.lit("_"), F.lit(1)).alias("hash"), "commit_seconds")
+    return failures.merged_commits(c)
+
+
+_NEWEST = "SELECT *, row_number() OVER (PARTITION BY path ORDER BY commit_seconds DESC, hash) AS n FROM c"
+
+
+@query(f"WITH c AS ({V.commits_sql('duckdb')}) SELECT path, string_agg(hash, ',' ORDER BY n) AS commits FROM ({_NEWEST}) WHERE n <= 5 GROUP BY path")
+def brief_commits(spark: SparkSession, d: str) -> DataFrame:
+    c = V.load(spark, d, V.commits_sql("spark")).select("path", "hash", F.col("hash").alias("short_hash"), "commit_seconds", F.lit("a").alias("author"), F.lit("d").alias("date"), F.lit("m\nn").alias("message"))
+    return failures.brief_commits(c).select("path", F.array_join(F.transform("commits", lambda x: x["sha"]), ",").alias("commits"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST(floor(epoch(ts)) AS BIGINT) WHEN 1 THEN CAST(floor(epoch(ts)) AS BIGINT) - 7200 ELSE 0 END AS seconds, CASE event_id % 3 WHEN 0 THEN 'a.b.XError' WHEN 1 THEN 'c.YException' END AS exception FROM events")
+def message_parts(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    kind, day = F.col("event_id") % 3, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    iso = F.when(kind == 0, F.concat(day, F.lit("Z"))).when(kind == 1, F.concat(day, F.lit("+02:00"))).otherwise(F.lit("yesterday"))
+    message = F.when(kind == 0, F.lit(" a.b.XError: no")).when(kind == 1, F.lit("Caused by: c.YException")).otherwise(F.lit("c.Y failed"))
+    return e.select("event_id", text.epoch_seconds(iso).alias("seconds"), text.exception_name(message).alias("exception"))
+
+
+@query(f"WITH {_BASE}, n AS (SELECT DISTINCT simple_name AS a FROM symbols UNION SELECT DISTINCT fqn FROM symbols), t AS (SELECT s.*, 'f/' || file_id AS path FROM symbols s WHERE kind IN ('CLASS', 'INTERFACE')) SELECT n.a AS class_fqn, coalesce(x.path, y.path) AS path FROM n LEFT JOIN t x ON x.fqn = n.a LEFT JOIN t y ON y.simple_name = n.a")
+def class_files(spark: SparkSession, d: str) -> DataFrame:
+    symbols = _symbols(spark, d)
+    files = symbols.select("file_id").distinct().select(F.col("file_id").alias("id"), F.concat(F.lit("f/"), "file_id").alias("path"))
+    names = symbols.select(F.col("simple_name").alias("class_fqn")).union(symbols.select("fqn")).distinct()
+    return lookups.class_files(names, symbols, files)

@@ -84,12 +84,27 @@ class Model:
         return out, n
 
 
+def _first(rows: DataFrame, sample: int) -> DataFrame:
+    """Per label the rows (doc_id, label) whose ids have the least hashes, so many at most.
+
+    Counts give each label a bound that about twice as many rows keep to; only these are ranked, so a label's task has few rows whatever
+    its share. A label of which too few keep to it, as where ids repeat, is ranked whole.
+    """
+    rows = rows.withColumn("u", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / (1 << 40))
+    sizes = small(stored(rows.groupBy("label").agg(F.count(F.lit(1)).alias("of")), "lang-sizes"))
+    near = stored(rows.join(sizes, "label").where(F.col("u") * F.col("of") <= 2 * sample + 200), "lang-near")
+    short = sizes.join(near.groupBy("label").agg(F.count(F.lit(1)).alias("got")), "label", "left").where(F.coalesce("got", F.lit(0)) < F.least("of", F.lit(sample))).select("label")
+    short = stored(short, "lang-short")
+    if not short.isEmpty():
+        near = near.select(*rows.columns).join(small(short), "label", "left_anti").unionByName(rows.join(small(short), "label", "left_semi"))
+    least = Window.partitionBy("label").orderBy("u", "doc_id")
+    return near.withColumn("n", F.row_number().over(least)).where(F.col("n") <= sample)
+
+
 def learn(docs: DataFrame, label: str, *, folds: int, fold_no: int, sample: int) -> Model:
     """docs: doc_id, text and the label column."""
     train = docs.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold_no)).withColumn("label", F.col(label))
-    # Each task passes on at most so many rows a label.
-    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = train.select("doc_id", "label").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample)
+    ids = _first(train.select("doc_id", "label"), sample)
     ids = small(stored(ids.select(F.col("doc_id").alias("__id"), F.col("label").alias("__of")).distinct(), "lang-sample"))
     rows = train.join(ids, (F.col("doc_id") == F.col("__id")) & (F.col("label") == F.col("__of")), "left_semi").select("text", "label")
     found = rows.mapInArrow(_counted, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language

@@ -51,7 +51,7 @@ def normalised_method(c: Column) -> Column:
 
 def csv_list(c: Column) -> Column:
     """Trimmed, non-empty parts."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def unix_path(c: Column) -> Column:

@@ -90,9 +90,9 @@ def controller_endpoints(spark: SparkSession, d: str) -> DataFrame:
     return graph.controller_endpoints(_symbols(spark, d))
 
 
-@query(_flow_sql(f"SELECT m.id AS entry_id, m.id AS symbol_id FROM symbols m JOIN symbols t ON t.id = m.parent_id WHERE {_ENDPOINT}", 3, "SELECT f.entry_id, f.symbol_id, t.fqn AS class_fqn, m.simple_name AS method, f.depth, array_to_string(f.path, '>') AS path FROM flow f JOIN symbols m ON m.id = f.symbol_id LEFT JOIN symbols t ON t.id = m.parent_id"))
+@query(_flow_sql(f"SELECT m.id AS entry_id, m.id AS symbol_id FROM symbols m JOIN symbols t ON t.id = m.parent_id WHERE {_ENDPOINT}", 5, "SELECT f.entry_id, f.symbol_id, t.fqn AS class_fqn, m.simple_name AS method, f.depth, array_to_string(f.path, '>') AS path FROM flow f JOIN symbols m ON m.id = f.symbol_id LEFT JOIN symbols t ON t.id = m.parent_id"))
 def controller_flows(spark: SparkSession, d: str) -> DataFrame:
-    return graph.controller_flows(_symbols(spark, d), _edges(spark, d), 3).select("entry_id", "symbol_id", "class_fqn", "method", "depth", "path")
+    return graph.controller_flows(_symbols(spark, d), _edges(spark, d)).select("entry_id", "symbol_id", "class_fqn", "method", "depth", "path")
 
 
 _SINKS = "SELECT m.id FROM symbols m JOIN symbols t ON t.id = m.parent_id WHERE m.kind = 'METHOD' AND (t.simple_name IN ('EntityManager', 'JdbcTemplate', 'DataSource', 'Connection', 'Statement') OR t.framework_role IN ('REPOSITORY', 'JPA_REPOSITORY', 'ENTITY'))"
@@ -106,22 +106,11 @@ def sink_methods(spark: SparkSession, d: str) -> DataFrame:
 @query(
     _flow_sql(
         f"SELECT m.id AS entry_id, m.id AS symbol_id FROM symbols m LEFT JOIN symbols t ON t.id = m.parent_id WHERE m.kind = 'METHOD' AND {_ENTRY_ROLES}",
-        3,
+        6,
         f"SELECT entry_id, symbol_id AS sink_id, depth, array_to_string(path, '>') AS path FROM flow WHERE symbol_id IN ({_SINKS}) QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY depth, symbol_id, array_to_string(path, '>')) = 1",
     )
 )
 def database_access_paths(spark: SparkSession, d: str) -> DataFrame:
-    return graph.database_access_paths(_symbols(spark, d), _edges(spark, d), 3)
-
-
-# The same at the operators' own depths.
-@query(_SQL["controller_flows"].replace("f.depth < 3", "f.depth < 5"))
-def controller_flows_deep(spark: SparkSession, d: str) -> DataFrame:
-    return graph.controller_flows(_symbols(spark, d), _edges(spark, d)).select("entry_id", "symbol_id", "class_fqn", "method", "depth", "path")
-
-
-@query(_SQL["database_access_paths"].replace("f.depth < 3", "f.depth < 6"))
-def database_access_paths_deep(spark: SparkSession, d: str) -> DataFrame:
     return graph.database_access_paths(_symbols(spark, d), _edges(spark, d))
 
 
@@ -134,16 +123,20 @@ def class_projection(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL_PATHS = f"""WITH RECURSIVE {_BASE}, inherit AS (SELECT DISTINCT src_symbol_id AS src, dst_symbol_id AS dst FROM edges WHERE kind IN ('STATIC_CALL', 'CALLS') AND dst_symbol_id IS NOT NULL AND src_symbol_id <> dst_symbol_id),
-walk(entry_id, symbol_id, depth, path) AS (SELECT 'C' || CAST(c_custkey AS STRING), 'C' || CAST(c_custkey AS STRING), 0, ['C' || CAST(c_custkey AS STRING)] FROM customer WHERE c_custkey < 20
+walk(entry_id, symbol_id, depth, path) AS (SELECT 'C' || CAST(c_custkey AS STRING), 'C' || CAST(c_custkey AS STRING), 0, ['C' || CAST(c_custkey AS STRING)] FROM customer
   UNION ALL SELECT w.entry_id, i.dst, w.depth + 1, list_append(w.path, i.dst) FROM walk w JOIN inherit i ON i.src = w.symbol_id WHERE w.depth < 4 AND NOT list_contains(w.path, i.dst))
 """
 
 
+def _customers(spark: SparkSession, d: str) -> DataFrame:
+    symbol = F.concat(F.lit("C"), F.col("c_custkey").cast("string"))
+    return spark.read.parquet(f"{d}/customer.parquet").select(symbol.alias("entry_id"), symbol.alias("symbol_id"))
+
+
 @query(_ALL_PATHS + "SELECT entry_id, symbol_id, depth, array_to_string(path, '>') AS path FROM walk QUALIFY row_number() OVER (PARTITION BY entry_id, symbol_id ORDER BY depth, array_to_string(path, '>')) = 1")
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    starts = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey < 20").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("entry_id"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("symbol_id"))
     pairs = _edges(spark, d).where("kind IN ('STATIC_CALL', 'CALLS') AND dst_symbol_id IS NOT NULL").select(F.col("src_symbol_id").alias("src"), F.col("dst_symbol_id").alias("dst"))
-    return graph.shortest_paths(starts, pairs, 4).select("entry_id", "symbol_id", "depth", F.array_join("path", ">").alias("path"))
+    return graph.shortest_paths(_customers(spark, d), pairs, 4).select("entry_id", "symbol_id", "depth", F.array_join("path", ">").alias("path"))
 
 
 @query(
@@ -159,27 +152,6 @@ def find_dependency_path(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_ALL_PATHS.replace("('STATIC_CALL', 'CALLS')", _FLOW_KINDS) + "SELECT DISTINCT entry_id, t.fqn AS class_fqn FROM walk w JOIN symbols m ON m.id = w.symbol_id JOIN symbols t ON t.id = m.parent_id")
 def reachable_classes(spark: SparkSession, d: str) -> DataFrame:
-    starts = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey < 20").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("entry_id"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("symbol_id"))
-    return graph.reachable_classes(starts, _symbols(spark, d), _edges(spark, d), 4)
-
-
-# The same from every customer. Their number grows with the table.
-_EVERY = _ALL_PATHS.replace(" WHERE c_custkey < 20", "")
-
-
-def _customers(spark: SparkSession, d: str) -> DataFrame:
-    symbol = F.concat(F.lit("C"), F.col("c_custkey").cast("string"))
-    return spark.read.parquet(f"{d}/customer.parquet").select(symbol.alias("entry_id"), symbol.alias("symbol_id"))
-
-
-@query(_EVERY + "SELECT entry_id, symbol_id, depth, array_to_string(path, '>') AS path FROM walk QUALIFY row_number() OVER (PARTITION BY entry_id, symbol_id ORDER BY depth, array_to_string(path, '>')) = 1")
-def shortest_paths_all(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _edges(spark, d).where("kind IN ('STATIC_CALL', 'CALLS') AND dst_symbol_id IS NOT NULL").select(F.col("src_symbol_id").alias("src"), F.col("dst_symbol_id").alias("dst"))
-    return graph.shortest_paths(_customers(spark, d), pairs, 4).select("entry_id", "symbol_id", "depth", F.array_join("path", ">").alias("path"))
-
-
-@query(_EVERY.replace("('STATIC_CALL', 'CALLS')", _FLOW_KINDS) + "SELECT DISTINCT entry_id, t.fqn AS class_fqn FROM walk w JOIN symbols m ON m.id = w.symbol_id JOIN symbols t ON t.id = m.parent_id")
-def reachable_classes_all(spark: SparkSession, d: str) -> DataFrame:
     return graph.reachable_classes(_customers(spark, d), _symbols(spark, d), _edges(spark, d), 4)
 
 
@@ -521,3 +493,112 @@ def class_files(spark: SparkSession, d: str) -> DataFrame:
     files = symbols.select("file_id").distinct().select(F.col("file_id").alias("id"), F.concat(F.lit("f/"), "file_id").alias("path"))
     names = symbols.select(F.col("simple_name").alias("class_fqn")).union(symbols.select("fqn")).distinct()
     return lookups.class_files(names, symbols, files)
+
+
+#: A Java file per customer: a controller, a repository interface, an enum with a nested type or a record; some can't be parsed.
+_JAVA = r"""SELECT 'main' AS repo_id, 'F' || CAST(c_custkey AS STRING) AS file_id, CASE WHEN c_custkey % 17 = 5 THEN 'package app; class {{{{{{' ELSE concat_ws('\n', 'package app.n' || CAST(c_nationkey AS STRING) || ';', CASE c_custkey % 4
+WHEN 0 THEN concat_ws('\n', 'import app.base.B' || CAST(c_nationkey AS STRING) || ';', 'import static org.web.Help.*;', 'import org.web.RestController;', 'import org.web.GetMapping;', 'import java.io.IOException;',
+  '@RestController public class C' || CAST(c_custkey AS STRING) || ' extends B' || CAST(c_nationkey AS STRING) || ' {{', '  private int total;', '  public C' || CAST(c_custkey AS STRING) || '(String s) {{ super(s); }}',
+  '  @GetMapping public int get(String id, int... n) throws IOException {{', '    helper();', '    new C' || CAST(c_custkey AS STRING) || '("x");', '    this.total = 1;', '    return total;', '  }}', '  static void helper() {{ }}', '}}')
+WHEN 1 THEN concat_ws('\n', 'import app.base.JpaRepository;', 'public interface C' || CAST(c_custkey AS STRING) || ' extends JpaRepository<String, Long> {{', '  long count();', '}}')
+WHEN 2 THEN concat_ws('\n', 'enum C' || CAST(c_custkey AS STRING) || ' {{', '  ONE, TWO;', '  int v() {{ return w(); }}', '  int w() {{ return 1; }}', '  static class In {{', '    void go() {{ }}', '  }}', '}}')
+ELSE concat_ws('\n', 'public record C' || CAST(c_custkey AS STRING) || '(int a) {{', '  static int z() {{ return 2; }}', '}}') END) END AS content FROM customer"""
+_FILES_OF = "j AS (SELECT 'F' || CAST(c_custkey AS STRING) AS f, 'C' || CAST(c_custkey AS STRING) AS c, 'app.n' || CAST(c_nationkey AS STRING) AS p, 'app.base.B' || CAST(c_nationkey AS STRING) AS b, c_custkey % 4 AS k FROM customer WHERE c_custkey % 17 <> 5)"
+
+
+def _java(spark: SparkSession, d: str, name: str) -> DataFrame:
+    from ..sources import java
+
+    return java.part(java.parse_java(V.load(spark, d, _JAVA)), name)
+
+
+def _rows(columns: str, *rows: tuple[int, str]) -> str:
+    return f"WITH {_FILES_OF} " + " UNION ALL ".join(f"SELECT f AS file_id, {', '.join(f'{v} AS {n}' for v, n in zip(values.split(';'), columns.split(), strict=True))} FROM j WHERE k = {k}" for k, values in rows)
+
+
+@query(
+    _rows(
+        "kind simple_name fqn parent signature return_type modifiers framework_role param_types start_line end_line",
+        (0, "'CLASS';c;p || '.' || c;NULL;NULL;NULL;'public';'REST_CONTROLLER';NULL;7;17"),
+        (0, "'FIELD';'total';p || '.' || c || '.total';p || '.' || c;'int total';'int';'private';NULL;NULL;8;8"),
+        (0, "'METHOD';'get';p || '.' || c || '#get';p || '.' || c;'public int get(String id, int... n) throws IOException';'int';'public';'HTTP_ENDPOINT';NULL;10;15"),
+        (0, "'METHOD';'helper';p || '.' || c || '#helper';p || '.' || c;'static void helper()';'void';'static';NULL;NULL;16;16"),
+        (0, "'CONSTRUCTOR';'<init>';p || '.' || c || '#<init>';p || '.' || c;'public ' || c || '(String s)';NULL;'public';NULL;'String';9;9"),
+        (1, "'INTERFACE';c;p || '.' || c;NULL;NULL;NULL;'public';'JPA_REPOSITORY';NULL;3;5"),
+        (1, "'METHOD';'count';p || '.' || c || '#count';p || '.' || c;'long count()';'long';NULL;NULL;NULL;4;4"),
+        (2, "'ENUM';c;p || '.' || c;NULL;NULL;NULL;NULL;NULL;NULL;2;9"),
+        (2, "'METHOD';'v';p || '.' || c || '#v';p || '.' || c;'int v()';'int';NULL;NULL;NULL;4;4"),
+        (2, "'METHOD';'w';p || '.' || c || '#w';p || '.' || c;'int w()';'int';NULL;NULL;NULL;5;5"),
+        (2, "'CONSTRUCTOR';'<init>';p || '.' || c || '#<init>';p || '.' || c;c || '()';NULL;'synthetic';NULL;'';2;2"),
+        (2, "'CLASS';'In';p || '.' || c || '.In';p || '.' || c;NULL;NULL;'static';NULL;NULL;6;8"),
+        (2, "'METHOD';'go';p || '.' || c || '.In#go';p || '.' || c || '.In';'void go()';'void';NULL;NULL;NULL;7;7"),
+        (2, "'CONSTRUCTOR';'<init>';p || '.' || c || '.In#<init>';p || '.' || c || '.In';'In()';NULL;'synthetic';NULL;'';6;6"),
+        (3, "'RECORD';c;p || '.' || c;NULL;NULL;NULL;'public';NULL;NULL;2;4"),
+        (3, "'METHOD';'z';p || '.' || c || '#z';p || '.' || c;'static int z()';'int';'static';NULL;NULL;3;3"),
+        (3, "'CONSTRUCTOR';'<init>';p || '.' || c || '#<init>';p || '.' || c;c || '()';NULL;'synthetic';NULL;'';2;2"),
+    )
+)
+def java_symbols(spark: SparkSession, d: str) -> DataFrame:
+    s = _java(spark, d, "symbol")
+    up = s.select(F.col("id").alias("parent_id"), F.col("fqn").alias("parent"))
+    return s.join(up, "parent_id", "left").select("file_id", "kind", "simple_name", "fqn", "parent", "signature", "return_type", "modifiers", "framework_role", "param_types", "start_line", "end_line")
+
+
+@query(
+    _rows(
+        "src kind dst_fqn dst_member line resolution linked",
+        (0, "p || '.' || c;'ANNOTATED_WITH';'org.web.RestController';NULL;7;'heuristic';NULL"),
+        (0, "p || '.' || c;'EXTENDS';b;NULL;7;'heuristic';NULL"),
+        (0, "p || '.' || c || '#<init>';'NEW';b;'<init>';9;'ast';NULL"),
+        (0, "p || '.' || c || '#get';'ANNOTATED_WITH';'org.web.GetMapping';NULL;10;'heuristic';NULL"),
+        (0, "p || '.' || c || '#get';'THROWS';'java.io.IOException';NULL;10;'heuristic';NULL"),
+        (0, "p || '.' || c || '#get';'STATIC_CALL';p || '.' || c;'helper';11;'ast';p || '.' || c || '#helper'"),
+        (0, "p || '.' || c || '#get';'NEW';p || '.' || c;'<init>';12;'ast';p || '.' || c || '#<init>'"),
+        (0, "p || '.' || c || '#get';'FIELD_WRITE';p || '.' || c;'total';13;'ast';p || '.' || c || '.total'"),
+        (1, "p || '.' || c;'EXTENDS';'app.base.JpaRepository';NULL;3;'heuristic';NULL"),
+        (2, "p || '.' || c || '#v';'CALLS';p || '.' || c;'w';4;'ast';p || '.' || c || '#w'"),
+    )
+)
+def java_edges(spark: SparkSession, d: str) -> DataFrame:
+    from ..durable import durable
+
+    symbols = durable(_java(spark, d, "symbol"))
+    edges = linker.link_edges(_java(spark, d, "edge"), symbols)
+    a, b = (symbols.select(F.col("id").alias(i), F.col("fqn").alias(n)) for i, n in (("src_symbol_id", "src"), ("dst_symbol_id", "linked")))
+    return edges.join(a, "src_symbol_id").join(b, "dst_symbol_id", "left").select("file_id", "src", "kind", "dst_fqn", "dst_member", "line", "resolution", "linked")
+
+
+@query(
+    _rows(
+        "fqn is_static is_wildcard",
+        (0, "b;false;false"),
+        (0, "'org.web.Help';true;true"),
+        (0, "'org.web.RestController';false;false"),
+        (0, "'org.web.GetMapping';false;false"),
+        (0, "'java.io.IOException';false;false"),
+        (1, "'app.base.JpaRepository';false;false"),
+    )
+)
+def java_imports(spark: SparkSession, d: str) -> DataFrame:
+    return _java(spark, d, "import").select("file_id", "fqn", "is_static", "is_wildcard")
+
+
+@query(_rows("owner name fqn", (0, "p || '.' || c;'RestController';'org.web.RestController'"), (0, "p || '.' || c || '#get';'GetMapping';'org.web.GetMapping'")))
+def java_annotations(spark: SparkSession, d: str) -> DataFrame:
+    owners = _java(spark, d, "symbol").select(F.col("id").alias("symbol_id"), "file_id", F.col("fqn").alias("owner"))
+    return _java(spark, d, "annotation").join(owners, "symbol_id").select("file_id", "owner", "name", "fqn")
+
+
+@query("SELECT 'F' || CAST(c_custkey AS STRING) AS file_id, c_custkey % 17 <> 5 AS parsed FROM customer")
+def java_files(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources import java
+
+    return java.parse_java(V.load(spark, d, _JAVA)).select("file_id", "parsed").distinct()
+
+
+@query("SELECT doc_id, 'a;' || source AS listed, source || '/x/' || CAST(doc_id AS STRING) AS path, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(string_split(text, chr(10))[1:3], chr(10)) || CASE WHEN len(string_split(text, chr(10))) > 3 THEN chr(10) || '... [truncated]' ELSE '' END END AS head FROM documents")
+def text_parts(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    listed = F.array_join(text.csv_list(F.concat(F.lit(" a, ,"), "source", F.lit(" ,"))), ";")
+    path = text.unix_path(F.concat("source", F.lit("\\x\\"), F.col("doc_id").cast("string")))
+    return docs.select("doc_id", listed.alias("listed"), path.alias("path"), text.first_lines(F.col("text"), 3).alias("head"))

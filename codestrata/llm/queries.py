@@ -76,6 +76,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_rows(scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .config import Config
 from .functions import scoring, text
-from .operators import failures, graph, index, linker, search, symbols as lookups, traces
+from .operators import failures, graph, index, linker, search, symbols as lookups, traces, types
 from .sources import files as file_source
 from .sources import git as git_source
 from .sources import java
@@ -52,6 +52,7 @@ class Engine:
         self.repo_id = hashlib.sha1(self.config.workspace.encode()).hexdigest()[:16]
         self._building, self._parsing = threading.Lock(), threading.Lock()
         self._memo: tuple[DataFrame | None, DataFrame | None] = (None, None)
+        self._typed_memo: tuple[DataFrame | None, DataFrame | None] = (None, None)
 
     def call(self, name: str, /, **given):
         """Run a tool; unknown tools and missing required arguments are errors."""
@@ -102,6 +103,14 @@ class Engine:
                 self._memo = graph.durable(parsed), stamps
             return self._memo[0]
 
+    def _typed(self) -> DataFrame:
+        """All Java files' edges, their receivers typed across files; done anew when files are parsed anew."""
+        parsed = self._parsed()
+        with self._parsing:
+            if self._typed_memo[0] is not parsed:
+                self._typed_memo = parsed, graph.durable(types.typed_edges(java.part(parsed, "edge"), java.part(parsed, "fact")))
+            return self._typed_memo[1]
+
     @tool("findClass", "Types by name.", name=("string", ...), exact=("boolean", False))
     def find_class(self, name, exact=False) -> DataFrame:
         return lookups.find_class(java.part(self._parsed(), "symbol"), name, exact)
@@ -117,7 +126,7 @@ class Engine:
     @tool("findCallers", "Calls of a method.", **{"class": ("string", ...)}, method=("string", ...))
     def find_callers(self, cls, method) -> DataFrame:
         parsed = self._parsed()
-        found = lookups.find_callers(java.part(parsed, "edge"), java.part(parsed, "symbol"), cls, method)
+        found = lookups.find_callers(self._typed(), java.part(parsed, "symbol"), cls, method)
         # The call's text: its line.
         lines = search.lines_of(self._tree(None, ".java").join(found.select(F.col("file_id").alias("path")), "path", "left_semi").select("path", F.col("content").cast("string").alias("content")))
         at = lines.select(F.col("path").alias("file_id"), "line", text.truncated(F.trim("text"), search.SNIPPET).alias("call"))
@@ -164,7 +173,7 @@ class Engine:
         self.store.update_status(self.repo_id, state="BUILDING", phase="SCANNING", started_at=began, finished_at=0)
         disk = self._tree(None, ".java")
         stamped = graph.durable(disk.select("path", "mtime", "size", F.sha1("content").alias("sha")))
-        old = {n: self.store.table(n) for n in ("files", "symbols", "edges", "annotations", "imports")}
+        old = {n: self.store.table(n) for n in ("files", "symbols", "edges", "annotations", "imports", "facts")}
         mine = old["files"].where(F.col("repo_id") == self.repo_id)
         known = mine.limit(0) if full else mine
         plan = graph.durable(index.delta_plan(stamped, known.select("path", "mtime", "sha")))
@@ -178,11 +187,15 @@ class Engine:
         stale = graph.durable(stale.select(F.col("id").alias("file_id")))
         symbols, edges, annotations, imports = index.drop_files(stale, old["symbols"], old["edges"], old["annotations"], old["imports"])
         all_symbols = graph.durable(symbols.unionByName(java.part(parsed, "symbol")))
-        all_edges = edges.unionByName(java.part(parsed, "edge"))
+        # Types, members and links are those of one repository: the others' edges stay as they are.
+        own = F.col("repo_id") == self.repo_id
+        facts = graph.durable(old["facts"].join(stale, "file_id", "left_anti").select(*old["facts"].columns).unionByName(java.part(parsed, "fact")))
+        all_edges = types.typed_edges(edges.where(own).unionByName(java.part(parsed, "edge")), facts.where(own))
         self.store.update_status(self.repo_id, phase="LINKING", files_done=n_changed)
         with self.store.transaction() as write:
             write("symbols", all_symbols)
-            write("edges", linker.link_edges(all_edges, all_symbols))
+            write("edges", linker.link_edges(all_edges, all_symbols.where(own)).unionByName(edges.where(~own)))
+            write("facts", facts)
             write("annotations", annotations.unionByName(java.part(parsed, "annotation")))
             write("imports", imports.unionByName(java.part(parsed, "import")))
             write("files", old["files"].join(stale.withColumnRenamed("file_id", "id"), "id", "left_anti").select(*old["files"].columns).unionByName(fresh))

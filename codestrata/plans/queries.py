@@ -568,6 +568,33 @@ def java_edges(spark: SparkSession, d: str) -> DataFrame:
     return edges.join(a, "src_symbol_id").join(b, "dst_symbol_id", "left").select("file_id", "src", "kind", "dst_fqn", "dst_member", "line", "resolution", "linked")
 
 
+#: A file per customer that reaches members of other files through chains, type arguments, supertypes and lambdas; the other files, once.
+_JAVA_USES = r"""SELECT 'main' AS repo_id, 'U' || CAST(c_custkey AS STRING) AS file_id, concat_ws('\n', 'package app.n' || CAST(c_nationkey AS STRING) || ';', 'import app.base.Node; import app.peer.P' || CAST(c_nationkey AS STRING) || ';', 'public class C' || CAST(c_custkey AS STRING) || ' extends Node<P' || CAST(c_nationkey AS STRING) || '> {{',
+  '  Node<P' || CAST(c_nationkey AS STRING) || '> node;', '  int go() {{', '    node.link().get().done();', '    var v = node.get(); v.done();', '    node.each(x -> x.done());', '    get().up.done();', '    Node.count();', '    node.gone().done();', '    return size() + link().total;', '  }}', '}}') AS content FROM customer
+UNION ALL SELECT 'main', 'Peer' || CAST(n_nationkey AS STRING), 'package app.peer; public class P' || CAST(n_nationkey AS STRING) || ' extends Base' || CAST(n_regionkey AS STRING) || ' {{ }}' FROM nation
+UNION ALL SELECT 'main', 'Base' || CAST(r_regionkey AS STRING), 'package app.peer; public class Base' || CAST(r_regionkey AS STRING) || ' {{ public void done() {{ }} Base' || CAST(r_regionkey AS STRING) || ' up; }}' FROM region
+UNION ALL SELECT 'main', 'Node', 'package app.base; import java.util.function.Consumer; public class Node<T> extends Root {{ T self; Node<T> next; public T get() {{ return self; }} public Node<T> link() {{ return next; }} public void each(Consumer<? super T> f) {{ }} public static int count() {{ return 1; }} }}' FROM region WHERE r_regionkey = 0
+UNION ALL SELECT 'main', 'Root', 'package app.base; public class Root {{ protected int total; public int size() {{ return total; }} }}' FROM region WHERE r_regionkey = 0"""
+_USES = ((6, "CALLS", "node", "link"), (6, "CALLS", "node", "get"), (6, "CALLS", "base", "done"), (7, "CALLS", "node", "get"), (7, "CALLS", "base", "done"), (8, "CALLS", "node", "each"), (8, "CALLS", "base", "done"), (9, "CALLS", "node", "get"), (9, "FIELD_READ", "base", "up"), (9, "CALLS", "base", "done"), (10, "STATIC_CALL", "node", "count"), (12, "CALLS", "root", "size"), (12, "CALLS", "node", "link"), (12, "FIELD_READ", "root", "total"))
+
+
+@query(
+    f"""WITH u(line, kind, owner, member) AS (VALUES {", ".join(map(str, _USES))}), t AS (SELECT *, CASE owner WHEN 'node' THEN 'app.base.Node' WHEN 'root' THEN 'app.base.Root' ELSE 'app.peer.Base' || n_regionkey END AS fqn FROM customer JOIN nation ON n_nationkey = c_nationkey, u)
+SELECT 'U' || c_custkey AS file_id, line::INT AS line, kind, fqn AS dst_fqn, member AS dst_member, 'ast' AS resolution, fqn || CASE kind WHEN 'FIELD_READ' THEN '.' ELSE '#' END || member AS linked FROM t
+UNION ALL SELECT 'U' || c_custkey, 11, 'CALLS', 'app.base.Node', 'gone', 'ast', NULL FROM customer UNION ALL SELECT 'U' || c_custkey, 11, 'CALLS', NULL, 'done', 'unresolved', NULL FROM customer"""
+)
+def java_types(spark: SparkSession, d: str) -> DataFrame:
+    from ..durable import durable
+    from ..operators import types
+    from ..sources import java
+
+    parsed = durable(java.parse_java(V.load(spark, d, _JAVA_USES)))
+    symbols = java.part(parsed, "symbol")
+    edges = linker.link_edges(types.typed_edges(java.part(parsed, "edge"), java.part(parsed, "fact")), symbols)
+    linked = symbols.select(F.col("id").alias("dst_symbol_id"), F.col("fqn").alias("linked"))
+    return edges.where("file_id LIKE 'U%' AND kind <> 'EXTENDS'").join(linked, "dst_symbol_id", "left").select("file_id", "line", "kind", "dst_fqn", "dst_member", "resolution", "linked")
+
+
 @query(
     _rows(
         "fqn is_static is_wildcard",

@@ -1,7 +1,8 @@
 """Java source to rows: a tokenizer, a declaration parser and a body scan with declared types.
 
-What declared types prove is resolved as 'ast'; names guessed from imports or the package are 'heuristic'. Bodies of field initialisers
-and initialiser blocks give no edges; local and anonymous classes count as part of their method.
+What declared types prove is resolved as 'ast'; names guessed from imports or the package are 'heuristic'. A file is parsed by itself; what it
+says of types, members and expressions goes out as facts, from which operators.types resolves receivers across files. Bodies of field
+initialisers and initialiser blocks give no edges; local and anonymous classes count as part of their method.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import roles as R
-from ..schemas import ANNOTATIONS, EDGES, IMPORTS, SYMBOLS
+from ..schemas import ANNOTATIONS, EDGES, FACTS, IMPORTS, SYMBOLS
 
 _TOKEN = re.compile(
     r"""(?P<skip>\s+|//[^\n]*|/\*.*?\*/)|(?P<text>\"\"\".*?(?<!\\)\"\"\"|"(?:\\.|[^"\\\n])*")|(?P<char>'(?:\\.|[^'\\\n])+')|(?P<num>(?:0[xXbB][\da-fA-F_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?|\.\d[\d_]*)[lLfFdD]?)|(?P<id>[^\W\d][\w$]*|\$[\w$]*)|(?P<op>>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|&&|\|\||[=!<>+\-*/%&|^]=|[^\s\w])""",
@@ -59,6 +60,29 @@ def param_type(raw: str) -> str:
     return base.rsplit(".", 1)[-1] + ("[" + rest if rest else "")
 
 
+def type_arguments(text: str) -> tuple[str, list[str]]:
+    """A type's name and its arguments: those of the last name, where an outer one has some too. Brackets of arrays stay with the name."""
+    depth, name, part, parts = 0, "", "", []
+    for c in text:
+        if c == ">":
+            depth -= 1
+            if depth == 0:
+                parts.append(part)
+                part = ""
+                continue
+        if depth == 0 and c == "<":
+            parts, part = [], ""
+        elif depth == 1 and c == ",":
+            parts.append(part)
+            part = ""
+        elif depth:
+            part += c
+        else:
+            name += c
+        depth += c == "<"
+    return name.strip(), [p.strip() for p in parts if p.strip()]
+
+
 @dataclass
 class Member:
     kind: str
@@ -70,6 +94,7 @@ class Member:
     type: str | None = None
     params: list[tuple[str, str, bool]] = field(default_factory=list)
     throws: list[str] = field(default_factory=list)
+    variables: list[str] = field(default_factory=list)
     body: tuple[int, int] | None = None
 
 
@@ -85,6 +110,7 @@ class TypeDecl:
     end: int = 0
     members: list[Member] = field(default_factory=list)
     nested: list[TypeDecl] = field(default_factory=list)
+    variables: list[str] = field(default_factory=list)
 
 
 class Parser:
@@ -137,6 +163,18 @@ class Parser:
             if depth == 0:
                 return out
 
+    def variables(self) -> list[str]:
+        """Names of type parameters, without bounds."""
+        out = []
+        while self.at() in ("<", ","):
+            self.take()
+            self.modifiers()
+            out.append(self.name())
+            while self.at() not in (",", ">"):
+                self.angle() if self.at() == "<" else self.take()
+        self.take(">")
+        return out
+
     def type(self) -> str:
         while self.at() == "@" and self.at(1) != "interface":
             self.annotation()
@@ -218,7 +256,7 @@ class Parser:
             kind = _KINDS[self.take()]
         td = TypeDecl(kind, self.take(), start, mods, marks)
         if self.at() == "<":
-            self.angle()
+            td.variables = self.variables()
         if kind == "RECORD":
             self.skip("(", ")")
         while self.at() in ("extends", "implements", "permits"):
@@ -264,18 +302,17 @@ class Parser:
         if self.is_type():
             td.nested.append(self.type_decl(start, mods, marks))
             return
-        if self.at() == "<":
-            self.angle()
+        variables = self.variables() if self.at() == "<" else []
         if self.at() == td.name and self.at(1) in ("(", "{"):
             self.i += 1
-            m = Member("CONSTRUCTOR", "<init>", start, start, mods, marks)
+            m = Member("CONSTRUCTOR", "<init>", start, start, mods, marks, variables=variables)
             self.rest_of_method(m)
             td.members.append(m)
             return
         kind = self.type()
         name = self.take()
         if self.at() == "(":
-            m = Member("METHOD", name, start, start, mods, marks, kind)
+            m = Member("METHOD", name, start, start, mods, marks, kind, variables=variables)
             self.rest_of_method(m)
             td.members.append(m)
             return
@@ -357,7 +394,7 @@ class Extractor:
 
     def __init__(self, repo_id: str, file_id: str, source: str):
         self.repo, self.file = repo_id, file_id
-        self.symbols, self.edges, self.annotations, self.imports = [], [], [], []
+        self.symbols, self.edges, self.annotations, self.imports, self.facts = [], [], [], [], []
         self.p = Parser(source)
         self.known = {n.rsplit(".", 1)[-1]: n for n, _, wild in self.p.imports if not wild and "." in n}
         for k, (n, static, wild) in enumerate(self.p.imports):
@@ -396,13 +433,31 @@ class Extractor:
     def edge(self, src: dict, kind: str, fqn: str | None, member: str | None, line: int, resolution: str | None = None, params: str | None = None) -> None:
         self.edges.append({"id": f"{self.file}@{len(self.edges):06d}", "repo_id": self.repo, "src_symbol_id": src["id"], "dst_symbol_id": None, "dst_fqn": fqn, "dst_member": member, "kind": kind, "file_id": self.file, "line": line, "resolution": resolution or ("heuristic" if fqn else "unresolved"), "param_types": params})
 
+    def fact(self, kind: str, **values) -> None:
+        self.facts.append(dict.fromkeys(FACTS.names) | {"repo_id": self.repo, "file_id": self.file, "kind": kind} | values)
+
+    def canonical(self, text: str | None, variables: dict[str, str]) -> str:
+        """A type with full names, its arguments alike; variables by their marks, and ? for what nothing is known of."""
+        text = re.sub(r"@[\w.]+(\([^)]*\))?", "", text or "").strip()
+        bound = re.match(r"\?\s*(?:extends|super)\s+(.*)", text, re.S)
+        name, arguments = type_arguments(bound[1] if bound else text)
+        base, dims = name.split("[")[0].strip(), name.count("[")
+        if base in variables:
+            out = variables[base]
+        elif not base or base in ("?", "var"):
+            out = "?"
+        else:
+            out = base if base in _PRIMITIVE else self.resolve(base)
+            out += f"<{','.join(self.canonical(a, variables) for a in arguments)}>" if arguments else ""
+        return out + "[]" * dims
+
     def marks(self, target: dict, found: list[tuple[str, int]]) -> None:
         for name, line in found:
             fqn = self.resolve(name)
             self.annotations.append({"id": f"{self.file}%{len(self.annotations):05d}", "symbol_id": target["id"], "name": name, "fqn": fqn, "args_json": None})
             self.edge(target, "ANNOTATED_WITH", fqn, None, line)
 
-    def _type(self, td: TypeDecl, parent: dict | None) -> None:
+    def _type(self, td: TypeDecl, parent: dict | None, around: tuple[str, ...] = ()) -> None:
         fqn = f"{parent['fqn']}.{td.name}" if parent else f"{self.p.package}.{td.name}" if self.p.package else td.name
         bare = lambda types: [re.sub(r"<.*>", "", t).rsplit(".", 1)[-1] for t, _ in types]
         role = first_role([n for n, _ in td.annotations], bare(td.extends), bare(td.implements))
@@ -412,6 +467,17 @@ class Extractor:
             for kind, types in (("EXTENDS", td.extends), ("IMPLEMENTS", td.implements)):
                 for name, line in types:
                     self.edge(s, kind, self.resolve(name), None, line)
+        marks = {v: f"#{k};" for k, v in enumerate(td.variables)}
+        own = fqn + (f"<{','.join(marks.values())}>" if marks else "")
+        self.fact("type", owner=fqn, arity=len(td.variables))
+        for k, (name, _) in enumerate([*td.extends, *td.implements]):
+            self.fact("super", owner=fqn, level=k, type=self.canonical(name, marks))
+        for m in td.members:
+            if m.kind in ("METHOD", "FIELD"):
+                known = marks | dict.fromkeys(m.variables, "?")
+                static = "static" in m.modifiers or td.kind == "INTERFACE" and m.kind == "FIELD"
+                types = [self.canonical(t, known) for t, _, _ in m.params]
+                self.fact(m.kind.lower(), id=f"{fqn}#{m.name}", owner=fqn, name=m.name, arity=len(types) if m.kind == "METHOD" else None, many=any(x for _, _, x in m.params), static=static, type=self.canonical(m.type, known), params="|".join(types))
         fields = {m.name: m.type for m in td.members if m.kind == "FIELD"}
         methods = {m.name for m in td.members if m.kind == "METHOD"}
         statics = {m.name for m in td.members if m.kind == "METHOD" and "static" in m.modifiers}
@@ -432,11 +498,11 @@ class Extractor:
                     for t in m.throws:
                         self.edge(row, "THROWS", self.resolve(t), None, m.start)
                 if m.body:
-                    Body(self, row, s, td, fields, methods, statics, m).scan()
+                    Body(self, row, s, td, fields, methods, statics, m, (own, *around)).scan()
         if td.kind in ("CLASS", "ENUM", "RECORD") and not any(m.kind == "CONSTRUCTOR" for m in td.members):
             self.symbol(kind="CONSTRUCTOR", simple_name="<init>", fqn=f"{fqn}#<init>", parent_id=s["id"], signature=f"{td.name}()", param_types="", modifiers="synthetic", start_line=td.start, end_line=td.start)
         for n in td.nested:
-            self._type(n, s)
+            self._type(n, s, (own, *around))
 
 
 def first_role(annotations: list[str], extended: list[str], implemented: list[str]) -> str | None:
@@ -453,10 +519,15 @@ def method_role(annotations: list[str], owner: str | None, name: str) -> str | N
 class Body:
     """Edges of one method's or constructor's body."""
 
-    def __init__(self, x: Extractor, row: dict, owner: dict, td: TypeDecl, fields: dict, methods: set, statics: set, m: Member):
+    def __init__(self, x: Extractor, row: dict, owner: dict, td: TypeDecl, fields: dict, methods: set, statics: set, m: Member, around: tuple[str, ...] = ()):
+        #: The enclosing types, the innermost first, with their parameters' marks.
+        self.around = around or (owner["fqn"],)
+        self.variables = {v: f"#{k};" for k, v in enumerate(td.variables)} | dict.fromkeys(m.variables, "?")
         self.x, self.row, self.owner, self.td, self.methods, self.statics, self.m = x, row, owner, td, methods, statics, m
         self.fields = fields
         self.vars = {n: t + ("[]" if many else "") for t, n, many in m.params}
+        #: Names whose type is that of an expression: name, tokens where this holds, expression.
+        self.inferred: list[tuple[str, int, int, str]] = []
         self.t = x.p.t[m.body[0] : m.body[1]]
 
     def tok(self, i: int) -> str:
@@ -503,9 +574,126 @@ class Body:
                         kind = made[0]
                     if kind not in ("var", "instanceof"):
                         self.vars.setdefault(self.tok(j), kind)
+                    elif kind == "var" and self.tok(j + 1) == "=" and (end := self._statement(j + 2)) and (made := self._ends(end)):
+                        self.inferred.append((self.tok(j), end, len(self.t), made))
                     i = j
             i += 1
 
+    def _statement(self, i: int) -> int | None:
+        """The token of the semicolon that ends the expression from token i on, if braces don't come first."""
+        while i < len(self.t) and self.tok(i) not in (";", "{", "}"):
+            i += 1
+        return i if self.tok(i) == ";" else None
+
+    def _opening(self, k: int) -> int:
+        """The bracket that the one at token k closes, or -1."""
+        depth = 0
+        while k >= 0:
+            depth += (self.tok(k) in (")", "]")) - (self.tok(k) in ("(", "["))
+            if depth == 0:
+                return k
+            k -= 1
+        return -1
+
+    def key(self, i: int) -> str:
+        """The expression whose last name is token i."""
+        return f"{self.row['id']}:{i}"
+
+    def _ends(self, end: int) -> str | None:
+        """The call or field access that ends before token end."""
+        k = end - 1
+        if self.tok(k) == ")":
+            j = self._opening(k) - 1
+            return self.key(j) if self.is_name(j) and self.tok(j) not in _NO_CALL and not self._in_new(j) else None
+        return self.key(k) if self.is_name(k) and self.tok(k - 1) == "." else None
+
+    def lambdas(self) -> None:
+        """Note parameters without types of lambdas among a call's arguments: they have what the called method says."""
+        for i in range(len(self.t)):
+            if not (self.is_name(i) and self.tok(i + 1) == "(" and self.tok(i) not in _NO_CALL and not self._in_new(i)):
+                continue
+            for place, (a, b) in enumerate(self._arguments(i + 1)):
+                names = [self.tok(a)] if self.is_name(a) and self.tok(a + 1) == "->" else []
+                if self.tok(a) == "(":
+                    close = next((k for k in range(a, b) if self.tok(k) == ")"), b)
+                    if self.tok(close + 1) == "->":
+                        names = [self.tok(k) for k in range(a + 1, close, 2)] if all(self.is_name(k) for k in range(a + 1, close, 2)) and all(self.tok(k) == "," for k in range(a + 2, close, 2)) else []
+                for k, name in enumerate(names):
+                    key = f"{self.key(i)}:{place}:{k}"
+                    self.inferred.append((name, a, b, key))
+                    self.x.fact("lambda", id=key, ref=self.key(i), level=place, arity=k)
+
+    def _arguments(self, i: int) -> list[tuple[int, int]]:
+        """Token ranges of the arguments in the brackets opened at token i."""
+        out, k, depth, start = [], i + 1, 1, i + 1
+        while k < len(self.t):
+            v = self.tok(k)
+            if v == "<" and (found := self.type_at(k - 1)) and found[1] > k:
+                k = found[1]
+                continue
+            depth += (v in ("(", "[", "{")) - (v in (")", "]", "}"))
+            if depth == 0 or depth == 1 and v == ",":
+                if k > start:
+                    out.append((start, k))
+                start = k + 1
+            if depth == 0:
+                break
+            k += 1
+        return out
+
+    def inferred_of(self, name: str, k: int) -> str | None:
+        """The expression that gives the type of a name at token k, by the innermost place that declares it."""
+        found = [(b - a, key) for n, a, b, key in self.inferred if n == name and a <= k < b]
+        return min(found)[1] if found else None
+
+    def receiver(self, i: int) -> list[tuple[str | None, str | None]]:
+        """What stands before the dot at token i, as a type or an expression's key."""
+        k = i - 1
+        name, canonical = self.tok(k), lambda t: self.x.canonical(t, self.variables)
+        if name == "this":
+            return [(self.around[0], None)]
+        if name == "super":
+            return [(canonical(t), None) for t, _ in self.td.extends[:1]]
+        if self.t[k][0] == "text":
+            return [("java.lang.String", None)]
+        if name in (")", "]"):
+            j = self._opening(k)
+            if name == "]":
+                declared = self.is_name(j - 1) and self.tok(j - 2) != "." and self.type_of(self.tok(j - 1))
+                return [(canonical(declared[:-2]), None)] if declared and declared.endswith("[]") else []
+            if key := self._ends(k + 1):
+                return [(None, key)]
+            if self.is_name(j - 1) or self.tok(j - 1) == ">":
+                while j > 0 and self.tok(j) != "new":
+                    j -= 1
+                made = self.type_at(j + 1) if self.tok(j) == "new" else None
+                return [(canonical(made[0]), None)] if made else []
+            if self.tok(j + 1) == "(" and (cast := self.type_at(j + 2)) and self.tok(cast[1]) == ")":
+                return [(canonical(cast[0]), None)]
+            return [(None, key)] if (key := self._ends(k)) else []
+        if not self.is_name(k):
+            return []
+        if self.tok(k - 1) == ".":
+            if name[:1].isupper() and self.tok(k - 2) != "this":
+                return []  # a type's full name
+            return [(None, self.key(k))]
+        if key := self.inferred_of(name, k):
+            return [(None, key)]
+        if declared := self.type_of(name):
+            return [(canonical(declared), None)]
+        if name in self.x.known or name in self.x.local or name[:1].isupper():
+            return [(self.x.resolve(name), None)]
+        # A field of a supertype or of an enclosing type.
+        for level, own in enumerate(self.around):
+            self.x.fact("read", id=self.key(k), owner=self.around[0].split("<")[0], name=name, level=level, type=own)
+        return [(None, self.key(k))]
+
+    def expression(self, i: int, kind: str, found: list[tuple[str | None, str | None]]) -> None:
+        """Note the expression whose name is token i, with the edge just made."""
+        e, count = self.x.edges[-1], len(self._arguments(i + 1)) if kind == "call" else None
+        for level, (type_, ref) in enumerate(found):
+            self.x.fact(kind, id=self.key(i), edge_id=e["id"], owner=self.owner["fqn"], name=self.tok(i), level=level, arity=count, type=type_, ref=ref, was_fqn=e["dst_fqn"], was_kind=e["kind"], was_resolution=e["resolution"])
+
     def type_of(self, name: str) -> str | None:
         return self.vars.get(name) or self.fields.get(name)
 
@@ -606,6 +794,7 @@ class Body:
 
     def scan(self) -> None:
         self.declare()
+        self.lambdas()
         x, row, owner = self.x, self.row, self.owner
         for i, (kind, text, line) in enumerate(self.t):
             if text == "new" and kind == "id":
@@ -623,13 +812,16 @@ class Body:
                 if before == ".":
                     fqn, resolution, is_type = self.scope(i - 1)
                     x.edge(row, "STATIC_CALL" if is_type and resolution == "ast" else "CALLS", fqn, text, self._first_line(i), resolution)
+                    self.expression(i, "call", self.receiver(i - 1))
                 elif before != "::" and before != "@":
                     static = text in self.statics
                     x.edge(row, "STATIC_CALL" if static else "CALLS", owner["fqn"], text, line, "ast" if text in self.methods else "heuristic")
+                    self.expression(i, "call", [(own, None) for own in self.around])
             elif before == "." and not self._in_new(i) and after != "(":
                 if self.is_name(i - 2) or self.tok(i - 2) in (")", "]"):
                     fqn, resolution, _ = self.scope(i - 1)
                     x.edge(row, "FIELD_WRITE" if after in _ASSIGN else "FIELD_READ", fqn, text, self._first_line(i), resolution if fqn else "unresolved")
+                    self.expression(i, "read", self.receiver(i - 1))
             elif after in _ASSIGN and before not in (".", "@") and not self._declares(i):
                 x.edge(row, "FIELD_WRITE", owner["fqn"], text, line)
 
@@ -657,7 +849,7 @@ def _arrow(schema) -> pa.DataType:
     return pa.struct([(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields])
 
 
-_PARTS = {"symbol": SYMBOLS, "edge": EDGES, "annotation": ANNOTATIONS, "import": IMPORTS}
+_PARTS = {"symbol": SYMBOLS, "edge": EDGES, "annotation": ANNOTATIONS, "import": IMPORTS, "fact": FACTS}
 PARSED = "file_id string, parsed boolean, " + ", ".join(f"`{n}` {s.simpleString()}" for n, s in _PARTS.items())
 
 
@@ -666,7 +858,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for repo, file, content in zip(*(batch.column(c).to_pylist() for c in ("repo_id", "file_id", "content")), strict=True):
             try:
                 x = Extractor(repo, file, content or "")
-                rows = [("symbol", r) for r in x.symbols] + [("edge", r) for r in x.edges] + [("annotation", r) for r in x.annotations] + [("import", r) for r in x.imports]
+                rows = [("symbol", r) for r in x.symbols] + [("edge", r) for r in x.edges] + [("annotation", r) for r in x.annotations] + [("import", r) for r in x.imports] + [("fact", r) for r in x.facts]
                 ok = True
             except (ParseError, RecursionError, IndexError):
                 rows, ok = [], False
@@ -682,5 +874,5 @@ def parse_java(files: DataFrame) -> DataFrame:
 
 
 def part(parsed: DataFrame, name: str) -> DataFrame:
-    """The symbols, edges, annotations or imports of parsed files."""
+    """The symbols, edges, annotations, imports or facts of parsed files."""
     return parsed.where(F.col(name).isNotNull()).select(f"{name}.*")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import schemas
 
-TABLES = {"repos": schemas.REPOS, "files": schemas.FILES, "symbols": schemas.SYMBOLS, "edges": schemas.EDGES, "annotations": schemas.ANNOTATIONS, "imports": schemas.IMPORTS}
+TABLES = {"repos": schemas.REPOS, "files": schemas.FILES, "symbols": schemas.SYMBOLS, "edges": schemas.EDGES, "annotations": schemas.ANNOTATIONS, "imports": schemas.IMPORTS, "facts": schemas.FACTS}
 SCHEMA_VERSION = 3
 
 

@@ -18,7 +18,7 @@ from .functions import scoring, text
 from .operators import failures, graph, index, linker, search, symbols as lookups, traces, types
 from .sources import files as file_source
 from .sources import git as git_source
-from .sources import java
+from .sources import java, ranges
 from .store import Store
 
 TOOLS: dict[str, dict] = {}
@@ -321,8 +321,8 @@ class Engine:
         full = file_source.inside(self.config.workspace, path)
         if not os.path.isfile(full):
             return {"inputKind": "LOG_FILE", "input": path, "stats": {"error": f"Log file not found: {path}"}, "findings": [], "rootCauses": []}
-        lines = search.lines_of(self.spark.read.text(full, wholetext=True).select(F.lit(path).alias("path"), F.col("value").alias("content")))
-        chunks = traces.stack_chunks(lines).withColumn("__r", F.dense_rank().over(Window.partitionBy("path").orderBy("chunk"))).where(F.col("__r") <= (most if most > 0 else 5)).drop("__r")
+        lines = ranges.line_ranges(self.spark, self.config.workspace, [path])
+        chunks = traces.stack_chunks(lines, part="part").withColumn("__r", F.dense_rank().over(Window.partitionBy("path").orderBy("chunk"))).where(F.col("__r") <= (most if most > 0 else 5)).drop("__r")
         chunks = graph.durable(chunks.select(F.col("chunk").alias("trace"), "line", "text"))
         out = {"inputKind": "LOG_FILE", "input": path} | self._report(chunks, ["trace"], "stack")
         out["stats"]["stackTracesFound"] = chunks.select("trace").distinct().count()

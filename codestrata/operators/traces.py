@@ -8,24 +8,36 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def stack_chunks(lines: DataFrame, *, key: str = "path", keep_causes: bool = False) -> DataFrame:
+#: Lines of a segment: what one task sorts of a log.
+SEGMENT = 1 << 16
+
+
+def stack_chunks(lines: DataFrame, *, key: str = "path", keep_causes: bool = False, part: str | None = None, segment: int = SEGMENT) -> DataFrame:
     """Lines that belong to a stack trace: key, chunk (from 1), line, text.
 
     A chunk begins with an exception line and ends before the next one or a blank line; in between only frames, "..." and "Caused by"
-    lines belong to it. With keep_causes, "Caused by:" lines continue a chunk instead of starting one. Gaps and islands: a running
-    count per key; a key is one log, so one log's lines must fit a sort, not memory.
+    lines belong to it. With keep_causes, "Caused by:" lines continue a chunk instead of starting one.
+
+    A scan over segments: a log (key) is cut into segments of its lines, or by the column part, which must follow the lines' order. Each
+    segment counts its chunks and tells its last state; a pass over these, a row for each segment, says how many chunks come before a segment and whether one is
+    open where it begins; then segments number their own chunks. So one log is the work of many tasks.
     """
     start = F.col("text").rlike(X.CHUNK_START)
     if keep_causes:
         start = start & ~F.trim("text").startswith("Caused by:") & ~F.trim("text").startswith("Suppressed:")
     blank = F.trim(F.regexp_replace("text", r"\s+", " ")) == ""
-    order = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     trimmed = F.regexp_replace("text", r"^\s+", "")
     body = F.col("text").rlike(X.CHUNK_FRAME) | trimmed.startswith("...") | trimmed.startswith("Caused by") | (trimmed.startswith("Suppressed:") if keep_causes else F.lit(False))
-    marked = lines.withColumn("__s", start).withColumn("__b", blank).withColumn("__island", F.sum((start | blank).cast("int")).over(order)).withColumn("chunk", F.sum(start.cast("int")).over(order))
-    head = Window.partitionBy(key, "__island")
-    marked = marked.withColumn("__open", F.max("__s").over(head))
-    return marked.where(F.col("__open") & ~F.col("__b") & (F.col("__s") | body)).select(key, "chunk", "line", "text")
+    state = F.when(F.col("__s"), True).when(blank, False)  # whether a chunk is open after this line; null: as before it
+    marked = lines.select(F.col(key).alias("__key"), (F.col(part) if part else F.floor(F.col("line") / segment)).alias("__part"), "line", "text").withColumn("__s", F.coalesce(start, F.lit(False))).withColumn("__state", state)
+    last = F.max(F.when(F.col("__state").isNotNull(), F.struct("line", "__state")))
+    told = marked.groupBy("__key", "__part").agg(F.sum(F.col("__s").cast("int")).alias("n"), last.alias("last"))
+    earlier = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = told.select(F.col("__key").alias("__k"), F.col("__part").alias("__p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"), F.last("last.__state", True).over(earlier).alias("__open"))
+    order = Window.partitionBy("__key", "__part").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    own = marked.withColumn("__n", F.sum(F.col("__s").cast("int")).over(order)).withColumn("__now", F.last("__state", True).over(order))
+    both = own.join(carried, F.col("__key").eqNullSafe(F.col("__k")) & F.col("__part").eqNullSafe(F.col("__p")))
+    return both.where(F.coalesce("__now", "__open", F.lit(False)) & (F.col("__s") | body)).select(F.col("__key").alias(key), (F.col("__before") + F.col("__n")).alias("chunk"), "line", "text")
 
 
 def parse_frames(lines: DataFrame, keys: list[str], *, modules: bool = False) -> DataFrame:

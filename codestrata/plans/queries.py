@@ -343,6 +343,17 @@ i AS (SELECT *, sum(CAST(s OR b AS INT)) OVER w AS island, sum(CAST(s AS INT)) O
 ch AS (SELECT path, CAST(chunk AS BIGINT) AS chunk, line, text FROM (SELECT *, bool_or(s) OVER (PARTITION BY path, island) AS open FROM i) WHERE open AND NOT b AND (s OR text LIKE '    at %'))"""
 
 
+#: One log of a line for each document, in which a chunk's lines fall into different segments.
+_ONE_LOG = """
+SELECT 'all.log' AS path, CAST(doc_id + 1 AS INT) AS line, CASE WHEN doc_id % 7 = 0 THEN 'app.' || source || 'Exception: v' || CAST(n_chars AS STRING) WHEN doc_id % 11 = 3 THEN '' WHEN doc_id % 3 = 0 THEN 'noise' ELSE '    at app.U.m(F.java:' || CAST(n_chars AS STRING) || ')' END AS text FROM documents
+"""
+
+
+@query(f"WITH {_CHUNKS.replace(V.TRACE_LINES, _ONE_LOG)} SELECT * FROM ch")
+def one_log_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return traces.stack_chunks(V.load(spark, d, _ONE_LOG), segment=64)
+
+
 @query(f"WITH {_CHUNKS} SELECT * FROM ch")
 def stack_chunks(spark: SparkSession, d: str) -> DataFrame:
     return traces.stack_chunks(V.load(spark, d, V.TRACE_LINES))

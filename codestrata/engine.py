@@ -232,12 +232,8 @@ class Engine:
         return graph.service_entry_points(self.table("symbols"))
 
     @tool("findControllerFlows", "The flow of every controller endpoint.", maxDepth=("integer", 5))
-    def controller_flows(self, depth=5) -> list[dict]:
-        ends = graph.controller_endpoints(self.table("symbols"))
-        rows: dict[str, list] = {}
-        for r in graph.flows_of(ends, self.table("symbols"), self.table("edges"), depth, self.table("files")).collect():
-            rows.setdefault(r.entry_id, []).append(r.asDict())
-        return [{"controller": e.class_fqn, "endpoint": e.method, "signature": e.signature, "line": e.line, "flow": graph.shape_as_tree(rows.get(e.id, []))} for e in ends.collect()]
+    def controller_flows(self, depth=5) -> DataFrame:
+        return graph.controller_trees(self.table("symbols"), self.table("edges"), depth, self.table("files")).drop("id").orderBy("controller", "endpoint", "line")
 
     @tool("findDatabaseAccessPaths", "From entry points to the first persistence method.", maxDepth=("integer", 6))
     def database_paths(self, depth=6) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..durable import durable
 from ..schemas import CLASS_KINDS, FLOW_KINDS, TYPE_KINDS
@@ -102,6 +106,47 @@ def shortest_paths(starts: DataFrame, pairs: DataFrame, depth: int, targets: Dat
     return seen if targets is None else seen.join(targets, ["entry_id", "symbol_id"], "left_semi")
 
 
+def pair_paths(wanted: DataFrame, pairs: DataFrame, depth: int = MAX_PATH) -> DataFrame:
+    """The shortest path of each pair wanted (source, target) of up to depth steps over pairs (src, dst): source, target, depth, path (array).
+
+    Breadth first from both ends, a level of the smaller side at a time, for all pairs at once: a source or target that many pairs share is searched from once.
+    Levels meet first at the least depth, since a symbol that far from the source is as far as is left from the target; a pair that has met
+    is done, and ends are followed while they have pairs left. Of paths of one length the least by symbols in order is given; no row where there is
+    none. A pair of equal ends has the path of one symbol.
+    """
+    pairs = durable(pairs.select("src", "dst").where("src <> dst").distinct())
+    wanted = durable(wanted.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct())
+    out = wanted.where("source = target").select("source", "target", F.lit(0).alias("depth"), F.array("source").alias("path"))
+    left = wanted.where("source <> target")
+    #: Per end: its name in left, the level and all levels so far (end, symbol, path from the source or to the target), a step's two ends.
+    sides = {}
+    for end, a, b in (("source", "src", "dst"), ("target", "dst", "src")):
+        level = durable(left.select(F.col(end).alias("end"), F.col(end).alias("symbol"), F.array(end).alias("path")).distinct())
+        sides[end] = {"level": level, "seen": level, "n": level.count(), "a": a, "b": b}
+    for d in range(1, depth + 1):
+        end = min(sides, key=lambda e: (sides[e]["n"], e))
+        side, other = sides[end], "target" if end == "source" else "source"
+        open_ = side["level"].join(left.select(F.col(end).alias("end")).distinct(), "end", "left_semi")
+        path = F.array_append("path", F.col(side["b"])) if end == "source" else F.array_prepend("path", F.col(side["b"]))
+        step = open_.join(pairs, open_["symbol"] == pairs[side["a"]]).select("end", F.col(side["b"]).alias("symbol"), path.alias("path"))
+        step = step.groupBy("end", "symbol").agg(F.min("path").alias("path")).join(side["seen"].select("end", "symbol"), ["end", "symbol"], "left_anti")
+        side["level"] = durable(step.select("end", "symbol", "path"))
+        side["n"] = side["level"].count()
+        if side["n"] == 0:
+            break
+        side["seen"] = side["seen"].unionByName(side["level"])
+        ends = {e: s["level"].select(F.col("end").alias(e), "symbol", F.col("path").alias(f"path_{e}")) for e, s in sides.items()}
+        # The new level has met the other side's last one at the symbols that both hold.
+        met = left.join(ends[end], end).join(ends[other], [other, "symbol"])
+        whole = F.concat("path_source", F.slice("path_target", 2, F.greatest(F.size("path_target") - 1, F.lit(0))))
+        met = durable(met.groupBy("source", "target").agg(F.min(whole).alias("path")).select("source", "target", F.lit(d).alias("depth"), "path"))
+        out = out.unionByName(met)
+        left = durable(left.join(met, ["source", "target"], "left_anti").join(side["level"].select(F.col("end").alias(end)).distinct(), end, "left_semi").select("source", "target"))
+        if left.isEmpty():
+            break
+    return out
+
+
 def find_dependency_path(symbols: DataFrame, edges: DataFrame, source: str, target: str, max_depth: int = 8, files: DataFrame | None = None) -> DataFrame:
     """The hops of the shortest class path: hop, from_class, to_class, kind, file, line. No rows if there is none or both are one class."""
     depth = max(1, min(max_depth, MAX_PATH))
@@ -125,16 +170,16 @@ def hops(paths: DataFrame, cls: DataFrame, symbols: DataFrame, files: DataFrame
 def between_frames(frames: DataFrame, symbols: DataFrame, edges: DataFrame, keys: list[str], max_depth: int = 8) -> DataFrame:
     """The class path from each frame in the repository to the next inner one: keys, index (of the caller), then as hops.
 
-    frames: keys, index, class_fqn, in_repo. All pairs are searched at once, a start per distinct caller; equal classes have no hop.
+    frames: keys, index, class_fqn, in_repo. All pairs are searched at once, from both ends; equal classes have no hop.
     """
     own = frames.where("in_repo").select(*keys, "index", "class_fqn")
     inner = own.withColumn("inner", F.lag("class_fqn").over(Window.partitionBy(*keys).orderBy("index"))).where("inner <> class_fqn")
     ids = symbols.where(F.col("kind").isin(*TYPE_KINDS)).groupBy("fqn").agg(F.min("id").alias("id"))
     pairs = inner.join(ids.withColumnsRenamed({"fqn": "class_fqn", "id": "entry_id"}), "class_fqn").join(ids.withColumnsRenamed({"fqn": "inner", "id": "symbol_id"}), "inner")
     pairs = durable(pairs.select(*keys, "index", "entry_id", "symbol_id"))
-    cls, goals = class_edges(symbols, edges), pairs.select("entry_id", "symbol_id").distinct()
-    starts = goals.select("entry_id", F.col("entry_id").alias("symbol_id")).distinct()
-    found = hops(shortest_paths(starts, cls, max(1, min(max_depth, MAX_PATH)), goals), cls, symbols)
+    cls, goals = class_edges(symbols, edges), pairs.select(F.col("entry_id").alias("source"), F.col("symbol_id").alias("target"))
+    paths = pair_paths(goals, cls, max(1, min(max_depth, MAX_PATH))).withColumnsRenamed({"source": "entry_id", "target": "symbol_id"})
+    found = hops(paths, cls, symbols)
     return pairs.join(found, ["entry_id", "symbol_id"]).select(*keys, "index", "hop", "from_class", "to_class", "kind", "file_id", "line")
 
 
@@ -175,6 +220,30 @@ def controller_flows(symbols: DataFrame, edges: DataFrame, max_depth: int = 5, f
     return flows_of(controller_endpoints(symbols), symbols, edges, max_depth, files)
 
 
+_NODE = ("symbol_id", "class_fqn", "method", "signature", "role", "file", "line", "depth")
+
+
+@F.arrow_udf(T.StringType())
+def _tree(flows: pa.Array) -> pa.Array:
+    return pa.array([json.dumps(shape_as_tree(rows), ensure_ascii=False) for rows in (f.as_py() for f in flows)], pa.string())
+
+
+def flow_trees(flow: DataFrame) -> DataFrame:
+    """The flow of every entry (entry_id and the columns of described) as a tree: entry_id, nodes, tree (JSON, as shape_as_tree nests it).
+
+    Trees are made where the flows are grouped; an entry's tree is one value, so its rows meet in one task as they do in that value.
+    """
+    grouped = flow.groupBy("entry_id").agg(F.count(F.lit(1)).alias("nodes"), F.collect_list(F.struct(*_NODE, "path")).alias("rows"))
+    return grouped.select("entry_id", "nodes", _tree("rows").alias("tree"))
+
+
+def controller_trees(symbols: DataFrame, edges: DataFrame, max_depth: int = 5, files: DataFrame | None = None) -> DataFrame:
+    """Every controller endpoint with its flow as a tree: id, controller, endpoint, signature, line, nodes, flow (JSON)."""
+    ends = controller_endpoints(symbols).select("id", F.col("class_fqn").alias("controller"), F.col("method").alias("endpoint"), "signature", "line")
+    trees = flow_trees(controller_flows(symbols, edges, max_depth, files)).withColumnRenamed("entry_id", "id")
+    return ends.join(trees, "id", "left").select("id", "controller", "endpoint", "signature", "line", F.coalesce("nodes", F.lit(0)).alias("nodes"), F.col("tree").alias("flow", metadata={"json": True}))
+
+
 def database_access_paths(symbols: DataFrame, edges: DataFrame, max_depth: int = 6) -> DataFrame:
     """Per service entry point that reaches a sink, the first sink by depth, id and path: entry_id, sink_id, depth, path."""
     starts = service_entry_points(symbols).select(F.col("id").alias("entry_id"), F.col("id").alias("symbol_id"))
@@ -198,7 +267,7 @@ def shape_as_tree(rows: list[dict]) -> dict | None:
     """Flow rows (symbol_id, depth, path text) of one entry nested by path. A later row of a symbol is where its children then attach."""
     root, at = None, {}
     for row in sorted(rows, key=lambda r: (r["depth"], r["symbol_id"], r["path"])):
-        node = {k: row.get(k) for k in ("symbol_id", "class_fqn", "method", "signature", "role", "file", "line", "depth")} | {"calls": []}
+        node = {k: row.get(k) for k in _NODE} | {"calls": []}
         ids = row["path"].split(">")
         if len(ids) == 1:
             root = node

@@ -95,6 +95,13 @@ def controller_flows(spark: SparkSession, d: str) -> DataFrame:
     return graph.controller_flows(_symbols(spark, d), _edges(spark, d)).select("entry_id", "symbol_id", "class_fqn", "method", "depth", "path")
 
 
+@query(_flow_sql(f"SELECT m.id AS entry_id, m.id AS symbol_id FROM symbols m JOIN symbols t ON t.id = m.parent_id WHERE {_ENDPOINT}", 5, "SELECT entry_id AS id, count(*) AS nodes, max(depth)::BIGINT AS deepest, count(*) FILTER (depth = 5) AS cut FROM flow GROUP BY entry_id"))
+def controller_trees(spark: SparkSession, d: str) -> DataFrame:
+    trees = graph.controller_trees(_symbols(spark, d), _edges(spark, d))
+    depths = F.transform(F.regexp_extract_all("flow", F.lit(r'"depth": (\d+)'), 1), lambda x: x.cast("bigint"))
+    return trees.withColumn("depths", depths).select("id", F.size("depths").cast("long").alias("nodes"), F.array_max("depths").alias("deepest"), F.size(F.filter("depths", lambda x: x == 5)).cast("long").alias("cut"))
+
+
 _SINKS = "SELECT m.id FROM symbols m JOIN symbols t ON t.id = m.parent_id WHERE m.kind = 'METHOD' AND (t.simple_name IN ('EntityManager', 'JdbcTemplate', 'DataSource', 'Connection', 'Statement') OR t.framework_role IN ('REPOSITORY', 'JPA_REPOSITORY', 'ENTITY'))"
 
 
@@ -139,6 +146,21 @@ def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.shortest_paths(_customers(spark, d), pairs, 4).select("entry_id", "symbol_id", "depth", F.array_join("path", ">").alias("path"))
 
 
+#: From every customer to a supplier's customer, and to the first one.
+_WANTED = "SELECT 'C' || CAST(c_custkey AS STRING) AS source, 'C' || CAST(1 + c_custkey * 7 % n AS STRING) AS target FROM customer, (SELECT count(*) AS n FROM supplier) UNION SELECT 'C' || CAST(c_custkey AS STRING), 'C0' FROM customer"
+
+
+@query(
+    f"""WITH RECURSIVE {_BASE}, wanted AS ({_WANTED}), pairs AS (SELECT DISTINCT src_symbol_id AS src, dst_symbol_id AS dst FROM edges WHERE kind IN {_FLOW_KINDS} AND dst_symbol_id IS NOT NULL AND src_symbol_id <> dst_symbol_id),
+walk(target, id, depth) USING KEY (target, id) AS (SELECT DISTINCT target, target, 0 FROM wanted
+  UNION SELECT w.target, p.src, min(w.depth) + 1 FROM walk w JOIN pairs p ON p.dst = w.id LEFT JOIN recurring.walk r ON r.target = w.target AND r.id = p.src WHERE w.depth < 12 AND r.id IS NULL GROUP BY w.target, p.src)
+SELECT source, wanted.target, depth::INT AS depth, (depth + 1)::INT AS symbols FROM wanted JOIN walk ON walk.target = wanted.target AND walk.id = source"""
+)
+def pair_paths(spark: SparkSession, d: str) -> DataFrame:
+    wanted = V.load(spark, d, _WANTED)
+    return graph.pair_paths(wanted, graph.flow_edges(_edges(spark, d))).select("source", "target", "depth", F.size("path").alias("symbols"))
+
+
 @query(
     f"""WITH RECURSIVE {_BASE}, {_CLS}, pairs AS (SELECT DISTINCT src, dst FROM cls WHERE src <> dst),
 walk(id, depth, path) AS (SELECT 'N3', 0, ['N3'] UNION ALL SELECT p.dst, w.depth + 1, list_append(w.path, p.dst) FROM walk w JOIN pairs p ON p.src = w.id WHERE w.depth < 2 AND NOT list_contains(w.path, p.dst)),

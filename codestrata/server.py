@@ -14,8 +14,12 @@ VERSION = "2024-11-05"
 
 
 def plain(value):
-    """A result as JSON values. Tables here are bounded by their queries."""
-    return [json.loads(x) for x in value.toJSON().collect()] if isinstance(value, DataFrame) else value
+    """A result as JSON values. A table's rows are fetched a partition at a time; columns marked as JSON are nested, not quoted."""
+    if not isinstance(value, DataFrame):
+        return value
+    nested = [f.name for f in value.schema if f.metadata.get("json")]
+    rows = [json.loads(x) for x in value.toJSON().toLocalIterator()]
+    return [row | {c: json.loads(row[c]) for c in nested if row.get(c)} for row in rows]
 
 
 def handle(engine: Engine, line: str) -> dict | None:

@@ -66,8 +66,8 @@ class Engine:
 
     # Scans.
 
-    def _lines(self, path: str | None) -> DataFrame:
-        return file_source.text_lines(self._tree(path), self.config.text_extensions)
+    def _first(self, files: list[tuple[str, int]], hits: Callable[[DataFrame], DataFrame], limit: int) -> DataFrame:
+        return search.first_hits(files, lambda paths: hits(ranges.line_ranges(self.spark, self.config.workspace, paths)), limit)
 
     def _tree(self, path: str | None, suffix: str = "") -> DataFrame:
         if path and os.path.isfile(file_source.inside(self.config.workspace, path)):
@@ -77,11 +77,15 @@ class Engine:
 
     @tool("searchCode", "Search text files by a literal or an expression.", query=("string", ...), regex=("boolean", False), caseSensitive=("boolean", False), extensions=("array", None), path=("string", None), maxResults=("integer", 200))
     def search_code(self, query, regex=False, case_sensitive=False, extensions=None, path=None, limit=200) -> DataFrame:
-        return search.search_code(self._lines(path), query, regex=regex, case_sensitive=case_sensitive, extensions=extensions, limit=search.clamp_limit(limit, self.config.max_results))
+        most = search.clamp_limit(limit, self.config.max_results)
+        wanted = tuple(e.lower().lstrip(".") for e in extensions) if extensions else self.config.text_extensions
+        files = file_source.named_files(self.config, lambda n: file_source.is_text(n, self.config.text_extensions) and file_source.is_text(n, wanted), path or "", self.config.max_file_bytes)
+        return self._first(files, lambda lines: search.search_code(lines, query, regex=regex, case_sensitive=case_sensitive, limit=most), most)
 
     @tool("searchLogs", "Search log files.", query=("string", ...), regex=("boolean", False), caseSensitive=("boolean", False), path=("string", None), maxResults=("integer", 200))
     def search_logs(self, query, regex=False, case_sensitive=False, path=None, limit=200) -> DataFrame:
-        return search.search_logs(file_source.log_lines(self._tree(path)), query, regex=regex, case_sensitive=case_sensitive, limit=search.clamp_limit(limit, self.config.max_results))
+        most = search.clamp_limit(limit, self.config.max_results)
+        return self._first(file_source.named_files(self.config, file_source.is_log, path or ""), lambda lines: search.search_logs(lines, query, regex=regex, case_sensitive=case_sensitive, limit=most), most)
 
     # Code without an index: the files are parsed for the query.
 

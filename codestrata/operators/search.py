@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import durable
 from ..functions import text as X
 
 MAX_RESULTS = 500
@@ -33,6 +36,30 @@ def search_code(lines: DataFrame, query: str, *, regex: bool = False, case_sensi
     return hits.select("path", "line", X.truncated(F.trim("text"), SNIPPET).alias("snippet")).orderBy("path", "line").limit(clamp_limit(limit))
 
 
+#: Files and bytes of the first wave of a search, and by how much each next one is larger.
+WAVE_FILES, WAVE_BYTES, WIDER = 32, 64 << 20, 4
+
+
+def first_hits(files: list[tuple[str, int]], scan: Callable[[list[str]], DataFrame], limit: int) -> DataFrame:
+    """The first hits, by path and line, of scan (paths to hits: path, line, ...) over files (path, size) in the order of paths.
+
+    Waves of files, each wider than the last, until the limit is met: files come in order, so all hits of the waves done come before those of
+    the files left, which needn't be read.
+    """
+    at, total, count, size, hits = 0, 0, WAVE_FILES, WAVE_BYTES, None
+    while at < len(files) and total < limit or hits is None:
+        wave, held = [], 0
+        while at < len(files) and len(wave) < count and (held < size or not wave):
+            wave.append(files[at][0])
+            held += files[at][1]
+            at += 1
+        found = durable(scan(wave))
+        total += found.count()
+        hits = found if hits is None else hits.unionByName(found)
+        count, size = count * WIDER, size * WIDER
+    return hits.orderBy("path", "line").limit(limit)
+
+
 def is_log_file(name: Column) -> Column:
     return F.lower(name).rlike(X.LOG_FILE)
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import Config
-from ..functions.text import has_extension
-from ..operators.search import is_log_file, lines_of
+from ..functions.text import LOG_FILE
 
 _SCHEMA = "path string, size bigint, mtime bigint, content binary"
 #: Bytes of files that one task reads, about.
@@ -27,6 +27,20 @@ def inside(root: str, path: str) -> str:
     return full
 
 
+def walk(root: str, ignored: set[str], most: int | None = None, suffix: str = "") -> Iterator[tuple[str, int]]:
+    """Files under root, relative to it, with their sizes; directories with ignored names are not entered."""
+    for folder, dirs, found in os.walk(root):
+        dirs[:] = sorted(d for d in dirs if d not in ignored)
+        for name in sorted(found):
+            full = os.path.join(folder, name)
+            try:
+                size = os.path.getsize(full)
+            except OSError:
+                continue
+            if (most is None or size <= most) and name.endswith(suffix) and os.path.isfile(full):
+                yield os.path.relpath(full, root), size
+
+
 class Files(InputPartition):
     def __init__(self, names: list[str]):
         self.names = names
@@ -55,21 +69,12 @@ class _TreeReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         out, names, held = [], [], 0
-        for folder, dirs, found in os.walk(self.root):
-            dirs[:] = sorted(d for d in dirs if d not in self.ignored)
-            for name in sorted(found):
-                full = os.path.join(folder, name)
-                try:
-                    size = os.path.getsize(full)
-                except OSError:
-                    continue
-                if size > self.most or not name.endswith(self.suffix) or not os.path.isfile(full):
-                    continue
-                names.append(os.path.relpath(full, self.root))
-                held += size
-                if held >= SPLIT or len(names) >= 2000:
-                    out.append(Files(names))
-                    names, held = [], 0
+        for name, size in walk(self.root, self.ignored, self.most, self.suffix):
+            names.append(name)
+            held += size
+            if held >= SPLIT or len(names) >= 2000:
+                out.append(Files(names))
+                names, held = [], 0
         return [*out, Files(names)] if names or not out else out
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
@@ -107,14 +112,20 @@ def pruned(files: DataFrame, ignored: tuple[str, ...], most: int) -> DataFrame:
     return files.where((F.col("size") <= most) & ~under)
 
 
-def text_lines(files: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
-    """Lines of the text files. Bytes that are no UTF-8 become U+FFFD and the file stays whole."""
-    named = files.where(has_extension(F.substring_index("path", "/", -1), [*extensions]))
-    return lines_of(named.select("path", F.col("content").cast("string").alias("content")))
+def named_files(config: Config, keep: Callable[[str], bool], under: str = "", most: int | None = None) -> list[tuple[str, int]]:
+    """Files of the workspace whose name keep takes, below or at the path under, in the order of their paths: path, size."""
+    root = inside(config.workspace, under) if under else config.workspace
+    found = [("", os.path.getsize(root))] if os.path.isfile(root) else walk(root, {*config.ignored_dirs}, most)
+    full = ((os.path.relpath(os.path.join(root, name) if name else root, config.workspace).replace(os.sep, "/"), size) for name, size in found)
+    return sorted((path, size) for path, size in full if keep(path.rsplit("/", 1)[-1]))
+
+
+def is_text(name: str, extensions: tuple[str, ...]) -> bool:
+    return "." in name and name.rsplit(".", 1)[1].lower() in {e.lower().lstrip(".") for e in extensions}
 
 
-def log_lines(files: DataFrame) -> DataFrame:
-    return lines_of(files.where(is_log_file(F.substring_index("path", "/", -1))).select("path", F.col("content").cast("string").alias("content")))
+def is_log(name: str) -> bool:
+    return re.search(LOG_FILE, name.lower()) is not None
 
 
 def source_root(path: str, config: Config) -> bool:

@@ -22,9 +22,15 @@ RANGE, READ, BATCH = 32 << 20, 1 << 20, 1 << 20
 _BREAK = re.compile(rb"\r\n|\r|\n")
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, part: int, start: int, end: int):
-        self.path, self.part, self.start, self.end = path, part, start, end
+#: Small files that one task reads.
+FILES = 2000
+
+
+class Ranges(InputPartition):
+    """(path, part, start, end) of what one task reads: a range of a large file, or some small files."""
+
+    def __init__(self, parts: list[tuple[str, int, int, int]]):
+        self.parts = parts
 
 
 class LineRanges(DataSource):
@@ -48,32 +54,45 @@ class _RangeReader(DataSourceReader):
     def __init__(self, root: str, paths: list[str], size: int):
         self.root, self.paths, self.size = root, paths, size
 
-    def partitions(self) -> list[Range]:
-        out = []
+    def partitions(self) -> list[Ranges]:
+        out, held, size = [], [], 0
         for path in self.paths:
-            total = os.path.getsize(os.path.join(self.root, path))
-            out += [Range(path, k, a, min(a + self.size, total)) for k, a in enumerate(range(0, total, self.size))]
-        return out or [Range("", 0, 0, 0)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        texts: list[str | None] = []
-        held = done = 0
-        for line in lines_in(os.path.join(self.root, partition.path), partition.start, partition.end) if partition.end else ():
             try:
-                texts.append(line.decode("utf-8"))
-            except UnicodeDecodeError:
-                texts.append(None)
-            held += len(line)
-            if held >= BATCH or len(texts) >= 10_000:
-                yield _batch(partition, texts, done)
-                done, texts, held = done + len(texts), [], 0
-        if texts:
-            yield _batch(partition, texts, done)
-
-
-def _batch(p: Range, texts: list[str | None], done: int) -> pa.RecordBatch:
-    n = len(texts)
-    return pa.RecordBatch.from_arrays([pa.array([p.path] * n), pa.array([p.part] * n, pa.int32()), pa.array(range(done + 1, done + n + 1), pa.int64()), pa.array(texts, pa.string())], ["path", "part", "nth", "text"])
+                total = os.path.getsize(os.path.join(self.root, path))
+            except OSError:  # a file that is gone or unreadable is left out
+                continue
+            for k, a in enumerate(range(0, total, self.size)):
+                held.append((path, k, a, min(a + self.size, total)))
+                size += held[-1][3] - a
+                if size >= self.size or len(held) >= FILES:
+                    out.append(Ranges(held))
+                    held, size = [], 0
+        return [*out, Ranges(held)] if held or not out else out
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, int, int, str | None]] = []
+        held = 0
+        for path, part, start, end in partition.parts:
+            try:
+                for nth, line in enumerate(lines_in(os.path.join(self.root, path), start, end), 1):
+                    try:
+                        rows.append((path, part, nth, line.decode("utf-8")))
+                    except UnicodeDecodeError:
+                        rows.append((path, part, nth, None))
+                        break  # no later line of the file counts
+                    held += len(line)
+                    if held >= BATCH or len(rows) >= 10_000:
+                        yield _batch(rows)
+                        rows, held = [], 0
+            except OSError:
+                continue
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows: list[tuple[str, int, int, str | None]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["path", "part", "nth", "text"])
 
 
 def lines_in(path: str, start: int, end: int) -> Iterator[bytes]:
@@ -104,10 +123,18 @@ def lines_in(path: str, start: int, end: int) -> Iterator[bytes]:
 
 
 def line_ranges(spark: SparkSession, root: str, paths: list[str], range_bytes: int = RANGE) -> DataFrame:
-    """path, part, line (in the file, from 1), text of files under root. A file ends before its first line that is no UTF-8."""
+    """path, part, line (in the file, from 1), text of files under root. A file ends before its first line that is no UTF-8.
+
+    Files of one range need no second pass.
+    """
     spark.dataSource.register(LineRanges)
-    read = spark.read.format("line_ranges").option("root", root).option("paths", json.dumps(paths)).option("rangeBytes", str(range_bytes)).load()
-    return numbered(read)
+
+    def read(names: list[str]) -> DataFrame:
+        return spark.read.format("line_ranges").option("root", root).option("paths", json.dumps(names)).option("rangeBytes", str(range_bytes)).load()
+
+    large = [p for p in paths if os.path.isfile(os.path.join(root, p)) and os.path.getsize(os.path.join(root, p)) > range_bytes]
+    small = read(sorted({*paths} - {*large})).where("text IS NOT NULL").select("path", "part", F.col("nth").cast("int").alias("line"), "text")
+    return small.unionByName(numbered(read(large))) if large else small
 
 
 def numbered(lines: DataFrame) -> DataFrame:

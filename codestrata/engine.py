@@ -194,7 +194,10 @@ class Engine:
         # Types, members and links are those of one repository: the others' edges stay as they are.
         own = F.col("repo_id") == self.repo_id
         facts = graph.durable(old["facts"].join(stale, "file_id", "left_anti").select(*old["facts"].columns).unionByName(java.part(parsed, "fact")))
-        all_edges = types.typed_edges(edges.where(own).unionByName(java.part(parsed, "edge")), facts.where(own))
+        # Only edges that look for what is new or gone are linked again.
+        touched = linker.touched_keys(old["symbols"].join(stale, "file_id", "left_semi"), java.part(parsed, "symbol"))
+        kept = linker.reopened(edges.where(own), touched)
+        all_edges = types.typed_edges(kept.unionByName(java.part(parsed, "edge")), facts.where(own))
         self.store.update_status(self.repo_id, phase="LINKING", files_done=n_changed)
         with self.store.transaction() as write:
             write("symbols", all_symbols)
@@ -228,8 +231,9 @@ class Engine:
         return {"found": True} | found.asDict(recursive=True) if found else {"found": False}
 
     @tool("findDependencyPath", "The shortest path between two classes.", sourceClass=("string", ...), targetClass=("string", ...), maxDepth=("integer", 8))
-    def dependency_path(self, source, target, depth=8) -> DataFrame:
-        return graph.find_dependency_path(self.table("symbols"), self.table("edges"), source, target, depth, self.table("files"))
+    def dependency_path(self, source, target, depth=8) -> dict:
+        path = graph.find_dependency_path(self.table("symbols"), self.table("edges"), source, target, depth, self.table("files")).collect()  # a row for each hop
+        return {"hops": len(path), "path": [r.asDict() for r in path]}
 
     @tool("findServiceEntryPoints", "Methods that frameworks call.")
     def entry_points(self) -> DataFrame:

@@ -69,9 +69,9 @@ def trace_execution_flow(spark: SparkSession, d: str) -> DataFrame:
     return graph.trace_execution_flow(_symbols(spark, d), _edges(spark, d), "app.NATION_19", "Customer#000000001", 6)
 
 
-@query(_flow_sql(_START, 4, "SELECT depth, count(*) AS paths, count(DISTINCT symbol_id) AS symbols FROM flow GROUP BY depth"))
+@query(_flow_sql(_START, 6, "SELECT depth, count(*) AS paths, count(DISTINCT symbol_id) AS symbols FROM flow GROUP BY depth"))
 def flow_depth_histogram(spark: SparkSession, d: str) -> DataFrame:
-    flow = graph.trace_execution_flow(_symbols(spark, d), _edges(spark, d), "app.NATION_19", "Customer#000000001", 4)
+    flow = graph.trace_execution_flow(_symbols(spark, d), _edges(spark, d), "app.NATION_19", "Customer#000000001", 6)
     return flow.groupBy("depth").agg(F.count(F.lit(1)).alias("paths"), F.countDistinct("symbol_id").alias("symbols"))
 
 
@@ -307,10 +307,10 @@ def purge_file(spark: SparkSession, d: str) -> DataFrame:
     return edges.groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.count("dst_symbol_id").alias("linked"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, round(100 * pow(0.75, i), 9) AS frame, round(CASE WHEN i % 3 = 0 THEN 100 * pow(0.75, i) ELSE 20 * pow(0.75, i) END, 9) AS scored, round(greatest(0, 100 - 20.0 * i), 9) AS proximity, round(CASE WHEN i = 0 THEN 0 ELSE least(100, ln(1 + i) / ln(11) * 100) END, 9) AS history FROM range(40) t(i)")
+@query("WITH e AS (SELECT event_id, event_id % 40 AS i FROM events) SELECT event_id, round(100 * pow(0.75, i), 9) AS frame, round(CASE WHEN i % 3 = 0 THEN 100 * pow(0.75, i) ELSE 20 * pow(0.75, i) END, 9) AS scored, round(greatest(0, 100 - 20.0 * i), 9) AS proximity, round(CASE WHEN i = 0 THEN 0 ELSE least(100, ln(1 + i) / ln(11) * 100) END, 9) AS history FROM e")
 def frame_scores(spark: SparkSession, d: str) -> DataFrame:
-    i = F.col("id")
-    return spark.range(40).select(i.alias("i"), F.round(scoring.frame_distance(i), 9).alias("frame"), F.round(scoring.score_frame(i, i % 3 == 0), 9).alias("scored"), F.round(scoring.dependency_proximity(i), 9).alias("proximity"), F.round(scoring.historical_failure(i), 9).alias("history"))
+    i = F.col("event_id") % 40
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round(scoring.frame_distance(i), 9).alias("frame"), F.round(scoring.score_frame(i, i % 3 == 0), 9).alias("scored"), F.round(scoring.dependency_proximity(i), 9).alias("proximity"), F.round(scoring.historical_failure(i), 9).alias("history"))
 
 
 def _stats_sql() -> str:

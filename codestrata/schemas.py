@@ -16,7 +16,8 @@ IMPORTS = _s("id STRING, file_id STRING, fqn STRING, is_static BOOLEAN, is_wildc
 EDGES = _s("id STRING, repo_id STRING, src_symbol_id STRING, dst_symbol_id STRING, dst_fqn STRING, dst_member STRING, kind STRING, file_id STRING, line INT, resolution STRING, param_types STRING")
 #: What typing across files needs: types (arity: of type parameters), their supertypes (level: position), methods and fields, expressions with the type
 #: or the expression (ref) that they stand behind (level: how far out the type encloses them), and lambda parameters (level: argument, arity: parameter).
-#: Types have full names, and #0; for the owner's first type parameter; params are joined by |. was_ columns hold an expression's edge as parsed.
+#: Types have full names, and #0; for the owner's first type parameter; params are joined by |. was_ columns hold an expression's edge, or any
+#: other edge (kind edge), as parsed.
 FACTS = _s("repo_id STRING, file_id STRING, kind STRING, id STRING, edge_id STRING, owner STRING, name STRING, level INT, arity INT, many BOOLEAN, static BOOLEAN, type STRING, params STRING, ref STRING, was_fqn STRING, was_kind STRING, was_resolution STRING")
 INDEX_STATUS = _s("repo_id STRING, state STRING, phase STRING, files_total INT, files_changed INT, files_done INT, symbols_count BIGINT, edges_count BIGINT, started_at BIGINT, finished_at BIGINT, error STRING")
 FAILURE_HISTORY = _s("id STRING, repo_id STRING, signature STRING, exception_fqn STRING, top_class_fqn STRING, top_method STRING, file_path STRING, source STRING, occurred_at BIGINT")

@@ -404,6 +404,10 @@ class Extractor:
             self._names(td, None)
         for td in self.p.types:
             self._type(td, None)
+        said = {f["edge_id"] for f in self.facts}
+        for e in self.edges:  # as parsed, for builds that open them again
+            if e["id"] not in said:
+                self.fact("edge", id=e["id"], edge_id=e["id"], level=0, was_fqn=e["dst_fqn"], was_kind=e["kind"], was_resolution=e["resolution"])
 
     def _names(self, td: TypeDecl, outer: str | None) -> None:
         fqn = f"{outer or self.p.package}.{td.name}" if outer or self.p.package else td.name

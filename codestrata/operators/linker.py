@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import durable
 from ..schemas import TYPE_KINDS
 
 
@@ -24,7 +25,9 @@ def link_edges(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     method = members.where("kind = 'METHOD'").select("repo_id", F.lit("method").alias("want"), F.col("owner_fqn").alias("k1"), F.col("simple_name").alias("k2"), "id")
     field = members.where("kind = 'FIELD'").select("repo_id", F.lit("field").alias("want"), F.col("owner_fqn").alias("k1"), F.col("simple_name").alias("k2"), "id")
     types = symbols.where(F.col("kind").isin(*TYPE_KINDS)).select("repo_id", F.lit("type").alias("want"), F.col("fqn").alias("k1"), F.lit("").alias("k2"), "id")
+    # Written, it is a plain side of both joins, and Spark can split the other side's popular keys.
     targets = exact.unionByName(sole).unionByName(method).unionByName(field).unionByName(types).groupBy(*key).agg(F.min("id").alias("found"))
+    targets = durable(targets)
 
     open_ = edges.where(F.col("dst_symbol_id").isNull() & F.col("dst_fqn").isNotNull())
     done = edges.where(F.col("dst_symbol_id").isNotNull() | F.col("dst_fqn").isNull())

@@ -38,6 +38,8 @@ LEADERS = 2
 ELEMENTS = 1 << 15
 #: Members of a centre that meet it in one slice.
 MEMBERS = 256
+#: Least level of buckets: with scaled values, about three items wide.
+MIN_LEVEL = 10
 _SETS = "node bigint, items array<bigint>"
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -292,11 +294,33 @@ class _Search:
         often = marked.groupBy("centre", "item").agg(F.count(F.lit(1)).alias("c"))
         ranked = marked.join(often, ["centre", "item"]).withColumn("place", F.row_number().over(Window.partitionBy("centre", "node").orderBy("c", "item"))).where("place <= first and c > 1")
         ranked = stored(ranked.select("centre", "item", "node", "root", "n", "lacks", "c_n", (F.col("d") - F.col("place") + 1).alias("left")), "near-ranked", narrow=True)
-        left, right = (ranked.select("centre", "item", *[F.col(c).alias(f"{s}_{c}") for c in ("node", "root", "n", "lacks", "c_n", "left")]) for s in "xy")
-        # At the first item that they share, what is left of either must hold all that they need to share.
-        need = F.ceil(p * (F.col("x_n") + F.col("y_n")) / (100 + p)) - F.col("x_c_n") + F.col("x_lacks") + F.col("y_lacks")
-        pairs = left.join(right, ["centre", "item"]).where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & (F.least("x_left", "y_left") >= need))
-        return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+        points, covers = _spans(ranked, self.percent)
+        met = points.join(covers, ["centre", "item", "level", "bucket"])
+        fits = (F.col("x_lo") <= F.col("y_hi")) & (F.col("y_lo") <= F.col("x_hi"))
+        pairs = met.where((F.col("x_node") != F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & fits)
+        return pairs.select(*_pair(F.col("x_node"), F.col("y_node"))).distinct()
+
+
+def _spans(ranked: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Entries of a changed item as points (x_...) and as spans (y_...), so that those which fit each other share a level and a bucket.
+
+    At an item that two members share, what is left of either must hold all that they need to share: left >= need(x) + need(y), need being
+    linear in what is known of each. With lo = need and hi = left - need this asks for lo(y) <= hi(x) and lo(x) <= hi(y): the spans [lo, hi]
+    overlap, or where one is reversed it lies in the other; two reversed ones never fit. So of every fitting pair, the lesser end of one
+    lies in the other's span, which isn't reversed. A span goes to the one or two buckets that it touches at the level where buckets are at
+    least as wide as it is, but under four times (or MIN_LEVEL); a point goes to its bucket at each level that its item has. Members of a
+    template that share an item but can't be linked thus don't meet. All in integers: need and left times 2 * (100 + percent).
+    """
+    scale = 100 + percent
+    need = 2 * percent * F.col("n") + scale * (2 * F.col("lacks") - F.col("c_n"))
+    both = ranked.select("centre", "item", "node", "root", need.alias("lo"), (2 * scale * F.col("left") - need).alias("hi"))
+    bits = F.length(F.bin(F.col("hi") - F.col("lo")))
+    spans = both.where("lo <= hi").withColumn("level", F.greatest(F.lit(MIN_LEVEL), bits + bits % 2))
+    covers = spans.withColumn("bucket", F.explode(F.array_distinct(F.array(F.expr("shiftright(lo, level)"), F.expr("shiftright(hi, level)")))))
+    levels = spans.groupBy("centre", "item").agg(F.collect_set("level").alias("levels"))
+    points = both.join(levels, ["centre", "item"]).withColumn("level", F.explode("levels")).withColumn("bucket", F.expr("shiftright(least(lo, hi), level)"))
+    x, y = (d.select("centre", "item", "level", "bucket", *[F.col(c).alias(f"{side}_{c}") for c in ("node", "root", "lo", "hi")]) for d, side in ((points, "x"), (covers, "y")))
+    return x, y
 
 
 def _pair(a, b) -> list:

@@ -284,23 +284,29 @@ class Engine:
             out = out.unionByName(late.select(*keys, F.lit("REGRESSION_CANDIDATE").alias("kind"), F.concat("path", F.lit(" (changed "), F.col("days_since_last").cast("string"), F.lit("d ago)")).alias("title"), "score", F.map_concat(parts, F.create_map(F.lit("regressionBoost"), F.lit(failures.REGRESSION_BOOST))).alias("breakdown"), (place + 30_000).alias("ordinal"), "data"))
         return out.withColumn("score", F.coalesce("score", d))
 
-    def _signatures(self, frames: DataFrame, chain: DataFrame, keys: list[str]) -> DataFrame:
-        top = frames.where("index = 0").select(*keys, F.col("class_fqn").alias("top_class_fqn"), F.col("method").alias("top_method"), "file_path")
-        first = chain.where("link_no = 0").select(*keys, "exception_fqn")
-        return first.join(top, keys, "left").withColumn("signature", text.failure_signature(F.col("exception_fqn"), F.col("top_class_fqn"), F.col("top_method")))
-
-    def _report(self, lines: DataFrame, keys: list[str], source: str) -> dict:
-        """Analyse all traces of lines; rank; then record them in the history."""
+    def _analysed(self, lines: DataFrame, keys: list[str]) -> tuple[DataFrame, ...]:
+        """Frames, chain, signatures, findings and causes of all traces of lines, as tables."""
         lines = graph.durable(lines)
         frames, chain = graph.durable(self._frames(lines, keys)), graph.durable(traces.parse_chain(lines, keys))
-        signed = graph.durable(self._signatures(frames, chain, keys))
-        prior = failures.prior_occurrences(self.store.history()).select("signature", F.col("prior").alias("before"))
+        signed = graph.durable(failures.signed_traces(frames, chain, keys))
         # Traces of one report are failures one after another: an earlier one with the signature counts as well.
-        earlier = F.row_number().over(Window.partitionBy("signature").orderBy(*keys)) - 1
-        again = signed.withColumn("earlier", earlier).join(prior, "signature", "left").withColumn("prior", F.col("earlier") + F.coalesce("before", F.lit(0))).where("prior > 0")
-        seen = again.withColumn("h", scoring.historical_failure(F.col("prior"))).select(*keys, F.lit("HISTORICAL_FAILURE").alias("kind"), F.concat(F.lit("Identical failure seen "), F.col("prior").cast("string"), F.lit(" time(s) before")).alias("title"), F.col("h").alias("score"), F.create_map(F.lit("historicalFailure"), F.col("h")).alias("breakdown"), F.lit(40_000).cast("long").alias("ordinal"), F.to_json(F.struct("signature", F.col("prior").alias("priorOccurrences"))).alias("data"))
-        found = graph.durable(self._findings(frames, keys).unionByName(seen))
-        causes = graph.durable(failures.root_causes(chain, keys))
+        seen = failures.historical_findings(signed, self.store.history(), keys)
+        seen = seen.select(*keys, F.lit("HISTORICAL_FAILURE").alias("kind"), "title", "score", F.create_map(F.lit("historicalFailure"), F.col("score")).alias("breakdown"), F.lit(40_000).cast("long").alias("ordinal"), F.to_json(F.struct("signature", F.col("prior").alias("priorOccurrences"))).alias("data"))
+        return frames, chain, signed, graph.durable(self._findings(frames, keys).unionByName(seen)), graph.durable(failures.root_causes(chain, keys))
+
+    def _record(self, signed: DataFrame, source: str) -> None:
+        self.store.record_failures(signed.select("signature", "exception_fqn", "top_class_fqn", "top_method", "file_path", F.lit(self.repo_id).alias("repo_id"), F.lit(source).alias("source"), F.lit(self.now() * 1000).cast("long").alias("occurred_at")))
+
+    def analyze_traces(self, lines: DataFrame, keys: list[str], most: int = 20, source: str = "table") -> DataFrame:
+        """A report a trace for a table of traces (keys, line, text), as failures.trace_reports gives them, and all recorded in the history."""
+        _, _, signed, found, causes = self._analysed(lines, keys)
+        out = graph.durable(failures.trace_reports(found, causes, keys, most))
+        self._record(signed, source)
+        return out
+
+    def _report(self, lines: DataFrame, keys: list[str], source: str) -> dict:
+        """Analyse all traces of lines; rank; then record them in the history."""
+        frames, chain, signed, found, causes = self._analysed(lines, keys)
         ranked = found.orderBy(F.desc("score"), "ordinal", "title").collect()
         why = causes.orderBy(*keys, "rank").collect()
         out = {
@@ -311,7 +317,7 @@ class Engine:
         }
         out["overallConfidence"] = confidence([r.score for r in ranked], why[0].confidence if why else 0.0)
         if signed.count():
-            self.store.record_failures(signed.select("signature", "exception_fqn", "top_class_fqn", "top_method", "file_path", F.lit(self.repo_id).alias("repo_id"), F.lit(source).alias("source"), F.lit(self.now() * 1000).cast("long").alias("occurred_at")))
+            self._record(signed, source)
         return out
 
     @tool("analyzeStackTrace", "Frames, changes, history and causes of a stack trace.", stackTrace=("string", ...))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions.text import simple_name
+from ..functions.text import failure_signature, simple_name
 
 #: Exception names, the category each points to; anything else is a domain exception.
 CATEGORIES = {
@@ -37,6 +37,8 @@ ADVICE_OF = {
     "NoClassDefFoundError": ("A class that was there at compile time is missing or failed to initialise.", ["Look for a failure of its static initialiser further down the chain.", "Check that its library is deployed."]),
     "ClassNotFoundException": ("A class that is loaded by name was not found.", ["Check how the name is spelled.", "Check which class loader looks for it."]),
 }
+#: Findings that count for the confidence.
+TOP = 5
 ROOT, PRIMARY, ONLY = 0.85, 0.55, 0.80
 REGRESSION_DAYS, REGRESSION_BOOST, REACHED_ONLY = 30, 10.0, 40.0
 
@@ -112,6 +114,58 @@ def recent_history(history: DataFrame, n: int = 50) -> DataFrame:
     return history.orderBy(F.desc("occurred_at"), "id").limit(n)
 
 
+def signed_traces(frames: DataFrame, chain: DataFrame, keys: list[str]) -> DataFrame:
+    """A row a trace with an exception: keys, exception_fqn, top_class_fqn, top_method, signature, and file_path where frames have it."""
+    top = frames.where("index = 0").select(*keys, F.col("class_fqn").alias("top_class_fqn"), F.col("method").alias("top_method"), *[c for c in frames.columns if c == "file_path"])
+    first = chain.where("link_no = 0").select(*keys, "exception_fqn")
+    return first.join(top, keys, "left").withColumn("signature", failure_signature(F.col("exception_fqn"), F.col("top_class_fqn"), F.col("top_method")))
+
+
+def earlier_occurrences(signed: DataFrame, keys: list[str]) -> DataFrame:
+    """signed (a row a trace: keys, signature, ...) with earlier: how many traces before it, in the order of keys, have its signature.
+
+    Counted per value of the first key, and these counts carried on, so a window holds a row for each such value, not for each trace of a
+    frequent signature. Null signatures count as one.
+    """
+    log, rest = keys[0], keys[1:]
+    each = signed.groupBy("signature", log).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("signature").orderBy(log).rowsBetween(Window.unboundedPreceding, -1)
+    carried = each.select(F.col("signature").alias("__s"), F.col(log).alias("__l"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("signature", log).orderBy(*rest)) - 1 if rest else F.lit(0)
+    both = signed.withColumn("__own", own).join(carried, F.col("signature").eqNullSafe(F.col("__s")) & F.col(log).eqNullSafe(F.col("__l")))
+    return both.select(*signed.columns, (F.col("__before") + F.col("__own")).alias("earlier"))
+
+
+def historical_findings(signed: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:
+    """Per trace whose signature was seen before, in the history or in earlier traces: keys, title, score, prior, signature."""
+    known = prior_occurrences(history).select("signature", F.col("prior").alias("__known"))
+    seen = earlier_occurrences(signed.where("signature is not null"), keys).join(known, "signature", "left").withColumn("prior", F.col("earlier") + F.coalesce("__known", F.lit(0))).where("prior > 0")
+    return seen.select(*keys, F.concat(F.lit("Identical failure seen "), F.col("prior").cast("string"), F.lit(" time(s) before")).alias("title"), S.historical_failure(F.col("prior")).alias("score"), "prior", "signature")
+
+
+def trace_reports(findings: DataFrame, causes: DataFrame, keys: list[str], most: int = 20) -> DataFrame:
+    """A row a trace, of all traces at once: keys, found (how many), findings (the best, in order), root_causes, confidence.
+
+    findings: keys, kind, title, score, ordinal and more. The best are those of highest score (null last), then least ordinal, then title;
+    each task drops what can't be among its traces' best before the shuffle, and of a trace only these are collected. causes: as root_causes
+    gives them; their summary and steps are added. A trace with either has a row.
+    """
+    kept = max(most, TOP)
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "ordinal", "title")
+    more = [c for c in findings.columns if c not in (*keys, "kind", "title", "score")]
+    row = F.struct(F.col("__n").alias("place"), "kind", "title", "score", *more)
+    best = findings.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= kept).groupBy(*keys).agg(F.array_sort(F.collect_list(row), lambda a, b: a["place"] - b["place"]).alias("__best"))
+    found = findings.groupBy(*keys).agg(F.count(F.lit(1)).alias("found"))
+    told = causes.withColumn("__name", F.when(simple_name(F.col("exception_fqn")).isin(*CATEGORIES), simple_name(F.col("exception_fqn"))).otherwise(F.lit("")))
+    told = told.join(F.broadcast(rules(causes.sparkSession).select(F.col("name").alias("__name"), "summary", "steps")), "__name")
+    why = told.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "category", "confidence", "exception_fqn", "reason", "summary", "steps"))).alias("root_causes"))
+    out = found.join(best, keys).join(why, keys, "full_outer").withColumn("__top", F.slice("__best", 1, TOP)["score"])
+    total = F.aggregate(F.coalesce("__top", F.array().cast("array<double>")), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    mean = F.when(F.size("__top") > 0, total / F.size("__top")).otherwise(0.0)
+    value = S.clamp(mean) / 100.0 * 0.6 + F.coalesce(F.get("root_causes", F.lit(0))["confidence"], F.lit(0.0)) * 0.4
+    return out.select(*keys, F.coalesce("found", F.lit(0)).alias("found"), F.coalesce(F.slice("__best", 1, most), F.array().cast(best.schema["__best"].dataType)).alias("findings"), F.coalesce("root_causes", F.array().cast(why.schema["root_causes"].dataType)).alias("root_causes"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("confidence"))
+
+
 def overall_confidence(findings: DataFrame, causes: DataFrame, keys: list[str], top: int = 5) -> DataFrame:
     """Per report: 0.6 times the mean of the best scores (over 100) plus 0.4 times the first cause's confidence, within 0 and 1."""
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "ordinal")

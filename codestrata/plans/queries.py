@@ -482,6 +482,35 @@ def locate_frames(spark: SparkSession, d: str) -> DataFrame:
     return traces.locate_frames(frames, V.load(spark, d, _OWNERS)).select("path", "chunk", "index", "class_fqn", "method", "symbol_id", "in_repo")
 
 
+#: Causes stay in the chunk of the exception that they caused.
+_WHOLE = _CHUNKS.replace("') AS s,", "') AND text NOT LIKE 'Caused by%' AS s,").replace("text LIKE '    at %')", "text LIKE '    at %' OR text LIKE 'Caused by%')")
+_PRIOR = "SELECT 'app.SQLException|app.U' || CAST(user_id AS STRING) || '#m' || CAST(event_id % 9 AS STRING) AS signature FROM events WHERE event_type = 'click'"
+_BY_CHUNK = _CAUSES[_CAUSES.index("mx AS") :].replace("PARTITION BY path", "PARTITION BY path, chunk").replace("SELECT path,", "SELECT path, chunk,")
+
+
+@query(
+    f"""WITH {_WHOLE}, {_FRAMES}, sy AS ({_OWNERS}), k AS (SELECT o.fqn AS c, m.simple_name AS m, min(m.id) AS id FROM sy m JOIN sy o ON o.id = m.parent_id WHERE m.kind = 'METHOD' GROUP BY 1, 2),
+lf AS (SELECT fr.path, chunk, index, class_fqn, method, k.id IS NOT NULL AS in_repo FROM fr LEFT JOIN k ON k.c = class_fqn AND k.m = CASE WHEN method LIKE 'lambda$%' THEN split_part(method, '$', 2) ELSE method END),
+{_CHAIN.replace('{src}', 'ch')}, {_BY_CHUNK}, sg AS (SELECT x.path, x.chunk, x.exception_fqn || '|' || coalesce(f.class_fqn, '?') || '#' || coalesce(f.method, '?') AS signature FROM xc x LEFT JOIN lf f ON f.path = x.path AND f.chunk = x.chunk AND f.index = 0 WHERE link_no = 0),
+oc AS (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY path, chunk) - 1 AS earlier FROM sg), pr AS (SELECT signature, count(*) AS known FROM ({_PRIOR}) GROUP BY 1), hs AS (SELECT path, chunk, earlier + coalesce(known, 0) AS prior FROM oc LEFT JOIN pr USING (signature)),
+fd AS (SELECT path, chunk, class_fqn || '#' || method AS title, CASE WHEN in_repo THEN 100 ELSE 20 END * pow(0.75, index) AS score, index AS ordinal FROM lf UNION ALL SELECT path, chunk, 'Identical failure seen ' || prior || ' time(s) before', least(100, ln(1 + prior) / ln(11) * 100), 40000 FROM hs WHERE prior > 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY path, chunk ORDER BY score DESC, ordinal, title) AS n FROM fd),
+bs AS (SELECT path, chunk, count(*) AS found, string_agg(title, ';' ORDER BY n) FILTER (n <= 3) AS titles, max(score) AS best, avg(score) FILTER (n <= 5) AS mean FROM rk GROUP BY 1, 2),
+cz AS (SELECT path, chunk, string_agg(category, ';' ORDER BY rank) AS categories, max(confidence) AS sure FROM rc GROUP BY 1, 2)
+SELECT coalesce(bs.path, cz.path) AS path, coalesce(bs.chunk, cz.chunk) AS chunk, coalesce(found, 0) AS found, coalesce(titles, '') AS titles, round(best, 9) AS best, coalesce(categories, '') AS categories, round(greatest(0, least(1, coalesce(mean, 0) / 100 * 0.6 + coalesce(sure, 0) * 0.4)), 9) AS confidence
+FROM bs FULL JOIN cz ON bs.path = cz.path AND bs.chunk = cz.chunk"""
+)
+def trace_reports(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["path", "chunk"]
+    lines = graph.durable(traces.stack_chunks(V.load(spark, d, V.TRACE_LINES), keep_causes=True))
+    frames, chain = graph.durable(traces.locate_frames(traces.parse_frames(lines, keys), V.load(spark, d, _OWNERS))), graph.durable(traces.parse_chain(lines, keys))
+    placed = frames.select(*keys, F.lit("FRAME").alias("kind"), F.concat("class_fqn", F.lit("#"), "method").alias("title"), scoring.score_frame(F.col("index"), F.col("in_repo")).alias("score"), F.col("index").alias("ordinal"))
+    seen = failures.historical_findings(failures.signed_traces(frames, chain, keys), V.load(spark, d, _PRIOR), keys)
+    findings = placed.unionByName(seen.select(*keys, F.lit("HISTORICAL_FAILURE").alias("kind"), "title", "score", F.lit(40_000).alias("ordinal")))
+    out = failures.trace_reports(findings, failures.root_causes(chain, keys), keys, 3)
+    return _rounded9(out.select(*keys, "found", F.array_join(F.col("findings")["title"], ";").alias("titles"), F.round(F.get("findings", F.lit(0))["score"], 9).alias("best"), F.array_join(F.col("root_causes")["category"], ";").alias("categories"), "confidence"))
+
+
 @query("SELECT CAST(n_nationkey AS STRING) AS id, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN 'COMPLETED' WHEN n_nationkey % 3 = 1 THEN 'FAILED' END, 'NOT_INDEXED') AS state FROM nation")
 def repo_status(spark: SparkSession, d: str) -> DataFrame:
     repos = V.load(spark, d, "SELECT CAST(n_nationkey AS STRING) AS id FROM nation")

@@ -90,21 +90,23 @@ class Engine:
     # Code without an index: the files are parsed for the query.
 
     def _parsed(self) -> DataFrame:
-        """All Java files' rows. Files whose time and size are those of the last call aren't parsed again."""
+        """All Java files' rows, parsed once for each content: from the cache that the index directory keeps, which only gets what is new.
+
+        Files whose path, time and size the cache knows aren't read; a file whose content it knows under that path isn't parsed.
+        """
         tree = self._tree(None, ".java")
         stamp = ["path", "mtime", "size"]
         stamps = graph.durable(tree.select(*stamp))
         with self._parsing:
-            old, known = self._memo
-            fresh = stamps if known is None else stamps.join(known, stamp, "left_anti")
-            gone = known is not None and not known.join(stamps, stamp, "left_anti").isEmpty()
-            if known is None or gone or not fresh.isEmpty():
-                rows = tree.join(fresh, stamp, "left_semi").select(F.lit(self.repo_id).alias("repo_id"), F.col("path").alias("file_id"), F.col("content").cast("string").alias("content"))
-                parsed = java.parse_java(rows)
-                if known is not None:
-                    same = stamps.join(known, stamp, "left_semi").select(F.col("path").alias("file_id"))
-                    parsed = parsed.unionByName(old.join(same, "file_id", "left_semi"))
-                self._memo = graph.durable(parsed), stamps
+            rows, known = self._memo
+            if known is None or not stamps.join(known, stamp, "left_anti").isEmpty() or not known.join(stamps, stamp, "left_anti").isEmpty():
+                fresh = stamps.join(self.store.parse_keys(self.repo_id), stamp, "left_anti")
+                if not fresh.isEmpty():
+                    read = graph.durable(tree.join(fresh, stamp, "left_semi").select(*stamp, F.sha1("content").alias("sha"), F.col("content").cast("string").alias("content")))
+                    parsed = java.parse_java(index.unparsed(read, self.store.parse_keys(self.repo_id)).select(F.lit(self.repo_id).alias("repo_id"), F.col("path").alias("file_id"), "content"))
+                    self.store.keep_parsed(self.repo_id, parsed, read.drop("content"))
+                keys = graph.durable(self.store.parse_keys(self.repo_id).join(stamps, stamp, "left_semi"))
+                self._memo = index.cached_rows(self.store.parsed_rows(self.repo_id), keys), stamps
             return self._memo[0]
 
     def _typed(self) -> DataFrame:

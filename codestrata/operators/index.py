@@ -52,3 +52,20 @@ def repo_status(repos: DataFrame, status: DataFrame) -> DataFrame:
 def delete_repo(repo_id: str, **tables: DataFrame) -> dict[str, DataFrame]:
     """Tables without a repository's rows; a table without repo_id is named by what its rows belong to and is left to drop_files."""
     return {n: t.where(F.col("repo_id") != repo_id) if "repo_id" in t.columns else t.where(F.col("id") != repo_id) if n == "repos" else t for n, t in tables.items()}
+
+
+def unparsed(read: DataFrame, keys: DataFrame) -> DataFrame:
+    """The files read (path, sha, ...) of which keys (path, sha, ...) has no parse of the same content under the same path."""
+    return read.join(keys.select("path", "sha"), ["path", "sha"], "left_anti")
+
+
+def batch_keys(read: DataFrame, keys: DataFrame, batch: str) -> DataFrame:
+    """The rows that make read known: path, mtime, size, sha, batch. The batch is that which parsed the content, an earlier one or this."""
+    earlier = keys.groupBy("path", "sha").agg(F.min("batch").alias("__b"))
+    return read.join(earlier, ["path", "sha"], "left").select("path", "mtime", "size", "sha", F.coalesce("__b", F.lit(batch)).alias("batch"))
+
+
+def cached_rows(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The parsed rows of the files of keys: of each file those of one batch, so what a stopped or a concurrent parse left is no row."""
+    wanted = keys.groupBy(F.col("path").alias("file_id")).agg(F.min("batch").alias("batch"))
+    return rows.join(wanted, ["file_id", "batch"], "left_semi").drop("batch")

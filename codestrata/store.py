@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
+from .operators import index
+from .sources import java
 
 TABLES = {"repos": schemas.REPOS, "files": schemas.FILES, "symbols": schemas.SYMBOLS, "edges": schemas.EDGES, "annotations": schemas.ANNOTATIONS, "imports": schemas.IMPORTS, "facts": schemas.FACTS}
 SCHEMA_VERSION = 3
@@ -97,3 +99,24 @@ class Store:
     def record_failures(self, rows: DataFrame) -> None:
         """Append failures; ids are made here."""
         rows.withColumn("id", F.expr("uuid()")).select(*schemas.FAILURE_HISTORY.names).write.mode("append").parquet(f"{self.root}/failure_history")
+
+    # Parsed files, each content once under its path: rows and keys are only appended to, rows before the keys that make them count.
+
+    def _parsed_dir(self, repo_id: str, name: str) -> str:
+        return f"{self.root}/parsed-{SCHEMA_VERSION}/{repo_id}/{name}"
+
+    def _appended(self, path: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(path) if os.path.isdir(path) else self.spark.createDataFrame([], schema)
+
+    def parse_keys(self, repo_id: str) -> DataFrame:
+        return self._appended(self._parsed_dir(repo_id, "keys"), "path string, mtime long, size long, sha string, batch string")
+
+    def parsed_rows(self, repo_id: str) -> DataFrame:
+        return self._appended(self._parsed_dir(repo_id, "rows"), f"{java.PARSED}, batch string")
+
+    def keep_parsed(self, repo_id: str, parsed: DataFrame, read: DataFrame) -> None:
+        """Append the rows parsed of what was read (path, mtime, size, sha) and was new, then the keys of all that was read."""
+        batch = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        keys = index.batch_keys(read, self.parse_keys(repo_id), batch)
+        parsed.withColumn("batch", F.lit(batch)).write.mode("append").parquet(self._parsed_dir(repo_id, "rows"))
+        keys.write.mode("append").parquet(self._parsed_dir(repo_id, "keys"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable
 from ..functions import text as X
 
 
@@ -65,6 +66,7 @@ def locate_frames(frames: DataFrame, symbols: DataFrame, files: DataFrame | None
     """frames with symbol_id, in_repo and file_path, by class and method name without lambda marks; the least id of several."""
     owner = symbols.select(F.col("id").alias("parent_id"), F.col("fqn").alias("class_fqn"))
     known = symbols.where(F.col("kind").isin("METHOD", "CONSTRUCTOR")).join(owner, "parent_id").groupBy("class_fqn", F.col("simple_name").alias("__m")).agg(F.min(F.struct("id", "file_id")).alias("s"))
+    known = durable(known)  # so that the join can split a method that many frames name
     out = frames.withColumn("__m", X.normalised_method(F.col("method"))).withColumn("__c", F.regexp_replace("class_fqn", r"\$", "."))
     out = out.join(known.withColumnRenamed("class_fqn", "__c"), ["__c", "__m"], "left").select(*frames.columns, F.col("s.id").alias("symbol_id"), F.col("s").isNotNull().alias("in_repo"), F.col("s.file_id").alias("file_id"))
     return out if files is None else out.join(files.select(F.col("id").alias("file_id"), F.col("path").alias("file_path")), "file_id", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import simple_name
 from ..schemas import TYPE_KINDS
-from .graph import paths_from
+from .graph import owners, paths_from
 from .search import name_matches
 
 #: No source nests deeper: a Java type's name is at most 65535 bytes long.
@@ -67,7 +67,7 @@ def explain(symbols: DataFrame, edges: DataFrame, annotations: DataFrame | None
     One aggregate of edges by source, one by target; filter symbols first to explain one method.
     """
     methods = symbols.where(F.col("kind").isin("METHOD", "CONSTRUCTOR"))
-    owner = symbols.select(F.col("id").alias("parent_id"), F.col("fqn").alias("class_fqn"))
+    owner = owners(symbols).select("parent_id", "class_fqn")
     item = F.struct(F.coalesce("line", F.lit(0)).alias("line"), F.col("dst_fqn").alias("type"), F.col("dst_member").alias("member"), F.col("kind").alias("kind"))
     lists = {"throws": ("THROWS",), "calls": ("CALLS", "STATIC_CALL", "NEW"), "reads": ("FIELD_READ",), "writes": ("FIELD_WRITE",)}
     kinds = [k for ks in lists.values() for k in ks]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import simple_name
-from ..schemas import TYPE_KINDS
+from ..schemas import FLOW_KINDS, TYPE_KINDS
 from .graph import owners, paths_from
 from .search import name_matches
 
@@ -64,16 +64,23 @@ def find_implementations(edges: DataFrame, symbols: DataFrame, type_name: str) -
 def explain(symbols: DataFrame, edges: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
     """Per method or constructor: its header and sorted lists of annotations, throws, calls, reads, writes and callers.
 
-    One aggregate of edges by source, one by target; filter symbols first to explain one method.
+    Edges are grouped by source once, in one list, and that shuffle is read twice: for the lists, and for the targets of each source, which give
+    callers. Filter symbols first to explain one method.
     """
     methods = symbols.where(F.col("kind").isin("METHOD", "CONSTRUCTOR"))
     owner = owners(symbols).select("parent_id", "class_fqn")
-    item = F.struct(F.coalesce("line", F.lit(0)).alias("line"), F.col("dst_fqn").alias("type"), F.col("dst_member").alias("member"), F.col("kind").alias("kind"))
-    lists = {"throws": ("THROWS",), "calls": ("CALLS", "STATIC_CALL", "NEW"), "reads": ("FIELD_READ",), "writes": ("FIELD_WRITE",)}
+    item = F.struct(F.coalesce("line", F.lit(0)).alias("line"), F.col("dst_fqn").alias("type"), F.col("dst_member").alias("member"), F.col("kind").alias("kind"), F.col("dst_symbol_id").alias("dst"))
+    lists = {"throws": ("THROWS",), "calls": FLOW_KINDS, "reads": ("FIELD_READ",), "writes": ("FIELD_WRITE",)}
     kinds = [k for ks in lists.values() for k in ks]
-    out = edges.where(F.col("kind").isin(*kinds)).groupBy(F.col("src_symbol_id").alias("id")).agg(*[F.sort_array(F.collect_list(F.when(F.col("kind").isin(*ks), item))).alias(n) for n, ks in lists.items()])
-    named = symbols.select(F.col("id").alias("src_symbol_id"), F.col("fqn").alias("caller"))
-    callers = edges.where(F.col("kind").isin("CALLS", "STATIC_CALL", "NEW") & F.col("dst_symbol_id").isNotNull()).join(named, "src_symbol_id").groupBy(F.col("dst_symbol_id").alias("id")).agg(F.sort_array(F.collect_set("caller")).alias("callers"))
+    by_source = edges.where(F.col("kind").isin(*kinds) & F.col("src_symbol_id").isNotNull()).groupBy(F.col("src_symbol_id").alias("id")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+    def of(ks: tuple[str, ...]) -> Column:
+        return F.transform(F.filter("items", lambda e: e["kind"].isin(*ks)), lambda e: F.struct(*[e[c].alias(c) for c in ("line", "type", "member", "kind")]))
+
+    out = by_source.select("id", *[of(ks).alias(n) for n, ks in lists.items()])
+    called = F.array_distinct(F.transform(F.filter("items", lambda e: e["kind"].isin(*FLOW_KINDS) & e["dst"].isNotNull()), lambda e: e["dst"]))
+    calls = by_source.select("id", called.alias("called")).join(symbols.select("id", F.col("fqn").alias("caller")), "id")
+    callers = calls.select("caller", F.explode("called").alias("id")).groupBy("id").agg(F.sort_array(F.collect_set("caller")).alias("callers"))
     result = methods.join(owner, "parent_id", "left").join(out, "id", "left").join(callers, "id", "left")
     if annotations is not None:
         marks = annotations.groupBy(F.col("symbol_id").alias("id")).agg(F.sort_array(F.collect_list("name")).alias("annotations"))

@@ -157,6 +157,8 @@ def look_up(values: DataFrame, path: str) -> Callable[[Column, Column], Column]:
                 out[own[hit]], known[own[hit]] = values[k[hit]], True
         return pa.array(out, mask=~known)
 
+    # Told to be not deterministic, it is computed once where a filter and a column use it, not in two Python steps, each with a worker of its own.
+    value_at = value_at.asNondeterministic()
     return lambda file, row: value_at(file, row, slice_of(file, row))
 
 
